@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm import simhash
+from loomline.llm import bpe_codec, simhash
 from loomline.llm.common import load
 
 
@@ -14,6 +15,12 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    encoded = bpe_codec.encode(load(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    return bpe_codec.digests(bpe_codec.decode(encoded, ranks))
+
+
 SQL: dict[str, str] = {}
 
 
