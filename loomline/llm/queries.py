@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm import bpe_codec, simhash
+from loomline.llm import bpe_codec, ppm_lang, simhash
 from loomline.llm.common import load
 
 
@@ -21,6 +21,11 @@ def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.digests(bpe_codec.decode(encoded, ranks))
 
 
+def op9_ppm_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ppm_lang.identify(spark, load(spark, sf_dir, "documents"))
+    return found.select("doc_id", "held_out", "lang_pred", "score", "bits_per_byte")
+
+
 SQL: dict[str, str] = {}
 
 
