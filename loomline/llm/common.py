@@ -44,6 +44,16 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+#: Rows of narrow columns up to which a table is broadcast; beyond, it is joined by a shuffle.
+BROADCAST_ROWS = 2_000_000
+
+
+def if_small(df: DataFrame, label: str, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df, written once and counted: marked for broadcast if it has at most so many rows."""
+    df = written(df, label)
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def held_out(doc_id: str = "doc_id"):
     """Rows no classifier may learn from: crc32 of the id as text leaves 2 on division by 4."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm import bpe_codec, ppm_lang, simhash
+from loomline.llm import bpe_codec, ngram_llr, ppm_lang, simhash
 from loomline.llm.common import load
 
 
@@ -26,6 +26,13 @@ def op9_ppm_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score", "bits_per_byte")
 
 
+def op10_ngram_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    counts = ngram_llr.count_bins(docs, ngram_llr.trusted_ids(load(spark, sf_dir, "labels")))
+    found = ngram_llr.judge(docs, ngram_llr.log_ratios(*counts))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
+
+
 SQL: dict[str, str] = {}
 
 
