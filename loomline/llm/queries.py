@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm import bpe_codec, ngram_llr, ppm_lang, simhash
+from loomline.llm import bpe_codec, ngram_llr, ppm_lang, quality_fm, simhash
 from loomline.llm.common import load
 
 
@@ -15,6 +15,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op2_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_fm.classify(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     encoded = bpe_codec.encode(load(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
