@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm import bpe_codec, ngram_llr, ppm_lang, quality_fm, simhash
+from loomline.llm import bpe_codec, decontam, ngram_llr, ppm_lang, quality_fm, simhash
 from loomline.llm.common import load
 
 
@@ -25,6 +25,11 @@ def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.digests(bpe_codec.decode(encoded, ranks))
 
 
+def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.report(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
 def op9_ppm_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ppm_lang.identify(spark, load(spark, sf_dir, "documents"))
     return found.select("doc_id", "held_out", "lang_pred", "score", "bits_per_byte")
@@ -37,7 +42,31 @@ def op10_ngram_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
 
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op8_decontam": r"""
+        WITH words AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+        ), items AS (
+            SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+        ), sized AS (
+            SELECT item_id, w, least(len(w), 10) AS k FROM items WHERE len(w) > 0
+        ), tests AS (
+            SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS plain FROM (SELECT item_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM sized)
+        ), windows AS (
+            SELECT doc_id, i, k, array_to_string(w[i:i + k - 1], ' ') AS plain
+            FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM words, (SELECT DISTINCT k FROM sized))
+        ), met AS (
+            SELECT doc_id, i, k, item_id FROM windows JOIN tests USING (k, plain)
+        ), hit AS (
+            SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM met) GROUP BY doc_id
+        ), named AS (
+            SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+            FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM met) GROUP BY doc_id
+        )
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+               sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+        FROM words LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)""",
+}
 
 
 def queries() -> dict:

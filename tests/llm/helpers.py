@@ -15,7 +15,7 @@ def docs_frame(spark, rows):
 def awkward_rows():
     rng = random.Random(7)
     words = ["alpha", "beta", "Gamma", "delta", "été", "straße", "x", "42", "|", "the"]
-    long = " ".join(rng.choice(words) for _ in range(30_000))
+    long = " ".join(rng.choice(words) for _ in range(6_000))
     return [(1, None), (2, ""), (3, " \n\t "), (4, "one"), (5, "Two words"), (6, long), (7, long), (7, long), (None, "no id here at all"), (9, "!!! ??? ..."), (10, "tab\tand\rcarriage\x0bvertical\x00nul")]
 
 
