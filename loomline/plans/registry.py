@@ -2,13 +2,41 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
 
-def queries() -> dict:
+from loomline.sources.tables import Tables, with_views
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def add(name: str, build: Callable[[Tables], DataFrame], sql: str | None = None) -> None:
+    """Registers build over the tables of a directory; sql says the same over the views."""
+    if name in QUERIES:
+        raise ValueError(f"{name} is registered twice")
+    QUERIES[name] = lambda spark, path: build(Tables(spark, path))
+    if sql is not None:
+        SQL[name] = with_views(sql)
+
+
+def add_stream(name: str, build: Callable[[SparkSession, str], DataFrame], sql: str | None = None) -> None:
+    """Registers a query that runs a stream to its end and returns what it wrote."""
+    QUERIES[name] = build
+    if sql is not None:
+        SQL[name] = with_views(sql)
+
+
+def _load() -> None:
+    from loomline.plans import configuration, events, ingest, joins, kpis, logs, orders, series, streams  # noqa: F401
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return dict(QUERIES)
 
 
-def oracle_sql() -> dict:
+def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(SQL)
