@@ -22,8 +22,9 @@ def series(t, column: str, value: Column, p: Params) -> DataFrame:
 
 def spine(like: DataFrame, p: Params) -> DataFrame:
     """Every bucket from that of t0 to that of t1, both included."""
-    first, last = (F.window(ntz(x), p.step)["start"] for x in (p.t0, p.t1))
-    return like.sparkSession.range(1).select(F.explode(F.sequence(first, last, F.expr(f"INTERVAL {p.step}"))).alias("time"))
+    ends = like.sparkSession.range(1).select(F.window(ntz(p.t0), p.step).alias("first"))
+    ends = ends.select("first", F.window(ntz(p.t1), p.step).alias("last"))
+    return ends.select(F.explode(F.sequence("first.start", "last.start", F.expr(f"INTERVAL {p.step}"))).alias("time"))
 
 
 def zero_filled(df: DataFrame, column: str, p: Params, **conditions: Column) -> DataFrame:

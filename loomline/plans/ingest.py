@@ -33,8 +33,8 @@ add(
     lambda t: ingest.unrouted(ingest.parse_topic(named(t)), t.packml_register).select("seq", "topic"),
     f"SELECT seq, topic FROM ({PARSED}) WHERE topic NOT IN (SELECT packml_topic FROM packml_register WHERE active)",
 )
-add("ingest_collapse", lambda t: ingest.collapse(routed(t)), f"SELECT id_equipment, date_trunc('second', ts_metric + INTERVAL 500 MILLISECOND) AS ts_value, {WIDE} FROM ({ROUTED}) GROUP BY 1, 2")
-add("ingest_pivot_wide", lambda t: ingest.pivot_wide(routed(t)), f"SELECT id_equipment, ts_metric AS ts_value, {WIDE} FROM ({ROUTED}) GROUP BY 1, 2")
+add("ingest_collapse", lambda t: ingest.collapse(routed(t)).withColumn("ts_value", F.col("ts_value").cast("timestamp_ntz")), f"SELECT id_equipment, date_trunc('second', ts_metric + INTERVAL 500 MILLISECOND) AS ts_value, {WIDE} FROM ({ROUTED}) GROUP BY 1, 2")
+add("ingest_pivot_wide", lambda t: ingest.pivot_wide(routed(t)).withColumn("ts_value", F.col("ts_value").cast("timestamp_ntz")), f"SELECT id_equipment, ts_metric AS ts_value, {WIDE} FROM ({ROUTED}) GROUP BY 1, 2")
 add(
     "ingest_unpivot_uns",
     lambda t: ingest.unpivot(t.equipment_values),
@@ -54,7 +54,13 @@ def counted(t):
     return rows.withColumn("counter", F.sum("value").over(w).cast("long"))
 
 
-add("ingest_counter_check", lambda t: ingest.counter_check(counted(t)))
+add(
+    "ingest_counter_check",
+    lambda t: ingest.counter_check(counted(t)).withColumn("ts_metric", F.col("ts_metric").cast("timestamp_ntz")),
+    f"""SELECT seq, id_equipment, ts_metric, value, counter, CASE WHEN grown IS NULL THEN 'first' WHEN grown < 0 THEN 'reset' WHEN grown = value THEN 'ok' ELSE 'gap' END AS verdict
+    FROM (SELECT *, counter - lag(counter) OVER (PARTITION BY id_equipment ORDER BY ts_metric, seq) AS grown FROM (SELECT *, CAST(sum(value) OVER
+    (PARTITION BY id_equipment, date_trunc('week', ts_metric) ORDER BY ts_metric, seq) AS BIGINT) AS counter FROM ({ROUTED}) WHERE metric_type = 'ProdProcessedCount'))""",
+)
 
 
 def messages(t):

@@ -76,14 +76,14 @@ add(
     lambda t: series.zero_filled(t.production_orders, "ts_start", ORDERS, started=F.col("status") >= 2).join(series.zero_filled(t.production_orders, "ts_end", ORDERS, finished=F.col("status") == 3), "time", "full"),
     f"SELECT a.time, a.started, b.finished FROM ({filled('production_orders', 'ts_start', ORDERS, 'day', started='status >= 2')}) a FULL JOIN ({filled('production_orders', 'ts_end', ORDERS, 'day', finished='status = 3')}) b ON a.time = b.time",
 )
-for level, unit in (("1m", "minute"), ("1h", "hour"), ("1d", "day")):
-    add(
-        f"rollup_{level}",
-        lambda t, n=level: series.shown(series.rollup(t.equipment_values, n)),
-        f"""SELECT id_equipment, date_trunc('{unit}', ts_value) AS time, sum(net_production_incr) AS net, sum(scrap_incr) AS scrap, round(sum(speed), 2) AS speed_sum, count(speed) AS speed_n,
+def rolled(unit: str) -> str:
+    return f"""SELECT id_equipment, date_trunc('{unit}', ts_value) AS time, sum(net_production_incr) AS net, sum(scrap_incr) AS scrap, round(sum(speed), 2) AS speed_sum, count(speed) AS speed_n,
         count(*) FILTER (WHERE state = 6) AS running, count(state) AS stated, count(*) AS rows, (max(struct_pack(a := ts_value, b := state)) FILTER (WHERE state IS NOT NULL)).b AS last_state
-        FROM equipment_values GROUP BY 1, 2""",
-    )
+        FROM equipment_values GROUP BY 1, 2"""
+
+
+for level, unit in (("1m", "minute"), ("1h", "hour"), ("1d", "day")):
+    add(f"rollup_{level}", lambda t, n=level: series.shown(series.rollup(t.equipment_values, n)), rolled(unit))
 add("rollup_consistency", lambda t: series.consistency(t.equipment_values), "SELECT CAST(0 AS BIGINT) AS differing")
 
 
@@ -97,4 +97,4 @@ def incremental(t):
     return t.spark.read.parquet(path).drop("day")
 
 
-add("rollup_incremental", incremental)
+add("rollup_incremental", incremental, rolled("day"))

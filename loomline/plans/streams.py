@@ -40,14 +40,14 @@ def upserted(spark: SparkSession, path: str) -> DataFrame:
     top = base(spark)
     rows = values(spark, path).select("ts_value", "id_equipment", *sinks.METRICS, F.unix_micros("ts_value").alias("seq"))
     sinks.upsert_stream(rows, f"{top}/out", f"{top}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{top}/out").drop("day", "seq")
+    return sinks.zoneless(spark.read.parquet(f"{top}/out").drop("day", "seq"))
 
 
 def current(spark: SparkSession, path: str) -> DataFrame:
     top = base(spark)
     query = sinks.current_stream(values(spark, path), f"{top}/out", f"{top}/checkpoint")
     query.awaitTermination()
-    return spark.read.parquet(f"{top}/out/{query.lastProgress['batchId']}")
+    return sinks.zoneless(spark.read.parquet(f"{top}/out/{query.lastProgress['batchId']}"))
 
 
 def published(spark: SparkSession, path: str) -> DataFrame:
@@ -68,7 +68,12 @@ def deduplicated(spark: SparkSession, path: str) -> DataFrame:
     return sinks.drained(flows.dedup(once.union(again), ["event_id"], "ts", "40 days"))
 
 
-add_stream("src_bus_messages", bus)
+add_stream(
+    "src_bus_messages",
+    bus,
+    """SELECT 'edge' AS gateway, name, ts_metric, value, CAST(NULL AS BIGINT) AS counter, CAST(NULL AS DOUBLE) AS curspeed FROM raw_metrics
+    UNION ALL SELECT 'edge', name || '/late', ts_metric + INTERVAL 1 SECOND, value, NULL, NULL FROM raw_metrics""",
+)
 add_stream("sink_upsert_values", upserted)
 add_stream("sink_append_uns", lambda s, p: sinks.drained(live(s, p).uns_metrics), "SELECT * FROM uns_metrics")
 add_stream("sink_current_metrics", current, "SELECT id_equipment, m.b AS speed, m.a AS last_update FROM (SELECT id_equipment, max(struct_pack(a := ts_value, b := speed)) AS m FROM equipment_values WHERE speed IS NOT NULL GROUP BY 1)")

@@ -70,6 +70,11 @@ def current_stream(stream: DataFrame, target: str, checkpoint: str) -> Streaming
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def zoneless(df: DataFrame) -> DataFrame:
+    """Streams need TIMESTAMP for watermarks; what they wrote is returned as the batch tables have it."""
+    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c, kind in df.dtypes if kind == "timestamp"})
+
+
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Runs a stream over all there is and returns what it wrote."""
     spark = stream.sparkSession
@@ -80,4 +85,4 @@ def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
         writer = stream.writeStream.outputMode(mode).foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{base}/out"))
         query = writer.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/out")
+    return zoneless(spark.read.schema(stream.schema).parquet(f"{base}/out"))

@@ -54,7 +54,13 @@ class Tables:
         if not (self.streaming and name == "events"):
             return self.spark.read.parquet(file)
         schema = self.spark.read.parquet(file).schema
-        return self.spark.readStream.schema(schema).parquet(file).withColumn("ts", F.col("ts").cast("timestamp"))
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(file)
+        reader = self.spark.readStream.schema(schema)
+        if path.getFileSystem(self.spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+            stream = reader.parquet(file)
+        else:  # a stream reads folders
+            stream = reader.option("pathGlobFilter", f"{name}.parquet").parquet(self.path)
+        return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
     def _view(self, name: str) -> DataFrame:
         text = VIEWS[name].replace("{", "{{").replace("}", "}}")
