@@ -65,8 +65,8 @@ add(
     LEFT JOIN areas a ON a.id_area = um.id_area LEFT JOIN sites s ON s.id_site = um.id_site LEFT JOIN enterprises ent ON ent.id_enterprise = um.id_enterprise ORDER BY um.ts_value DESC, um.seq DESC LIMIT 30""",
 )
 for key, table, order in (("cfg_last20_values", "equipment_values", "ts_value DESC, id_equipment DESC, speed DESC, state DESC, net_production_incr DESC"), ("cfg_last20_uns", "uns_metrics", "ts_value DESC, seq DESC"), ("cfg_last20", "production_orders", "id_production_order DESC")):
-    spark_order = [F.expr(c.removesuffix(" DESC")).desc_nulls_last() for c in order.split(", ")]
-    add(key, lambda t, n=table, o=tuple(spark_order): newest(getattr(t, n), 20, *o), f"SELECT * FROM {table} ORDER BY {order.replace(' DESC', ' DESC NULLS LAST')} LIMIT 20")
+    names = tuple(c.removesuffix(" DESC") for c in order.split(", "))
+    add(key, lambda t, n=table, o=names: newest(getattr(t, n), 20, *(F.col(c).desc_nulls_last() for c in o)), f"SELECT * FROM {table} ORDER BY {order.replace(' DESC', ' DESC NULLS LAST')} LIMIT 20")
 
 add("act_active_users", lambda t: t.user_logs.where(within("ts_log", P)).agg(F.count_distinct("nm_user").alias("value")), f"SELECT count(DISTINCT nm_user) AS value FROM user_logs WHERE ts_log {RANGE}")
 for key, categories in (("act_po_actions", ("order-started", "order-stopped")), ("act_justified", ("event-justified", "event-edited")), ("act_manual", ("manual-event-created",))):

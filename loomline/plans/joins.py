@@ -123,7 +123,7 @@ for key, span in (("agg_rows_5min", "5 MINUTE"), ("agg_rows_1h", "1 HOUR")):
 add(
     "agg_last_message",
     lambda t: t.equipment_values.agg(F.unix_millis(F.max("ts_value").cast("timestamp")).alias("value")),
-    "SELECT epoch_ms(max(ts_value)) AS value FROM equipment_values",
+    "SELECT epoch_us(max(ts_value)) // 1000 AS value FROM equipment_values",
 )
 add("agg_active_registrations", lambda t: t.packml_register.where("active").agg(F.count("*").alias("value")), "SELECT count(*) AS value FROM packml_register WHERE active")
 add(

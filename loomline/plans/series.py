@@ -59,16 +59,14 @@ def filled(table: str, column: str, p, unit: str, **conditions: str) -> str:
     LEFT JOIN (SELECT date_trunc('{unit}', {column}) AS time, {counts} FROM {table} WHERE {column} BETWEEN TIMESTAMP '{p.t0}' AND TIMESTAMP '{p.t1}' GROUP BY 1) c ON c.time = s.time"""
 
 
-category = F.col("category")
 add(
     "ts_operator_actions",
-    lambda t: series.zero_filled(t.user_logs, "ts_log", P, po_actions=category.isin("order-started", "order-stopped"), justifications=category.isin("event-justified", "event-edited"), manual_events=category == "manual-event-created"),
+    lambda t: series.zero_filled(t.user_logs, "ts_log", P, po_actions=F.col("category").isin("order-started", "order-stopped"), justifications=F.col("category").isin("event-justified", "event-edited"), manual_events=F.col("category") == "manual-event-created"),
     filled("user_logs", "ts_log", P, "hour", po_actions="category IN ('order-started', 'order-stopped')", justifications="category IN ('event-justified', 'event-edited')", manual_events="category = 'manual-event-created'"),
 )
-stopped = F.col("status") == 10
 add(
     "ts_pending_vs_justified",
-    lambda t: series.zero_filled(t.equipment_events, "ts_end", ORDERS, pending=stopped & F.col("cd_category").isNull(), justified=stopped & F.col("cd_category").isNotNull()),
+    lambda t: series.zero_filled(t.equipment_events, "ts_end", ORDERS, pending=(F.col("status") == 10) & F.col("cd_category").isNull(), justified=(F.col("status") == 10) & F.col("cd_category").isNotNull()),
     filled("equipment_events", "ts_end", ORDERS, "day", pending="status = 10 AND cd_category IS NULL", justified="status = 10 AND cd_category IS NOT NULL"),
 )
 add(

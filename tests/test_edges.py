@@ -58,7 +58,7 @@ def test_collapse_rounds_half_up_and_keeps_the_last_value_that_is_not_null(spark
 
 
 def test_split_of_an_odd_length_adds_up(spark):
-    e = spark.createDataFrame([(1, at(1), at(1, second=61), "MEC")], "id_equipment_event long, ts_event timestamp_ntz, ts_end timestamp_ntz, cd_category string")
+    e = spark.createDataFrame([(1, at(1), at(1, minute=1, second=1), "MEC")], "id_equipment_event long, ts_event timestamp_ntz, ts_end timestamp_ntz, cd_category string")
     a, b = sorted(events.split(e, "QUA").collect(), key=lambda r: r.piece)
     assert (a.duration, b.duration, a.ts_end, b.ts_event, a.cd_category, b.cd_category) == (30, 31, b.ts_event, at(1, second=30), "MEC", "QUA")
 
