@@ -28,7 +28,7 @@ NONE = np.int64(2**62)
 #: Pieces of more bytes get a tree of their own.
 ROW_BYTES = 256
 #: Encoded pieces a worker remembers before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 
 
 class Vocabulary:
@@ -36,7 +36,6 @@ class Vocabulary:
 
     def __init__(self, file: bytes):
         self.ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in file.splitlines() if line.strip())}
-        self.tokens = dict(zip(self.ranks.values(), self.ranks.keys(), strict=True))
         self.bytes = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int64)
         self.pairs: dict[int, int] = {}
         for token, rank in self.ranks.items():
@@ -60,6 +59,12 @@ def vocabulary(file: bytes) -> Vocabulary:
     return Vocabulary(file)
 
 
+@lru_cache(maxsize=2)
+def token_bytes(file: bytes) -> dict[int, bytes]:
+    """Bytes of each token, all that decoding needs."""
+    return {int(rank): base64.b64decode(token) for token, rank in (line.split() for line in file.splitlines() if line.strip())}
+
+
 def _merge_rows(vocab: Vocabulary, pieces: list[bytes]) -> list[bytes]:
     """Ids of each piece as packed int32; every piece has at most ROW_BYTES bytes, and at least two."""
     lengths = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
@@ -168,7 +173,7 @@ def encode_pieces(vocab: Vocabulary, pieces: Iterable[bytes]) -> dict[bytes, byt
         elif piece:
             by_width.setdefault((len(piece) - 1).bit_length(), []).append(piece)
     for width, same in by_width.items():
-        step = max(1, 2**20 >> width)
+        step = max(1, 2**18 >> width)
         for k in range(0, len(same), step):
             part = same[k : k + step]
             found.update(zip(part, _merge_rows(vocab, part), strict=True))
@@ -241,7 +246,7 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     file = _ranks(encoded, ranks_path)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = vocabulary(file.value).tokens.__getitem__
+        token = token_bytes(file.value).__getitem__
         for batch in batches:
             lists = batch.column("ids")
             flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy()

@@ -30,7 +30,7 @@ ORDER = 3
 MIN_CONTEXT = 8
 UNIT = 1024
 #: Bytes coded at once; longer texts are coded in pieces that know the bytes before them.
-STEP = 1 << 22
+STEP = 1 << 20
 PAD = b"\n" * ORDER
 LETTER = regex.compile(r"\p{L}")
 
@@ -53,6 +53,21 @@ def _grams(data: list[bytes]) -> np.ndarray:
     return np.concatenate([c.astype(np.int64) << 8 | b for c, b in parts])
 
 
+def _shares(of: list[int], data: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
+    """Texts of one language at a time, about STEP bytes together."""
+    for k in sorted(set(of)):
+        some, size = [], 0
+        for d, x in zip(data, of, strict=True):
+            if x == k:
+                some.append(d)
+                size += len(d)
+                if size >= STEP:
+                    yield k, some
+                    some, size = [], 0
+        if some:
+            yield k, some
+
+
 def train(docs: DataFrame, train_bytes: int = TRAIN_BYTES) -> bytes:
     """Languages and their counts, packed: learned from rows of docs(doc_id, text, lang) with a text and a lang.
 
@@ -73,8 +88,8 @@ def train(docs: DataFrame, train_bytes: int = TRAIN_BYTES) -> bytes:
         for batch in batches:
             of = batch.column("k").to_numpy()
             data = [_bytes(t) for t in batch.column("text").to_pylist()]
-            for k in np.unique(of).tolist():
-                gram, n = np.unique(_grams([d for d, x in zip(data, of.tolist(), strict=True) if x == k]), return_counts=True)
+            for k, some in _shares(of.tolist(), data):
+                gram, n = np.unique(_grams(some), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), k, dtype=np.int32)), pa.array(gram), pa.array(n.astype(np.int64))], names=["k", "gram", "n"])
 
     counts = sample.select("text", "k").mapInArrow(count, "k int, gram long, n long").groupBy("k", "gram").agg(F.sum("n").alias("n"))
@@ -104,10 +119,11 @@ class Coder:
             three = np.union1d(three, context[np.bincount(at, weights=n) >= MIN_CONTEXT])
         three = three.astype(np.int64)
         # rows of the tables: 256 contexts of one byte, then those of two, then those of three
-        self.row = np.tile(np.arange(256, dtype=np.int32), 65536).reshape(256, 256, 256)
-        self.row[:, two >> 8, two & 255] = 256 + np.arange(len(two), dtype=np.int32)
+        kind = np.uint16 if 256 + len(two) + len(three) <= 65536 else np.int32
+        self.row = np.tile(np.arange(256, dtype=kind), 65536).reshape(256, 256, 256)
+        self.row[:, two >> 8, two & 255] = (256 + np.arange(len(two))).astype(kind)
         self.row = self.row.reshape(-1)
-        self.row[three] = 256 + len(two) + np.arange(len(three), dtype=np.int32)
+        self.row[three] = (256 + len(two) + np.arange(len(three))).astype(kind)
         self.tables = []
         for gram, n in per:
             byte = gram & 255
@@ -153,7 +169,7 @@ class Coder:
     def _add(self, found: np.ndarray, parts: list[bytes], of: list[int]) -> None:
         ends = np.cumsum([len(p) for p in parts])
         context, byte = _context_and_byte(np.frombuffer(b"".join(parts), dtype=np.uint8))
-        where = self.row[context] * 256 + byte
+        where = self.row[context].astype(np.int32) * 256 + byte
         starts = np.concatenate([[0], ends[:-1]])
         stops = ends - ORDER  # the last positions code the next part's first bytes and belong to none
         cuts = np.stack([starts, stops], axis=1).ravel()
