@@ -59,8 +59,8 @@ def nearest_second(column: str = "ts_metric") -> Column:
 
 
 def wide_columns() -> list[Column]:
-    """The last value of each metric type in order of time and sequence; other types don't compete."""
-    return [F.max_by("value", F.when(F.col("metric_type") == kind, F.struct("ts_metric", "seq"))).alias(name) for kind, name in COLUMNS.items()]
+    """The last value of each metric type in order of time and sequence; nulls and other types don't compete."""
+    return [F.max_by("value", F.when((F.col("metric_type") == kind) & F.col("value").isNotNull(), F.struct("ts_metric", "seq"))).alias(name) for kind, name in COLUMNS.items()]
 
 
 def pivot_wide(routed: DataFrame, at: Column | None = None) -> DataFrame:
