@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import BATCH_ROWS
+from loomline.llm.common import prepare
 
 #: Control strings of the template; every one starts with "<|", which escaped text never holds.
 TURN, BODY, END = "<|turn|>", "<|text|>", "<|end|>"
@@ -76,7 +76,7 @@ def paths(conversations: DataFrame) -> DataFrame:
             held.append(now)
             yield out()
 
-    conversations.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    prepare(conversations.sparkSession)
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), empty("role"), empty("text"))
     width = int(conversations.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -21,9 +24,23 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def prepare(spark: SparkSession) -> None:
+    """Small Arrow batches, and this package on the executors unless their PYTHONPATH has it."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    root, context = Path(__file__).resolve().parents[2], spark.sparkContext
+    if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(context, "loomline_sent", False):
+        return
+    archive = Path(tempfile.mkdtemp(prefix="loomline-code-")) / "loomline.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted((root / "loomline").rglob("*.py")):
+            out.write(file, file.relative_to(root))
+    context.addPyFile(str(archive))  # Spark hands it from the driver to every executor
+    context.loomline_sent = True
+
+
 def texts(docs: DataFrame) -> DataFrame:
     """(doc_id, text) alone, so that no other column of the caller can clash with ours."""
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    prepare(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from loomline.llm.common import BATCH_ROWS, NO_ID, if_small, written
+from loomline.llm.common import NO_ID, if_small, prepare, written
 
 #: Words of the shortest common block that is deleted.
 MIN_WORDS = 5
@@ -91,7 +91,7 @@ def common_blocks(earlier: list[int], later: list[int], words: list[int], min_wo
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    prepare(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"), F.xxhash64(text).alias("th"), text.alias("text"))
 

@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm.common import held_out, texts
+from loomline.llm.common import held_out, prepare, texts
 
 UNDETERMINED = "und"
 #: Bytes of labelled text from which a language is learned, about; rows are chosen by a hash of doc_id.
@@ -75,6 +75,7 @@ def train(docs: DataFrame, train_bytes: int = TRAIN_BYTES) -> bytes:
     the model's size has a bound that doesn't depend on the corpus.
     """
     spark = docs.sparkSession
+    prepare(spark)
     usable = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where("text is not null and lang is not null")
     sizes = {r["lang"]: r["size"] for r in usable.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("size")).collect()}
     langs = sorted(sizes)

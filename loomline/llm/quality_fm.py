@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import BATCH_ROWS, held_out, if_small
+from loomline.llm.common import held_out, if_small, prepare
 from loomline.llm.ngram_llr import WORD, hasher
 
 WORD_BINS, FACTORS = 1 << 13, 8
@@ -144,7 +144,7 @@ def fit(row: np.ndarray, bin_: np.ndarray, x: np.ndarray, structure: np.ndarray,
 
 
 def _inputs(docs: DataFrame, *more: str) -> DataFrame:
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    prepare(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("n_chars").cast("long").alias("n_chars"), *more)
 
 
