@@ -111,9 +111,10 @@ def line_hashes(docs: DataFrame) -> DataFrame:
 
 def deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(did, th, gone): line positions to delete from each later document that has any."""
-    lines = written(line_hashes(docs), "line-hashes").dropDuplicates(["did", "th"])
+    lines = written(line_hashes(docs).dropDuplicates(["did", "th"]), "line-hashes")
     held = lines.select("did", "th", F.explode(F.array_distinct("hashes")).alias("h")).where("h <> 0")
-    first = held.groupBy("h").agg(F.min(F.struct("did", "th")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    # written, so that the joins read plain shuffles, whose hot lines and documents Spark can split
+    first = written(held.groupBy("h").agg(F.min(F.struct("did", "th")).alias("first"), F.count("*").alias("n")).where("n > 1"), "line-first")
     pairs = held.join(first, "h").where("struct(did, th) <> first").select("did", "th", F.col("first.did").alias("adid"), F.col("first.th").alias("ath")).distinct()
     early = lines.select(F.col("did").alias("adid"), F.col("th").alias("ath"), F.col("hashes").alias("early"))
     both = pairs.join(lines, ["did", "th"]).join(early, ["adid", "ath"]).select("did", "th", "early", "hashes", "words")
