@@ -49,8 +49,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids) of each document, with the bytes that its ids decode to."""
-    ranks = public_tokenizers.path(RANKS)
-    return bpe_codec.decode(bpe_codec.encode(docs, ranks, public_tokenizers.PATTERN), ranks).select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    done = bpe_codec.round_trip(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+    return done.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [

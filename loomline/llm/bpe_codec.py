@@ -222,25 +222,45 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     file = _ranks(docs, ranks_path)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, split = vocabulary(file.value), splitter(pattern)
-        known: dict[str, bytes] = {}
-        for batch in batches:
-            pieces = [split(text) if text else [] for text in batch.column("text").to_pylist()]
-            if len(known) > REMEMBERED:
-                known = {}
-            new = set(chain.from_iterable(pieces)).difference(known)
-            encoded = encode_pieces(vocab, (p.encode() for p in new))
-            for p in new:
-                known[p] = encoded[p.encode()]
-            packed = [b"".join(map(known.__getitem__, p)) for p in pieces]
-            counts = np.fromiter(map(len, packed), dtype=np.int64, count=len(packed)) // 4
-            flat = pa.array(np.frombuffer(b"".join(packed), dtype="<i4"))
-            ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), flat)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, pa.array(counts)], names=["doc_id", "ids", "n_tokens"])
+        for doc_ids, packed in _encoded(batches, vocabulary(file.value), splitter(pattern)):
+            yield pa.RecordBatch.from_arrays([doc_ids, *_ids_column(packed)], names=["doc_id", "ids", "n_tokens"])
 
     return texts(docs).mapInArrow(run, "doc_id long, ids array<int>, n_tokens long")
 
 
+def _encoded(batches: Iterable[pa.RecordBatch], vocab: Vocabulary, split) -> Iterator[tuple[pa.Array, list[bytes]]]:
+    """doc_ids and packed ids of each batch of (doc_id, text)."""
+    known: dict[str, bytes] = {}
+    for batch in batches:
+        pieces = [split(text) if text else [] for text in batch.column("text").to_pylist()]
+        if len(known) > REMEMBERED:
+            known = {}
+        new = set(chain.from_iterable(pieces)).difference(known)
+        encoded = encode_pieces(vocab, (p.encode() for p in new))
+        for p in new:
+            known[p] = encoded[p.encode()]
+        yield batch.column("doc_id"), [b"".join(map(known.__getitem__, p)) for p in pieces]
+
+
+def _ids_column(packed: list[bytes]) -> tuple[pa.Array, pa.Array]:
+    counts = np.fromiter(map(len, packed), dtype=np.int64, count=len(packed)) // 4
+    flat = pa.array(np.frombuffer(b"".join(packed), dtype="<i4"))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), flat), pa.array(counts)
+
+
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """encode() and decode() in one pass, so that a task needs one Python worker: (doc_id, ids, n_tokens, decoded)."""
+    file = _ranks(docs, ranks_path)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token = token_bytes(file.value).__getitem__
+        for doc_ids, packed in _encoded(batches, vocabulary(file.value), splitter(pattern)):
+            decoded = [b"".join(map(token, np.frombuffer(p, dtype="<i4").tolist())) for p in packed]
+            yield pa.RecordBatch.from_arrays([doc_ids, *_ids_column(packed), pa.array(decoded, type=pa.binary())], names=["doc_id", "ids", "n_tokens", "decoded"])
+
+    return texts(docs).mapInArrow(run, "doc_id long, ids array<int>, n_tokens long, decoded binary")
+
+
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     """encoded (doc_id, ids, n_tokens) with the bytes of its ids as column decoded."""
     file = _ranks(encoded, ranks_path)

@@ -14,7 +14,6 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -128,17 +127,17 @@ def deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return found.groupBy("did", "th").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("gone")))).alias("gone"))
 
 
-@F.pandas_udf(StringType())
-def _without(text: pd.Series, gone: pd.Series) -> pd.Series:
+@F.arrow_udf(StringType())
+def _without(text: pa.Array, gone: pa.Array) -> pa.Array:
     """Each text without the lines at the positions in gone, null for none."""
 
-    def cut(t: str, g) -> str:
+    def cut(t: str, g: list[int] | None) -> str:
         if g is None:
             return t
-        drop = set(g.tolist())
+        drop = set(g)
         return "\n".join(x for k, x in enumerate(t.split("\n")) if k not in drop)
 
-    return pd.Series([cut(t, g) for t, g in zip(text, gone, strict=True)], dtype=object)
+    return pa.array([cut(t, g) for t, g in zip(text.to_pylist(), gone.to_pylist(), strict=True)], type=pa.string())
 
 
 def deduplicate(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

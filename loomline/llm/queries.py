@@ -47,8 +47,7 @@ def op5_flow_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    encoded = bpe_codec.encode(load(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
-    return bpe_codec.digests(bpe_codec.decode(encoded, ranks))
+    return bpe_codec.digests(bpe_codec.round_trip(load(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN))
 
 
 def op7_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
