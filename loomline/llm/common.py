@@ -65,10 +65,10 @@ def written(df: DataFrame, label: str) -> DataFrame:
 BROADCAST_ROWS = 2_000_000
 
 
-def if_small(df: DataFrame, label: str, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df, written once and counted: marked for broadcast if it has at most so many rows."""
+def if_small(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
+    """df, written once and counted: marked for broadcast if it has at most so many rows, BROADCAST_ROWS if not said."""
     df = written(df, label)
-    return F.broadcast(df) if df.count() <= rows else df
+    return F.broadcast(df) if df.count() <= (BROADCAST_ROWS if rows is None else rows) else df
 
 
 def held_out(doc_id: str = "doc_id"):

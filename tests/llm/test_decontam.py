@@ -3,7 +3,7 @@ import re
 
 from helpers import awkward_rows, docs_frame, random_text, with_clashes
 
-from loomline.llm import decontam
+from loomline.llm import common, decontam
 
 
 def plain_words(text):
@@ -45,6 +45,14 @@ def test_equals_brute_force(spark):
     assert sorted((tuple(r) for r in found), key=str) == plain_report(rows, items)
 
 
+def test_large_test_sets_are_joined_by_shuffle_with_the_same_result(spark, monkeypatch):
+    rows, items = tables()
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    found = decontam.report(docs_frame(spark, rows), benchmark).collect()
+    assert sorted((tuple(r) for r in found), key=str) == plain_report(rows, items)
+
+
 def test_removal_of_documents_and_of_spans(spark):
     rows, items = tables()
     long = [i for i in items if len(plain_words(i[1])) >= 10]
