@@ -8,7 +8,7 @@ from loomline.functions.columns import newest, ntz, within
 from loomline.operators import activity, health, joins
 from loomline.plans.joins import LEAD_SQL, ROUTING_SQL
 from loomline.plans.params import DEFAULT as P
-from loomline.plans.registry import add
+from loomline.plans.registry import PLACES, WHERE_IT_STANDS, add
 
 RANGE = f"BETWEEN TIMESTAMP '{P.t0}' AND TIMESTAMP '{P.t1}'"
 
@@ -16,12 +16,12 @@ add("cfg_enterprises", lambda t: t.enterprises.orderBy("nm_enterprise"), "SELECT
 add(
     "cfg_sites",
     lambda t: joins.named(t.sites, t, "enterprise").select("id_site", "nm_enterprise", "nm_site").orderBy("nm_enterprise", "nm_site"),
-    "SELECT s.id_site, ent.nm_enterprise, s.nm_site FROM sites s JOIN enterprises ent ON ent.id_enterprise = s.id_enterprise",
+    "SELECT id_site, nm_enterprise, nm_site FROM sites JOIN enterprises USING (id_enterprise)",
 )
 add(
     "cfg_areas",
     lambda t: joins.named(t.areas, t, "site", "enterprise").select("id_area", "nm_enterprise", "nm_site", "nm_area", "day_begin").orderBy("nm_enterprise", "nm_site", "nm_area"),
-    "SELECT a.id_area, ent.nm_enterprise, s.nm_site, a.nm_area, a.day_begin FROM areas a JOIN sites s ON s.id_site = a.id_site JOIN enterprises ent ON ent.id_enterprise = a.id_enterprise",
+    "SELECT id_area, nm_enterprise, nm_site, nm_area, day_begin FROM areas JOIN sites USING (id_site, id_enterprise) JOIN enterprises USING (id_enterprise)",
 )
 add("cfg_equipments", lambda t: joins.lead_machines(t).orderBy("nm_enterprise", "nm_site", "nm_area", "nm_equipment"), LEAD_SQL)
 add("cfg_packml", lambda t: joins.routing_table(t).orderBy("nm_enterprise", "nm_site", "nm_area", "nm_equipment"), ROUTING_SQL)
@@ -38,9 +38,8 @@ MONDAY = f"(date_trunc('week', TIMESTAMP '{P.as_of}')"
 add(
     "cfg_shifts",
     shift_listing,
-    f"""SELECT sh.id_shift, s.nm_site, a.nm_area, sh.cd_shift, sh.nm_shift, strftime({MONDAY} + h.begin_time * INTERVAL 1 SECOND), '%a %H:%M') AS begin_day_time,
-    strftime({MONDAY} + h.end_time * INTERVAL 1 SECOND), '%a %H:%M') AS end_day_time, h.begin_time, h.end_time
-    FROM shifts sh JOIN sites s ON s.id_site = sh.id_site LEFT JOIN areas a ON a.id_area = sh.id_area JOIN shift_hours h ON h.id_shift = sh.id_shift""",
+    f"""SELECT id_shift, nm_site, nm_area, cd_shift, nm_shift, strftime({MONDAY} + begin_time * INTERVAL 1 SECOND), '%a %H:%M') AS begin_day_time, strftime({MONDAY} + end_time * INTERVAL 1 SECOND), '%a %H:%M') AS end_day_time,
+    begin_time, end_time FROM shifts JOIN shift_hours USING (id_shift) JOIN sites USING (id_site) LEFT JOIN areas USING (id_area)""",
 )
 add(
     "cfg_machines",
@@ -55,14 +54,12 @@ add(
 add(
     "cfg_topics",
     lambda t: joins.named(t.packml_register.where("active"), t, "equipment", "enterprise").select("id_packml_register", "packml_topic", "id_equipment", "nm_equipment", "nm_enterprise").orderBy("id_packml_register"),
-    """SELECT pr.id_packml_register, pr.packml_topic, pr.id_equipment, e.nm_equipment, ent.nm_enterprise FROM packml_register pr JOIN equipments e ON e.id_equipment = pr.id_equipment
-    JOIN enterprises ent ON ent.id_enterprise = pr.id_enterprise WHERE pr.active""",
+    f"SELECT id_packml_register, packml_topic, id_equipment, nm_equipment, nm_enterprise FROM packml_register JOIN {PLACES} USING (id_equipment) WHERE active",
 )
 add(
     "cfg_uns_recent",
     lambda t: joins.named(newest(t.uns_metrics, 30, F.col("ts_value").desc(), F.col("seq").desc()), t, "equipment", "area", "site", "enterprise", how="left").select("seq", "ts_value", "nm_enterprise", "nm_site", "nm_area", "nm_equipment", "metric_name", "metric_value", "metric_type"),
-    """SELECT um.seq, um.ts_value, ent.nm_enterprise, s.nm_site, a.nm_area, e.nm_equipment, um.metric_name, um.metric_value, um.metric_type FROM uns_metrics um LEFT JOIN equipments e ON e.id_equipment = um.id_equipment
-    LEFT JOIN areas a ON a.id_area = um.id_area LEFT JOIN sites s ON s.id_site = um.id_site LEFT JOIN enterprises ent ON ent.id_enterprise = um.id_enterprise ORDER BY um.ts_value DESC, um.seq DESC LIMIT 30""",
+    f"SELECT seq, ts_value, {WHERE_IT_STANDS}, metric_name, metric_value, metric_type FROM uns_metrics LEFT JOIN {PLACES} USING (id_equipment) ORDER BY ts_value DESC, seq DESC LIMIT 30",
 )
 for key, table, order in (("cfg_last20_values", "equipment_values", "ts_value DESC, id_equipment DESC, speed DESC, state DESC, net_production_incr DESC"), ("cfg_last20_uns", "uns_metrics", "ts_value DESC, seq DESC"), ("cfg_last20", "production_orders", "id_production_order DESC")):
     names = tuple(c.removesuffix(" DESC") for c in order.split(", "))

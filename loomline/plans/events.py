@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 from loomline.operators import events
 from loomline.plans.params import DEFAULT as P
 from loomline.plans.params import ORDERS
-from loomline.plans.registry import add
+from loomline.plans.registry import PLACES, add
 
 RANGE = f"BETWEEN TIMESTAMP '{ORDERS.t0}' AND TIMESTAMP '{ORDERS.t1}'"
 AS_OF = f"TIMESTAMP '{P.as_of}'"
 OPEN_CATEGORY = "(cd_category IS NULL OR cd_category = '')"
-TYPE = "CASE WHEN ee.planned_downtime THEN 'Planned' WHEN ee.change_over THEN 'Changeover' {running} ELSE 'Unplanned' END AS type"
-NAMED = "LEFT JOIN equipments e ON e.id_equipment = ee.id_equipment LEFT JOIN enterprises ent ON ent.id_enterprise = ee.id_enterprise"
+TYPE = "if(planned_downtime, 'Planned', if(change_over, 'Changeover', {other})) AS type"
+NAMED = f"equipment_events LEFT JOIN {PLACES} USING (id_equipment)"
 TIMELINE = """WITH ticks AS (SELECT id_equipment, ts_value, max(state) AS state FROM equipment_values WHERE state IS NOT NULL GROUP BY 1, 2),
     marked AS (SELECT *, CASE WHEN state IS DISTINCT FROM lag(state) OVER (PARTITION BY id_equipment ORDER BY ts_value) THEN 1 ELSE 0 END AS changed FROM ticks)"""
 
@@ -26,14 +26,14 @@ add(
 add(
     "ev_recent",
     events.recent,
-    f"""SELECT ee.id_equipment_event, ee.ts_event, ent.nm_enterprise, e.nm_equipment, ee.status, ee.ts_end, ee.duration, {TYPE.format(running="WHEN ee.status = 6 THEN 'Running'")}
-    FROM equipment_events ee {NAMED} ORDER BY ee.ts_event DESC, ee.id_equipment_event DESC LIMIT 30""",
+    f"""SELECT id_equipment_event, ts_event, nm_enterprise, nm_equipment, status, ts_end, duration, {TYPE.format(other="if(status = 6, 'Running', 'Unplanned')")}
+    FROM {NAMED} ORDER BY ts_event DESC, id_equipment_event DESC LIMIT 30""",
 )
 add(
     "ev_downtime",
     lambda t: events.downtime(t, P),
-    f"""SELECT ee.id_equipment_event, ent.nm_enterprise, e.nm_equipment, ee.ts_event AS ts_start, ee.ts_end, round(coalesce(ee.duration, floor(epoch({AS_OF} - ee.ts_event))) / 60.0, 1) AS duration_min,
-    {TYPE.format(running="")} FROM equipment_events ee {NAMED} WHERE ee.status <> 6 ORDER BY ee.ts_event DESC, ee.id_equipment_event DESC LIMIT 30""",
+    f"""SELECT id_equipment_event, nm_enterprise, nm_equipment, ts_event AS ts_start, ts_end, round(coalesce(duration, floor(epoch({AS_OF} - ts_event))) / 60.0, 1) AS duration_min,
+    {TYPE.format(other="'Unplanned'")} FROM {NAMED} WHERE status <> 6 ORDER BY ts_event DESC, id_equipment_event DESC LIMIT 30""",
 )
 add("ev_count", lambda t: t.equipment_events.agg(F.count("*").alias("value")), "SELECT count(*) AS value FROM equipment_events")
 for key, closed in (("ev_justifiable", False), ("ev_auto_justifiable", True)):
@@ -52,9 +52,9 @@ add("ev_pending_now", lambda t: t.equipment_events.where("ts_end IS NULL").agg(F
 add(
     "ev_backlog",
     lambda t: events.backlog(t, P),
-    f"""SELECT ee.id_equipment_event, ee.id_equipment, coalesce(pr.packml_topic, eq.nm_equipment) AS topic, CAST(round(floor(epoch({AS_OF} - ee.ts_event)) / 60.0) AS DOUBLE) AS open_min, ee.ts_event
-    FROM equipment_events ee LEFT JOIN packml_register pr ON pr.id_equipment = ee.id_equipment JOIN equipments eq ON eq.id_equipment = ee.id_equipment
-    WHERE ee.ts_end IS NOT NULL AND {OPEN_CATEGORY} AND ee.status = 10 ORDER BY ee.ts_event, ee.id_equipment_event, topic LIMIT 20""",
+    f"""SELECT id_equipment_event, id_equipment, coalesce(packml_topic, nm_equipment) AS topic, CAST(round(floor(epoch({AS_OF} - ts_event)) / 60.0) AS DOUBLE) AS open_min, ts_event
+    FROM (SELECT * FROM equipment_events WHERE status = 10 AND ts_end IS NOT NULL AND {OPEN_CATEGORY}) JOIN (SELECT id_equipment, nm_equipment FROM equipments) USING (id_equipment)
+    LEFT JOIN (SELECT id_equipment, packml_topic FROM packml_register) USING (id_equipment) ORDER BY ts_event, id_equipment_event, topic LIMIT 20""",
 )
 add(
     "ev_justification_rate",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from loomline.functions.columns import ntz, within
 from loomline.operators import joins
 from loomline.plans.params import DEFAULT as P
-from loomline.plans.registry import add
+from loomline.plans.registry import PLACES, WHERE_IT_STANDS, add
 
 RANGE = f"BETWEEN TIMESTAMP '{P.t0}' AND TIMESTAMP '{P.t1}'"
 NAMES = "AFRICA,ASIA"
@@ -21,24 +21,18 @@ add(
 add(
     "join_latest_rows",
     joins.latest_rows,
-    """SELECT ev.ts_value, ent.nm_enterprise, s.nm_site, a.nm_area, e.nm_equipment, ev.net_production_incr, ev.scrap_incr, ev.state, ev.mode, ev.speed, ev.signal_quality, ev.id_equipment
-    FROM equipment_values ev JOIN equipments e ON e.id_equipment = ev.id_equipment JOIN areas a ON a.id_area = ev.id_area JOIN sites s ON s.id_site = ev.id_site
-    JOIN enterprises ent ON ent.id_enterprise = ev.id_enterprise
-    ORDER BY ev.ts_value DESC, ev.id_equipment NULLS FIRST, ev.state NULLS FIRST, ev.speed NULLS FIRST, ev.net_production_incr NULLS FIRST LIMIT 50""",
+    f"""SELECT ts_value, {WHERE_IT_STANDS}, net_production_incr, scrap_incr, state, mode, speed, signal_quality, id_equipment FROM equipment_values JOIN {PLACES} USING (id_equipment)
+    ORDER BY ts_value DESC, id_equipment NULLS FIRST, state NULLS FIRST, speed NULLS FIRST, net_production_incr NULLS FIRST LIMIT 50""",
 )
 add(
     "join_orders_left",
     lambda t: joins.named(t.production_orders, t, "equipment", "area", "site", "enterprise", how="left").select("id_production_order", "nm_enterprise", "nm_site", "nm_area", "nm_equipment", "status"),
-    """SELECT po.id_production_order, ent.nm_enterprise, s.nm_site, a.nm_area, e.nm_equipment, po.status FROM production_orders po LEFT JOIN equipments e ON e.id_equipment = po.id_equipment
-    LEFT JOIN areas a ON a.id_area = po.id_area LEFT JOIN sites s ON s.id_site = po.id_site LEFT JOIN enterprises ent ON ent.id_enterprise = po.id_enterprise""",
-)
-LEAD_SQL = """SELECT eq.id_equipment, ent.nm_enterprise, s.nm_site, a.nm_area, eq.nm_equipment,
-    CASE eq.tp_equipment WHEN 1 THEN 'Machine' WHEN 2 THEN 'Sector' WHEN 3 THEN 'Line' ELSE CAST(eq.tp_equipment AS VARCHAR) END AS tp_equipment, eq.lead_machine, lm.nm_equipment AS nm_lead_machine
-    FROM equipments eq JOIN areas a ON a.id_area = eq.id_area JOIN sites s ON s.id_site = eq.id_site JOIN enterprises ent ON ent.id_enterprise = eq.id_enterprise
-    LEFT JOIN equipments lm ON lm.id_equipment = eq.lead_machine"""
-ROUTING_SQL = """SELECT pr.id_packml_register, ent.nm_enterprise, s.nm_site, a.nm_area, e.nm_equipment, pr.packml_topic, pr.active, CASE WHEN pr.active THEN 'Active' ELSE 'Inactive' END AS active_label,
-    pr.id_unit, pr.signal_quality FROM packml_register pr JOIN equipments e ON e.id_equipment = pr.id_equipment JOIN areas a ON a.id_area = e.id_area JOIN sites s ON s.id_site = e.id_site
-    JOIN enterprises ent ON ent.id_enterprise = e.id_enterprise"""
+    f"SELECT id_production_order, {WHERE_IT_STANDS}, status FROM production_orders LEFT JOIN {PLACES} USING (id_equipment)",
+)
+LEAD_SQL = f"""SELECT places.*, coalesce(MAP {{1: 'Machine', 2: 'Sector', 3: 'Line'}}[x.tp_equipment], CAST(x.tp_equipment AS VARCHAR)) AS tp_equipment, x.lead_machine, y.nm_equipment AS nm_lead_machine
+    FROM equipments AS x JOIN {PLACES} USING (id_equipment) LEFT JOIN equipments AS y ON x.lead_machine = y.id_equipment"""
+ROUTING_SQL = f"""SELECT id_packml_register, {WHERE_IT_STANDS}, packml_topic, active, if(active, 'Active', 'Inactive') AS active_label, id_unit, signal_quality
+    FROM packml_register JOIN {PLACES} USING (id_equipment)"""
 add("join_lead_machine", joins.lead_machines, LEAD_SQL)
 add("join_routing_table", joins.routing_table, ROUTING_SQL)
 add(

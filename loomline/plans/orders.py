@@ -6,24 +6,22 @@ from pyspark.sql import functions as F
 
 from loomline.operators import orders
 from loomline.plans.params import DEFAULT as P
-from loomline.plans.registry import add
+from loomline.plans.registry import PLACES, WHERE_IT_STANDS, add
 
-HIERARCHY = "LEFT JOIN equipments e ON e.id_equipment = po.id_equipment LEFT JOIN areas a ON a.id_area = po.id_area LEFT JOIN sites s ON s.id_site = po.id_site LEFT JOIN enterprises ent ON ent.id_enterprise = po.id_enterprise"
 INSIDE = "ev.id_equipment = rt.id_equipment AND ev.ts_value >= rt.ts_start AND (rt.ts_end IS NULL OR ev.ts_value < rt.ts_end)"
 TOTALS = f"SELECT rt.id_production_order_runtime, sum(ev.net_production_incr) AS net_production, sum(ev.scrap_incr) AS scrap, count(*) AS ticks FROM production_orders_runtime rt JOIN equipment_values ev ON {INSIDE} GROUP BY rt.id_production_order_runtime"
 
 add(
     "po_recent",
     orders.recent,
-    f"""SELECT po.id_production_order, ent.nm_enterprise, s.nm_site, a.nm_area, e.nm_equipment, po.status,
-    CASE po.status WHEN 1 THEN 'Available' WHEN 2 THEN 'Running' WHEN 3 THEN 'Finished' WHEN 4 THEN 'Paused' END AS status_label, po.nm_production_order, po.ts_start, po.ts_end, po.production_final
-    FROM production_orders po {HIERARCHY} ORDER BY po.id_production_order DESC LIMIT 100""",
+    f"""SELECT id_production_order, {WHERE_IT_STANDS}, status, ['Available', 'Running', 'Finished', 'Paused'][status] AS status_label, nm_production_order, ts_start, ts_end, production_final
+    FROM production_orders LEFT JOIN {PLACES} USING (id_equipment) ORDER BY id_production_order DESC LIMIT 100""",
 )
 add(
     "po_runtimes_recent",
     orders.recent_runtimes,
-    """SELECT por.id_production_order_runtime, po.nm_production_order, po.status AS po_status, e.nm_equipment, por.ts_start, por.ts_end FROM production_orders_runtime por
-    JOIN production_orders po ON po.id_production_order = por.id_production_order LEFT JOIN equipments e ON e.id_equipment = por.id_equipment ORDER BY por.id_production_order_runtime DESC LIMIT 100""",
+    """SELECT id_production_order_runtime, nm_production_order, o.status AS po_status, nm_equipment, r.ts_start, r.ts_end FROM production_orders_runtime AS r
+    JOIN production_orders AS o USING (id_production_order) LEFT JOIN equipments AS m ON m.id_equipment = r.id_equipment ORDER BY id_production_order_runtime DESC LIMIT 100""",
 )
 for key, status in (("po_running", 2), ("po_paused", 4), ("po_available", 1)):
     add(
@@ -34,8 +32,7 @@ for key, status in (("po_running", 2), ("po_paused", 4), ("po_available", 1)):
 add(
     "po_running_hierarchy",
     orders.running_hierarchy,
-    f"""SELECT po.id_production_order, ent.nm_enterprise, s.nm_site, a.nm_area, e.nm_equipment, po.id_equipment FROM production_orders po {HIERARCHY}
-    WHERE po.status = 2 ORDER BY po.id_production_order LIMIT 20""",
+    f"SELECT id_production_order, {WHERE_IT_STANDS}, id_equipment FROM production_orders JOIN {PLACES} USING (id_equipment) WHERE status = 2 ORDER BY id_production_order LIMIT 20",
 )
 add("po_fold_actions", lambda t: orders.fold_actions(t.production_orders, t.order_actions))
 add(

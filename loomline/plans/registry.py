@@ -8,6 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loomline.sources.tables import Tables, with_views
 
+#: Every equipment with the names of where it stands.
+PLACES = """(SELECT equipments.id_equipment, nm_equipment, nm_area, nm_site, nm_enterprise FROM equipments JOIN areas USING (id_area)
+    JOIN sites ON sites.id_site = equipments.id_site JOIN enterprises ON enterprises.id_enterprise = equipments.id_enterprise) AS places"""
+WHERE_IT_STANDS = "nm_enterprise, nm_site, nm_area, nm_equipment"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 

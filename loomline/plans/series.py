@@ -10,15 +10,15 @@ from loomline.functions.columns import bucket, within
 from loomline.operators import series
 from loomline.plans.params import DEFAULT as P
 from loomline.plans.params import ORDERS
-from loomline.plans.registry import add
+from loomline.plans.registry import PLACES, add
 from loomline.sources.sinks import work_dir
 
 RANGE = f"BETWEEN TIMESTAMP '{P.t0}' AND TIMESTAMP '{P.t1}'"
-NAMED = "FROM equipment_values ev JOIN equipments e ON e.id_equipment = ev.id_equipment JOIN enterprises ent ON ent.id_enterprise = ev.id_enterprise"
+NAMED = f"FROM equipment_values AS ev JOIN {PLACES} USING (id_equipment)"
 
 
 def labelled(column: str, value: str) -> str:
-    return f"SELECT time_bucket(INTERVAL 1 HOUR, ev.ts_value) AS time, ent.nm_enterprise || ' › ' || e.nm_equipment AS metric, {value} AS value {NAMED} WHERE ev.ts_value {RANGE} AND ev.{column} IS NOT NULL GROUP BY 1, 2"
+    return f"SELECT time_bucket(INTERVAL 1 HOUR, ev.ts_value) AS time, concat_ws(' › ', nm_enterprise, nm_equipment) AS metric, {value} AS value {NAMED} WHERE ev.ts_value {RANGE} AND ev.{column} IS NOT NULL GROUP BY 1, 2"
 
 
 add("ts_production", lambda t: series.series(t, "net_production_incr", F.sum("net_production_incr"), P), labelled("net_production_incr", "sum(ev.net_production_incr)"))
