@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.llm import bpe_codec, decontam, line_align, ppm_lang, simhash
-from loomline.llm.common import NO_ID, load, written
+from loomline.llm.common import NO_ID, held_out, if_small, load, written
 
 #: A language below this share of the total probability is no better than a guess among the languages.
 MIN_LANGUAGE_SCORE = 0.3
@@ -20,13 +20,8 @@ def _did(docs: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told; those without letters or with no likely language go.
-
-    A doc_id on several rows stays if any of them passes.
-    """
-    found = ppm_lang.identify(spark, docs).where((F.col("lang_pred") != ppm_lang.UNDETERMINED) & (F.col("score") >= MIN_LANGUAGE_SCORE))
-    kept = written(_did(found).select("__did").distinct(), "pipeline-languages")
-    return _did(docs).join(kept, "__did", "left_semi").select(*docs.columns)
+    """Documents whose language is told; those without letters or with no likely language go. Each row is judged by its own text."""
+    return ppm_lang.identified(docs, ppm_lang.train(docs.where(~held_out())), MIN_LANGUAGE_SCORE)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,11 +30,17 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of lowest doc_id of each near-duplicate group, once."""
-    found = written(simhash.near_duplicates(docs), "pipeline-groups")
-    kept = found.where("doc_id <=> component_id").select("doc_id").distinct()
-    kept = _did(kept).select("__did")
-    return _did(docs).join(kept, "__did", "left_semi").dropDuplicates(["__did"]).select(*docs.columns)
+    """The document of lowest doc_id of each near-duplicate group, once.
+
+    Only ids that go, and those on several rows, are joined to the texts: few beside those that stay.
+    """
+    found = _did(written(simhash.near_duplicates(docs), "pipeline-groups"))
+    per_id = found.groupBy("__did").agg(F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays"), F.count("*").alias("n"))
+    gone = if_small(per_id.where(~F.col("stays")).select("__did"), "pipeline-gone")
+    several = if_small(per_id.where(F.col("stays") & (F.col("n") > 1)).select("__did"), "pipeline-several")
+    left = _did(docs).join(gone, "__did", "left_anti")
+    once = left.join(several, "__did", "left_semi").dropDuplicates(["__did"])
+    return left.join(several, "__did", "left_anti").unionByName(once).select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -110,7 +110,7 @@ def report(docs: DataFrame, benchmark: DataFrame, window_words: int = WINDOW_WOR
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, window_words: int = WINDOW_WORDS) -> DataFrame:
     """The rows of docs, all columns, in which no test window occurs."""
-    found = hits(docs, benchmark, window_words).select(F.struct("did", "th").alias("hit"))
+    found = if_small(hits(docs, benchmark, window_words).select(F.struct("did", "th").alias("hit")), "decontam-dirty")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     key = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"), F.xxhash64(text).alias("th"))
     return docs.join(found, key == found.hit, "left_anti")

@@ -19,6 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from loomline.llm.common import held_out, prepare, texts
 
@@ -196,20 +197,38 @@ def predict(docs: DataFrame, packed: bytes) -> DataFrame:
     model = docs.sparkSession.sparkContext.broadcast(packed)  # bounded by TRAIN_BYTES per language
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = coder(model.value)
         for batch in batches:
-            data = [_bytes(t) if t and LETTER.search(t) else b"" for t in batch.column("text").to_pylist()]
-            said = np.array([bool(d) for d in data], dtype=bool) & bool(code.langs)
-            bits = code.lengths(data) / UNIT if code.langs else np.zeros((len(data), 1))
-            best = bits.argmin(axis=1)
-            score = 1 / np.exp2(np.minimum(0, bits.min(axis=1)[:, None] - bits)).sum(axis=1)
-            pred = [code.langs[b] if s else UNDETERMINED for b, s in zip(best.tolist(), said.tolist(), strict=True)]
-            rate = bits.min(axis=1) / np.maximum(1, [len(d) for d in data])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(pred, type=pa.string()), pa.array(np.where(said, score, 0.0)), pa.array(rate, mask=~said)], names=["doc_id", "lang_pred", "score", "bits_per_byte"])
+            pred, score, rate, said = _told(coder(model.value), batch.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(pred, type=pa.string()), pa.array(score), pa.array(rate, mask=~said)], names=["doc_id", "lang_pred", "score", "bits_per_byte"])
 
     return texts(docs).mapInArrow(run, "doc_id long, lang_pred string, score double, bits_per_byte double")
 
 
+def _told(code: Coder, batch: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Language, score and bits per byte of each text, and whether anything was said of it."""
+    data = [_bytes(t) if t and LETTER.search(t) else b"" for t in batch]
+    said = np.array([bool(d) for d in data], dtype=bool) & bool(code.langs)
+    bits = code.lengths(data) / UNIT if code.langs else np.zeros((len(data), 1))
+    best = bits.argmin(axis=1)
+    score = 1 / np.exp2(np.minimum(0, bits.min(axis=1)[:, None] - bits)).sum(axis=1)
+    pred = [code.langs[b] if s else UNDETERMINED for b, s in zip(best.tolist(), said.tolist(), strict=True)]
+    rate = bits.min(axis=1) / np.maximum(1, [len(d) for d in data])
+    return pred, np.where(said, score, 0.0), rate, said
+
+
+def identified(docs: DataFrame, packed: bytes, min_score: float) -> DataFrame:
+    """The rows of docs, all columns, whose text has a language of at least min_score; each row by its own text, without a shuffle."""
+    prepare(docs.sparkSession)
+    model = docs.sparkSession.sparkContext.broadcast(packed)
+
+    @F.arrow_udf(BooleanType())
+    def likely(text: pa.Array) -> pa.Array:
+        _, score, _, said = _told(coder(model.value), text.to_pylist())
+        return pa.array(said & (score >= min_score))
+
+    return docs.where(likely(F.col("text").cast("string")))
+
+
 def identify(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Languages of all rows of docs, learned from its labelled rows that are not held out."""
     packed = train(docs.where(~held_out()))
