@@ -19,7 +19,6 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
 
 from loomline.llm.common import held_out, prepare, texts
 
@@ -221,12 +220,12 @@ def identified(docs: DataFrame, packed: bytes, min_score: float) -> DataFrame:
     prepare(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(packed)
 
-    @F.arrow_udf(BooleanType())
-    def likely(text: pa.Array) -> pa.Array:
-        _, score, _, said = _told(coder(model.value), text.to_pylist())
-        return pa.array(said & (score >= min_score))
+    def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, score, _, said = _told(coder(model.value), batch.column("text").to_pylist())
+            yield batch.filter(pa.array(said & (score >= min_score)))
 
-    return docs.where(likely(F.col("text").cast("string")))
+    return docs.mapInArrow(keep, docs.schema)
 
 
 def identify(spark: SparkSession, docs: DataFrame) -> DataFrame:
