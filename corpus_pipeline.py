@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm import bpe_codec, decontam, line_align, ppm_lang, simhash
+from loomline.llm import bpe_codec, decontam, line_align, near_copies, ppm_lang
 from loomline.llm.common import NO_ID, held_out, if_small, load, written
 
 #: A language below this share of the total probability is no better than a guess among the languages.
@@ -30,12 +30,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of lowest doc_id of each near-duplicate group, once.
+    """The document of lowest doc_id of each group of near copies (five-word Jaccard of 0.8 or above), once.
 
     Only ids that go, and those on several rows, are joined to the texts: few beside those that stay.
     """
-    found = _did(written(simhash.near_duplicates(docs), "pipeline-groups"))
-    per_id = found.groupBy("__did").agg(F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays"), F.count("*").alias("n"))
+    found = written(near_copies.groups(docs), "pipeline-groups").withColumnRenamed("did", "__did")
+    per_id = found.groupBy("__did").agg(F.max(F.col("__did") == F.col("first_did")).alias("stays"), F.sum("rows").alias("n"))
     gone = if_small(per_id.where(~F.col("stays")).select("__did"), "pipeline-gone")
     several = if_small(per_id.where(F.col("stays") & (F.col("n") > 1)).select("__did"), "pipeline-several")
     left = _did(docs).join(gone, "__did", "left_anti")
@@ -57,7 +57,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("language ID", language_id),
     ("line dedup", line_dedup),
-    ("SimHash near-dedup", near_dedup),
+    ("near-dedup", near_dedup),
     ("benchmark decontamination", decontaminate),
     ("byte-level BPE", encode),
 ]
