@@ -1,11 +1,12 @@
 """Line deduplication by pairwise alignment.
 
-Lines are hashed, and a line that occurs in two documents at least links each later document to the
-first that holds it: pairs grow with the lines in common, not with the square of a group. Each pair
-is aligned by patience diff (lines unique on both sides, in their longest common order, then
-outwards and in between), and the aligned common blocks are deleted from the later document. Blocks
-of fewer than MIN_WORDS words stay. As a deleted line always has an earlier document that holds
-it, its first copy is never lost.
+Lines are hashed, and a line, or by choice a least block (a shortest run of lines with MIN_WORDS
+words), that occurs in two documents at least links each later document to the first that holds it: pairs grow with the lines in
+common, not with the square of a group. Each pair is aligned by patience diff (lines unique on both
+sides, in their longest common order, then outwards and in between), what that leaves is looked up in
+all of the earlier document, and the common blocks are deleted from the later document: with links by
+block, none of MIN_WORDS words that an earlier document holds is left. Blocks of fewer words stay. As a deleted line
+always has an earlier document that holds it, its first copy is never lost.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
@@ -26,6 +28,8 @@ from loomline.llm.common import NO_ID, if_small, prepare, written
 #: Words of the shortest common block that is deleted.
 MIN_WORDS = 5
 TRIM = " \t\r\x0b\x0c"
+#: Of the hash of a run of lines.
+PRIME, BASE = (1 << 61) - 1, 0x1B873593CC9E2D5
 
 
 def _line_hash(line: str) -> int:
@@ -74,20 +78,55 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(matched)
 
 
+def _least_blocks(hashes: list[int], words: list[int], min_words: int) -> list[tuple[int, int, int]]:
+    """(start, end, key) of each shortest run of lines with at least min_words words from a line on, and up to a line.
+
+    Whatever block of so many words a line lies in, one of these that lies in the block holds the line too.
+    """
+    sums, powers, counts = [0], [1], [0]
+    for h, n in zip(hashes, words, strict=True):
+        sums.append((sums[-1] * BASE + h + 1) % PRIME)
+        powers.append(powers[-1] * BASE % PRIME)
+        counts.append(counts[-1] + n)
+    spans, n, end, start = set(), len(hashes), 0, 0
+    for k in range(n):
+        while end < n and counts[end] - counts[k] < min_words:
+            end += 1
+        if counts[end] - counts[k] >= min_words:
+            spans.add((k, end))
+        while counts[k + 1] - counts[start + 1] >= min_words and start < k:
+            start += 1
+        if counts[k + 1] - counts[start] >= min_words:
+            spans.add((start, k + 1))
+    return [(s, e, (sums[e] - sums[s] * powers[e - s]) % PRIME) for s, e in spans]
+
+
 def common_blocks(earlier: list[int], later: list[int], words: list[int], min_words: int = MIN_WORDS) -> list[int]:
-    """Positions of later in aligned common blocks of at least min_words words; words counts each of its lines' words."""
-    found: list[int] = []
+    """Positions of later in common blocks of at least min_words words; words counts each of its lines' words.
+
+    Blocks are those of the patience diff, and of what it leaves unmatched every run of lines that
+    earlier holds anywhere: repeated lines, blocks in another order, ranges without a line of their own.
+    """
+    found: set[int] = set()
     block: list[int] = []
     last = None
     for i, j in [*patience(earlier, later), (None, None)]:
         if last is None or (i, j) != (last[0] + 1, last[1] + 1):
             if sum(words[k] for k in block) >= min_words:
-                found += block
+                found.update(block)
             block = []
         if i is not None:
             block.append(j)
             last = (i, j)
-    return found
+    known = set(earlier)
+    if all(k in found or h not in known for k, h in enumerate(later)):
+        return sorted(found)
+    words_of = dict(zip(later, words, strict=True))
+    held = {key for _, _, key in _least_blocks(earlier, [words_of.get(h, min_words) for h in earlier], min_words)}
+    for s, e, key in _least_blocks(later, words, min_words):
+        if key in held:
+            found.update(range(s, e))
+    return sorted(found)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -109,10 +148,25 @@ def line_hashes(docs: DataFrame) -> DataFrame:
     return _keyed(docs).mapInArrow(run, "did long, th long, hashes array<long>, words array<int>")
 
 
-def deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(did, th, gone): line positions to delete from each later document that has any."""
+def deletions(docs: DataFrame, min_words: int = MIN_WORDS, by_block: bool = False) -> DataFrame:
+    """(did, th, gone): line positions to delete from each later document that has any.
+
+    A document is aligned with the first document of each of its lines; by_block with the first of
+    each of its least blocks, so that blocks of short lines are found whoever holds the lines first.
+    """
     lines = written(line_hashes(docs).dropDuplicates(["did", "th"]), "line-hashes")
-    held = lines.select("did", "th", F.explode(F.array_distinct("hashes")).alias("h")).where("h <> 0")
+
+    def blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [{key for _, _, key in _least_blocks(h, w, min_words)} for h, w in zip(batch.column("hashes").to_pylist(), batch.column("words").to_pylist(), strict=True)]
+            sizes = [len(x) for x in found]
+            ids = [pa.array(np.repeat(batch.column(c).to_numpy(), sizes)) for c in ("did", "th")]
+            yield pa.RecordBatch.from_arrays([*ids, pa.array([key for x in found for key in x], type=pa.int64())], names=["did", "th", "h"])
+
+    if by_block:
+        held = written(lines.select("did", "th", "hashes", "words").mapInArrow(blocks, "did long, th long, h long"), "line-held")
+    else:
+        held = lines.select("did", "th", F.explode(F.array_distinct("hashes")).alias("h")).where("h <> 0")
     # written, so that the joins read plain shuffles, whose hot lines and documents Spark can split
     first = written(held.groupBy("h").agg(F.min(F.struct("did", "th")).alias("first"), F.count("*").alias("n")).where("n > 1"), "line-first")
     pairs = held.join(first, "h").where("struct(did, th) <> first").select("did", "th", F.col("first.did").alias("adid"), F.col("first.th").alias("ath")).distinct()
@@ -141,7 +195,7 @@ def _without(text: pd.Series, gone: pd.Series) -> pd.Series:
     return pd.Series([cut(t, g) for t, g in zip(text, gone, strict=True)], dtype=object)
 
 
-def deduplicate(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def deduplicate(docs: DataFrame, min_words: int = MIN_WORDS, by_block: bool = False) -> DataFrame:
     """(doc_id, text, n_lines, n_removed) per row of docs, aligned common blocks deleted from later documents.
 
     Later means a greater doc_id; a null doc_id is before all others, rows with equal doc_id are
@@ -150,7 +204,7 @@ def deduplicate(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     inside a block. A null or empty text has one empty line and stays empty. Other columns of docs
     are ignored; an empty table gives an empty result.
     """
-    found = if_small(deletions(docs, min_words), "line-deletions", 200_000)
+    found = if_small(deletions(docs, min_words, by_block), "line-deletions", 200_000)
     joined = _keyed(docs).join(found, ["did", "th"], "left")
     return joined.select(
         F.when(F.col("did") != NO_ID, F.col("did")).alias("doc_id"),
@@ -160,12 +214,12 @@ def deduplicate(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     )
 
 
-def apply_to_rows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def apply_to_rows(docs: DataFrame, min_words: int = MIN_WORDS, by_block: bool = False) -> DataFrame:
     """docs, all columns, with shortened texts (and n_chars, where there is one); rows of which nothing is left go.
 
     Rows that lose no line are returned as they are, null and empty texts among them.
     """
-    found = if_small(deletions(docs, min_words), "line-deletions", 200_000)
+    found = if_small(deletions(docs, min_words, by_block), "line-deletions", 200_000)
     found = found.select(F.struct("did", "th").alias("__key"), F.col("gone").alias("__gone"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     key = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"), F.xxhash64(text).alias("th"))

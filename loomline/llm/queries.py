@@ -20,7 +20,7 @@ def op2_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_align(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_align.deduplicate(load(spark, sf_dir, "documents"))
+    found = line_align.deduplicate(load(spark, sf_dir, "documents"), by_block=True)
     return found.select("doc_id", "n_lines", "n_removed", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("text_sha256"))
 
 

@@ -63,3 +63,30 @@ def test_applied_to_rows(spark):
     assert 500 not in kept and kept[501].n_chars == len(kept[501].text)
     assert {1, 2, 3, 4, 5, 9} <= set(kept) and kept[1].text is None
     assert line_align.apply_to_rows(docs.limit(0)).collect() == []
+
+
+def blocks_of_earlier(rows):
+    """The texts without any line that lies in a run of lines of 5 words or more that an earlier document holds, by all runs."""
+    docs = sorted({(d if d is not None else -(2**63), t or "") for d, t in rows}, key=lambda d: (d[0], d[1]))
+    runs, cut = set(), {}
+    for d in docs:
+        lines = d[1].split("\n")
+        own = [(s, e, tuple(x.strip() for x in lines[s:e])) for s in range(len(lines)) for e in range(s + 1, len(lines) + 1)]
+        own = [r for r in own if sum(len(x.split()) for x in r[2]) >= 5]
+        gone = {k for s, e, r in own if r in runs for k in range(s, e)}
+        runs |= {r for _, _, r in own}
+        cut[d] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
+    return cut
+
+
+def test_no_block_of_an_earlier_document_is_left(spark):
+    rng = random.Random(21)
+    lines = [f"line {k} has five words" for k in range(12)] + [f"w{k}" for k in range(6)] + ["two words", "", "  "]
+    rows = [(1, "line 1 has five words\nline 2 has five words"), (2, "line 2 has five words\nmine\nline 1 has five words\nline 2 has five words")]
+    rows += [(3, "a b\nown3 x"), (4, "own4 y\nc d"), (5, "e\nz"), (6, "a b\nc d\ne"), (7, "seven\na b\nc d\ne\nends")]
+    rows += [(10, "hot line with five words\n" * 3 + "x"), (11, "mine\nhot line with five words\nyours\nhot line with five words")]
+    rows += [(100 + k, "\n".join(rng.choice(lines) for _ in range(rng.randrange(1, 9)))) for k in range(80)]
+    want = blocks_of_earlier(rows)
+    found = {r.doc_id: r.text for r in line_align.deduplicate(docs_frame(spark, rows), by_block=True).collect()}
+    assert found == {d: want[d, t] for d, t in rows}
+    assert found[2] == "mine" and found[7] == "seven\nends" and found[11] == "mine\nyours"
