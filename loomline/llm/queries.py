@@ -51,7 +51,7 @@ def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    back = rans_tokens.read_tokens(rans_tokens.write_tokens(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+    back = rans_tokens.read_tokens(rans_tokens.write_tokens(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), special_as_text=False))
     return back.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 

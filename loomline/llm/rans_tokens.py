@@ -91,20 +91,26 @@ def decode_block(states: bytes, words: bytes, n: int, freqs: np.ndarray, slots:
 
 
 @lru_cache(maxsize=2)
-def _tokenizer(file: str) -> Tokenizer:
+def _tokenizer(file: str, special_as_text: bool) -> Tokenizer:
     found = Tokenizer.from_str(file)
-    found.encode_special_tokens = True  # their strings in a text are ordinary text
+    if special_as_text:
+        found.encode_special_tokens = True  # their strings in a text are ordinary text
     return found
 
 
 class Encoder:
-    """Packed ids of whole texts by the library; pieces that recur are encoded once and remembered."""
+    """Packed ids of whole texts by the library; pieces that recur are encoded once and remembered.
 
-    def __init__(self, file: str):
-        self.library, self.split, self.known = _tokenizer(file), splitter(PIECES), {}
+    Texts that hold an added token, in any case, go to the library whole.
+    """
+
+    def __init__(self, file: str, special_as_text: bool = True):
+        self.library, self.split, self.known = _tokenizer(file, special_as_text), splitter(PIECES), {}
+        added = [re.escape(t.content) for t in self.library.get_added_tokens_decoder().values() if t.content]
+        self.added = re.compile("|".join(added) or r"(?!)", re.IGNORECASE)
 
     def __call__(self, batch: list[str | None]) -> list[bytes]:
-        simple = [bool(t) and SIMPLE.fullmatch(t) is not None for t in batch]
+        simple = [bool(t) and SIMPLE.fullmatch(t) is not None and self.added.search(t) is None for t in batch]
         pieces = [self.split(t.lower()) if s else [] for t, s in zip(batch, simple, strict=True)]
         if len(self.known) > REMEMBERED:
             self.known = {}
@@ -137,12 +143,13 @@ def _segment(part: int, number: int, doc_ids: list, docs: list[bytes]) -> pa.Rec
     return pa.RecordBatch.from_arrays([pa.array([v], type=k) for v, k in zip(row, kinds, strict=True)], names=["part", "segment", "n_tokens", "doc_ids", "lengths", "symbols", "freqs", "blocks"])
 
 
-def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> DataFrame:
+def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, special_as_text: bool = True) -> DataFrame:
     """Segments of all rows of docs(doc_id, text) in ascending doc_id order, written to the shared folder and read back.
 
     Each document is its ids and end_id. A null or empty text is end_id alone; a null doc_id comes
     first; rows with equal doc_id are in the order of a hash of their texts; other columns of docs
-    are ignored. Rows are dealt out by ranges of doc_id, so part numbers ascend with it.
+    are ignored. special_as_text encodes the strings of special tokens as ordinary text; without it
+    they are their ids, as by the library's default. Rows are dealt out by ranges of doc_id, so part numbers ascend with it.
     """
     spark = docs.sparkSession
     with open(tokenizer_path, encoding="utf-8") as held:
@@ -150,7 +157,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) ->
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, number = Encoder(file.value), TaskContext.get().partitionId(), 0
+        encoder, part, number = Encoder(file.value, special_as_text), TaskContext.get().partitionId(), 0
         doc_ids, held, size = [], [], 0
         for batch in batches:
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder(batch.column("text").to_pylist()), strict=True):

@@ -10,7 +10,7 @@ from helpers import awkward_rows, docs_frame, random_text, with_clashes
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from loomline.llm import chat_tree, flow_shards, rans_tokens
+from loomline.llm import chat_tree, flow_shards, queries, rans_tokens
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -83,6 +83,14 @@ def test_token_files_equal_the_library(spark, monkeypatch):
     assert rans_tokens.read_tokens(rans_tokens.write_tokens(docs_frame(spark, []), TOKENIZER)).collect() == []
 
 
+def test_query_gives_the_ids_of_an_untouched_library(spark, tmp_path):
+    rows = awkward_rows() + [(20, "end <|endoftext|> of"), (21, "<|startoftext|><|endoftext|>"), (22, "no <|ENDOFTEXT|> é日 <|endoftext|>"), (23, "end of")]
+    docs_frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    library = Tokenizer.from_file(TOKENIZER)
+    want = Counter((d, zlib.crc32(np.array([*library.encode(t or "", add_special_tokens=False).ids, 2], dtype="<u4").tobytes())) for d, t in rows)
+    assert Counter((r.doc_id, r.ids_crc32) for r in queries.op7_rans_tokens(spark, str(tmp_path)).collect()) == want
+
+
 def chats():
     rng = random.Random(6)
     parts = ["hi", "", None, "\\### Assistant: </turn> ok", "<|end|>", "\\<|", "<", "|end|>\\", "a\nb", "été 😀"]
