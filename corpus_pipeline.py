@@ -14,9 +14,10 @@ MIN_LANGUAGE_SCORE = 0.3
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
-def _did(docs: DataFrame) -> DataFrame:
-    """docs with one more column, their id with NO_ID for null."""
-    return docs.withColumn("__did", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with two more columns: their id with NO_ID for null, and a hash of their text."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.withColumns({"__did": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "__th": F.xxhash64(text)})
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,17 +31,20 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of lowest doc_id of each group of near copies (five-word Jaccard of 0.8 or above), once.
+    """One row of each group of near copies (five-word Jaccard of 0.8 or above), that of lowest doc_id.
 
-    Only ids that go, and those on several rows, are joined to the texts: few beside those that stay.
+    Each row is judged by its own text: rows that share an id, or have none, go only if their texts
+    are in a group. A null id is after all others, equal ids are in the order of a hash of their texts.
+    Only rows that go, and those that occur several times, are joined to the texts: few beside those that stay.
     """
-    found = written(near_copies.groups(docs), "pipeline-groups").withColumnRenamed("did", "__did")
-    per_id = found.groupBy("__did").agg(F.max(F.col("__did") == F.col("first_did")).alias("stays"), F.sum("rows").alias("n"))
-    gone = if_small(per_id.where(~F.col("stays")).select("__did"), "pipeline-gone")
-    several = if_small(per_id.where(F.col("stays") & (F.col("n") > 1)).select("__did"), "pipeline-several")
-    left = _did(docs).join(gone, "__did", "left_anti")
-    once = left.join(several, "__did", "left_semi").dropDuplicates(["__did"])
-    return left.join(several, "__did", "left_anti").unionByName(once).select(*docs.columns)
+    key = ["__did", "__th"]
+    found = written(near_copies.groups(docs), "pipeline-groups").withColumnsRenamed({"did": "__did", "th": "__th"})
+    stays = (F.col("__did") == F.col("first_did")) & (F.col("__th") == F.col("first_th"))
+    gone = if_small(found.where(~stays).select(*key), "pipeline-gone")
+    several = if_small(found.where(stays & (F.col("rows") > 1)).select(*key), "pipeline-several")
+    left = _keyed(docs).join(gone, key, "left_anti")
+    once = left.join(several, key, "left_semi").dropDuplicates(key)
+    return left.join(several, key, "left_anti").unionByName(once).select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

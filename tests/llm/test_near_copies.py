@@ -62,3 +62,14 @@ def test_prefix_holds_a_shingle_of_every_linked_set():
     for n in range(1, 300):
         fewest = min(o for o in range(1, n + 1) if 5 * o >= 4 * n)
         assert near_copies.prefix_size(n) == n - fewest + 1
+
+
+def test_null_and_repeated_ids_are_judged_by_their_own_texts(spark):
+    rng = random.Random(8)
+    a, b, c, d, e, f = (random_text(rng, [f"w{i}" for i in range(200)], 30) for _ in range(6))
+    rows = [(None, a), (None, b), (None, c), (1, d), (1, e), (2, d), (2, f), (3, b), (4, f), (4, f)]
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, docs_frame(spark, rows), "").collect()]
+    assert sorted(kept, key=str) == sorted([(None, a), (None, c), (1, d), (1, e), (2, f), (3, b)], key=str)
+    again = [(None, a), (None, a), (5, c), (5, c + " more")]
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, docs_frame(spark, again), "").collect()]
+    assert len(kept) == 2 and (None, a) in kept
