@@ -34,7 +34,16 @@ add(
     orders.running_hierarchy,
     f"SELECT id_production_order, {WHERE_IT_STANDS}, id_equipment FROM production_orders JOIN {PLACES} USING (id_equipment) WHERE status = 2 ORDER BY id_production_order LIMIT 20",
 )
-add("po_fold_actions", lambda t: orders.fold_actions(t.production_orders, t.order_actions))
+add(
+    "po_fold_actions",
+    lambda t: orders.fold_actions(t.production_orders, t.order_actions),
+    """WITH RECURSIVE steps AS (SELECT id_production_order, action, row_number() OVER (PARTITION BY id_production_order ORDER BY ts_action, seq, action) AS k FROM order_actions),
+    allowed(status, action, new) AS (VALUES (1, 'start', 2), (2, 'stop-finish', 3), (2, 'stop-pause', 4), (4, 'change-status', 3)),
+    fold AS (SELECT id_production_order, id_equipment, status AS before, status AS after, 0 AS illegal, 0 AS n_actions FROM production_orders
+        UNION ALL SELECT f.id_production_order, f.id_equipment, f.before, coalesce(a.new, f.after), f.illegal + CASE WHEN a.new IS NULL THEN 1 ELSE 0 END, f.n_actions + 1
+        FROM fold f JOIN steps s ON s.id_production_order = f.id_production_order AND s.k = f.n_actions + 1 LEFT JOIN allowed a ON a.status = f.after AND a.action = s.action)
+    SELECT f.* FROM fold f JOIN (SELECT id_production_order, max(k) AS k FROM steps GROUP BY 1) m ON m.id_production_order = f.id_production_order AND m.k = f.n_actions""",
+)
 add(
     "po_changeover",
     lambda t: orders.changeover(t.production_orders, t.order_actions),

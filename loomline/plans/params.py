@@ -17,5 +17,5 @@ class Params:
 
 
 DEFAULT = Params()
-#: The orders' dates lie before those of the events.
-ORDERS = Params(t0="1995-01-01 00:00:00", t1="1996-12-31 00:00:00", as_of="2024-01-31 00:00:00", step="1 day")
+#: The orders' dates lie before those of the events; all of them are in the range.
+ORDERS = Params(t0="1995-01-01 00:00:00", t1="2001-12-31 00:00:00", as_of="2024-01-31 00:00:00", step="1 day")

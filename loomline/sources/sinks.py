@@ -1,7 +1,8 @@
-"""Writers: upsert by partition overwrite, append, and the current value per equipment."""
+"""Writers: upsert by deltas that are merged when read, append, and the current value per equipment."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,41 +10,43 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from loomline.functions.columns import last_by
-
 METRICS = ("net_production_incr", "scrap_incr", "state", "mode", "speed")
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); one of our own only where none is named."""
+    """The folder all executors share (spark.checkpoint.dir); one of our own only in local mode, where none is named."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="loomline-work-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
 
-def upsert(batch: DataFrame, target: str) -> None:
-    """Merges rows (ts_value, id_equipment, metrics, seq) into target, which is stored by day.
+def upsert(batch: DataFrame, target: str, number: int) -> None:
+    """Stores a batch of rows (ts_value, id_equipment, metrics, seq) in target as a delta of its own.
 
-    Only days that the batch touches are rewritten. A null in the batch leaves the stored value. The
-    same batch written twice leaves the same rows, so a replay after a failure repairs it.
+    A batch touches no other batch's files, so one that dies half-way loses nothing that was stored,
+    and the same number written again replaces it.
     """
-    spark = batch.sparkSession
-    fresh = batch.withColumn("day", F.to_date("ts_value"))
-    days = fresh.select("day").distinct()
-    known = []
-    if spark._jvm.org.apache.hadoop.fs.Path(target).getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(target)):
-        known = [spark.read.parquet(target).join(days, "day", "left_semi")]
-    whole = fresh
-    for old in known:
-        whole = whole.unionByName(old.select(*fresh.columns))
-    merged = whole.groupBy("day", "ts_value", "id_equipment").agg(*(last_by(c, "seq").alias(c) for c in METRICS), F.max("seq").alias("seq"))
-    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(target)
+    merged(batch).write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+
+def merged(rows: DataFrame) -> DataFrame:
+    """One row per ts_value and id_equipment: each metric's last non-null value by seq, the greatest of one seq, and the seq of each."""
+    newest = lambda c: F.max(F.when(F.col(c).isNotNull(), F.struct((F.col(f"{c}_seq") if f"{c}_seq" in rows.columns else F.col("seq")).alias("seq"), c)))
+    found = rows.groupBy("ts_value", "id_equipment").agg(*(newest(c).alias(f"last_{c}") for c in METRICS))
+    return found.select("ts_value", "id_equipment", *(F.col(f"last_{c}")[c].alias(c) for c in METRICS), *(F.col(f"last_{c}")["seq"].alias(f"{c}_seq") for c in METRICS))
+
+
+def upserted(spark: SparkSession, target: str) -> DataFrame:
+    """What a target of deltas holds; written to another target as a batch, it is their compacted form."""
+    return merged(spark.read.parquet(target)).select("ts_value", "id_equipment", *METRICS)
 
 
 def upsert_stream(stream: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    return stream.writeStream.foreachBatch(lambda df, _: upsert(df, target)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(lambda df, number: upsert(df, target, number)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def append_stream(stream: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
@@ -66,6 +69,9 @@ def current_stream(stream: DataFrame, target: str, checkpoint: str) -> Streaming
             old = spark.read.parquet(f"{target}/{number - 1}").select("id_equipment", "speed", F.col("last_update").alias("ts_value"))
             fresh = latest(old.unionByName(fresh.withColumnRenamed("last_update", "ts_value")))
         fresh.write.mode("overwrite").parquet(f"{target}/{number}")
+        if number > 1:  # the version before stays, for a replay of this batch
+            old = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/{number - 2}")
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -32,7 +32,10 @@ def with_views(sql: str) -> str:
     body = sql.strip()
     if not names:
         return body
-    return f"WITH {chain},\n{body[5:]}" if body.upper().startswith("WITH ") else f"WITH {chain}\n{body}"
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if body.upper().startswith(start):
+            return f"{start}{chain},\n{body[len(start):]}"
+    return f"WITH {chain}\n{body}"
 
 
 class Tables:

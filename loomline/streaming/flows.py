@@ -38,25 +38,38 @@ def dedup(rows: DataFrame, keys: list[str], ts: str, delay: str = "1 day") -> Da
 
 
 def state_events(values: DataFrame, delay: str = DELAY) -> DataFrame:
-    """An event whenever an equipment's state changes, across batches; the run in progress is kept as state."""
+    """An event whenever an equipment's state changes, across batches, in order of event time.
+
+    Ticks wait as state until the watermark has passed them, so those that come late, within the
+    delay, fall into their place; the run in progress is kept as state too. The newest ticks and the
+    open run are not written. Ticks of one instant count once, with the greatest state.
+    """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        ticks = pd.concat(list(frames)).groupby("ts_value", as_index=False)["state"].max().sort_values("ts_value")
-        state, start = held.get if held.exists else (None, None)
+        state, start, at, what = held.get if held.exists else (None, None, [], [])
+        waiting = dict(zip(at, what, strict=True))
+        for frame in frames:
+            for us, new in zip(frame["us"].tolist(), frame["state"].tolist(), strict=True):
+                waiting[us] = max(waiting.get(us, new), new)
+        passed = held.getCurrentWatermarkMs() * 1000
         done = []
-        for at, new in zip(ticks["ts_value"], ticks["state"], strict=True):
+        for us in sorted(x for x in waiting if x <= passed):
+            new = int(waiting.pop(us))
             if state is None:
-                state, start = int(new), at
-            elif int(new) != state:
-                done.append((key[0], state, pd.Timestamp(start), at, int((at - pd.Timestamp(start)).total_seconds())))
-                state, start = int(new), at
-        if state is not None:
-            held.update((state, pd.Timestamp(start).to_pydatetime()))
-        yield pd.DataFrame(done, columns=["id_equipment", "status", "ts_event", "ts_end", "duration"]).astype({"ts_event": "datetime64[ns]", "ts_end": "datetime64[ns]"})
-
-    ticks = values.where("state IS NOT NULL").select("id_equipment", "ts_value", "state").withWatermark("ts_value", delay)
-    out = "id_equipment long, status int, ts_event timestamp, ts_end timestamp, duration int"
-    return ticks.groupBy("id_equipment").applyInPandasWithState(step, out, "state int, start timestamp", "append", GroupStateTimeout.NoTimeout)
+                state, start = new, us
+            elif new != state:
+                done.append((key[0], state, start, us))
+                state, start = new, us
+        left = sorted(waiting)
+        held.update((state, start, left, [int(waiting[us]) for us in left]))
+        if left:
+            held.setTimeoutTimestamp(max(left[0] // 1000, held.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(done, columns=["id_equipment", "status", "start", "end"]).astype({"id_equipment": "int64", "status": "int32", "start": "int64", "end": "int64"})
+
+    ticks = values.where("state IS NOT NULL").select("id_equipment", "ts_value", F.unix_micros("ts_value").alias("us"), "state").withWatermark("ts_value", delay)
+    runs = ticks.groupBy("id_equipment").applyInPandasWithState(step, "id_equipment long, status int, start long, end long", "state int, start long, at array<long>, what array<int>", "append", GroupStateTimeout.EventTimeTimeout)
+    ends = F.timestamp_micros("start").alias("ts_event"), F.timestamp_micros("end").alias("ts_end")
+    return runs.select("id_equipment", "status", *ends, F.floor((F.col("end") - F.col("start")) / 1_000_000).cast("int").alias("duration"))
 
 
 def idle(values: DataFrame, seconds: int, delay: str = DELAY) -> DataFrame:

@@ -138,10 +138,23 @@ def test_upsert_twice_changes_nothing_and_nulls_keep_what_is_stored(spark, tmp_p
     target = str(tmp_path / "values")
     make = lambda *rows: spark.createDataFrame(rows, "ts_value timestamp_ntz, id_equipment long, net_production_incr double, scrap_incr double, state int, mode int, speed double, seq long")
     first, second = make((at(1), 1, 5.0, None, 6, 1, 2.0, 1), (at(2), 1, 7.0, None, 6, 1, 2.0, 2)), make((at(1), 1, None, 1.0, 10, None, None, 3))
-    for batch in (first, second, second):
-        sinks.upsert(batch, target)
-    found = sorted(tuple(r) for r in spark.read.parquet(target).drop("day").select("ts_value", "net_production_incr", "scrap_incr", "state", "speed").collect())
-    assert found == [(at(1), 5.0, 1.0, 10, 2.0), (at(2), 7.0, None, 6, 2.0)]
+    for number, batch in ((0, first), (1, second), (1, second)):
+        sinks.upsert(batch, target, number)
+    shown = lambda path: sorted(tuple(r) for r in sinks.upserted(spark, path).select("ts_value", "net_production_incr", "scrap_incr", "state", "speed").collect())
+    want = [(at(1), 5.0, 1.0, 10, 2.0), (at(2), 7.0, None, 6, 2.0)]
+    assert shown(target) == want
+    sinks.merged(spark.read.parquet(target)).write.parquet(f"{target}-compacted/batch=0")
+    late = make((at(1), 1, 9.0, 2.0, 3, 3, 3.0, 2))  # older than what is stored of some metrics, newer than others
+    sinks.upsert(late, target, 2)
+    sinks.upsert(late, f"{target}-compacted", 1)
+    assert shown(target) == shown(f"{target}-compacted") == [(at(1), 9.0, 1.0, 10, 3.0), (at(2), 7.0, None, 6, 2.0)]
+
+
+def test_upsert_tells_ties_apart(spark, tmp_path):
+    rows = spark.createDataFrame([(at(1), 1, 5.0, None, 6, 1, 2.0, 1), (at(1), 1, 4.0, 1.0, 10, 1, 3.0, 1)], "ts_value timestamp_ntz, id_equipment long, net_production_incr double, scrap_incr double, state int, mode int, speed double, seq long")
+    for number, batch in enumerate((rows.orderBy("state"), rows.orderBy(F.desc("state")))):
+        sinks.upsert(batch.coalesce(1), str(tmp_path / str(number)), 0)
+        assert [tuple(r)[2:] for r in sinks.upserted(spark, str(tmp_path / str(number))).collect()] == [(5.0, 1.0, 10, 1, 3.0)]
 
 
 def test_counter_resets_are_told_from_gaps(spark):
