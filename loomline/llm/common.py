@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import gc
 import os
+import re
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts are long, so Arrow batches hold few rows.
@@ -45,33 +48,123 @@ def texts(docs: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where the session names none."""
+    """The folder that all executors share; one of our own only in local mode, where the session names none."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="loomline-shared-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+#: Folders of the jobs that are open, the innermost last.
+_JOBS: list[str] = []
+
+
+def _folder(spark: SparkSession, outer: bool = False) -> str:
+    """Where intermediate tables go: the open job's folder (outer: that of the job around it), else the application's."""
+    jobs = _JOBS[:-1] if outer else _JOBS
+    return jobs[-1] if jobs else f"{shared_dir(spark)}/loomline-{spark.sparkContext.applicationId}"
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Removes a folder in whatever store it lies."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def job(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables written inside are deleted at the end; what shall last is written with outer."""
+    _JOBS.append(f"{_folder(spark)}/job-{uuid.uuid4().hex}")
+    try:
+        yield
+    finally:
+        delete(spark, _JOBS.pop())
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes all that this application has written between steps; results not yet written can't be read any more."""
+    delete(spark, _folder(spark))
+
+
+def written(df: DataFrame, label: str, outer: bool = False) -> DataFrame:
     """df written to the shared folder and read back: lineage ends there, and a lost executor costs no rerun."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{_folder(spark, outer)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.parquet(path)
 
 
-#: Rows of narrow columns up to which a table is broadcast; beyond, it is joined by a shuffle.
-BROADCAST_ROWS = 2_000_000
+#: Bytes up to which a table is broadcast; beyond, it is joined by a shuffle.
+BROADCAST_BYTES = 64 << 20
+
+
+def _bytes_of(name: str, kind: str) -> Column:
+    """About how many bytes a value takes in memory."""
+    c = F.col(f"`{name}`")
+    if kind in ("string", "binary"):
+        return F.octet_length(c) + 24
+    if kind == "array<string>":
+        return F.aggregate(c, F.lit(24).cast("long"), lambda total, x: total + F.coalesce(F.octet_length(x), F.lit(0)) + 24)
+    if kind.startswith("array"):
+        return F.size(c).cast("long") * 16 + 24
+    return F.lit(16 * (1 + kind.count(",")))
 
 
-def if_small(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
-    """df, written once and counted: marked for broadcast if it has at most so many rows, BROADCAST_ROWS if not said."""
+def if_small(df: DataFrame, label: str, most: int | None = None) -> DataFrame:
+    """df, written once and measured: marked for broadcast if its values take at most so many bytes, BROADCAST_BYTES if not said."""
     df = written(df, label)
-    return F.broadcast(df) if df.count() <= (BROADCAST_ROWS if rows is None else rows) else df
+    row = sum((F.coalesce(_bytes_of(n, k).cast("long"), F.lit(24)) for n, k in df.dtypes), F.lit(16).cast("long"))
+    size = df.agg(F.coalesce(F.sum(row), F.lit(0)).alias("n")).first()["n"]
+    return F.broadcast(df) if size <= (BROADCAST_BYTES if most is None else most) else df
+
+
+#: What a Python worker keeps from task to task: the tables of one operator at most.
+_HELD: dict = {}
+
+
+def held(key: tuple, make: Callable):
+    """make(), kept by the worker for the next task that asks for the same key; others' tables go."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def lean(run: Callable, keeps: bool = False) -> Callable:
+    """run for mapInArrow, whose worker gives memory back at its end, and keeps tables of earlier steps only if it uses held()."""
+
+    def guarded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps:
+            _HELD.clear()
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+
+    return guarded
+
+
+class Remembered:
+    """Values by key in two generations of at most size keys each: what is asked for again outlives what is not."""
+
+    def __init__(self, size: int):
+        self.size, self.young, self.old = size, {}, {}
+
+    def missing(self, keys: Iterable) -> set:
+        """Those of keys that have no value yet; the values of all others are in young from now on."""
+        if len(self.young) > self.size:
+            self.young, self.old = {}, self.young
+        new = set(keys).difference(self.young)
+        again = new.intersection(self.old)
+        self.young.update((k, self.old[k]) for k in again)
+        return new - again
 
 
-def held_out(doc_id: str = "doc_id"):
+def held_out(doc_id: str = "doc_id") -> Column:
     """Rows no classifier may learn from: crc32 of the id as text leaves 2 on division by 4."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import NO_ID, if_small, written
+from loomline.llm.common import NO_ID, if_small, job, written
 
 WINDOW_WORDS = 10
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -20,7 +20,7 @@ WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def _words(text: Column) -> Column:
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SEPARATORS), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SEPARATORS), "")
 
 
 def _plain(words: Column, start: Column, size: Column) -> Column:
@@ -28,35 +28,37 @@ def _plain(words: Column, start: Column, size: Column) -> Column:
     return F.translate(F.array_join(F.slice(words, start, size), " "), UPPER, LOWER)
 
 
-def _windows(folded: Column, size: int) -> Column:
-    """(start, size, hash) of each window of size words; folded words agree wherever normalised ones do."""
-    last = F.size(folded) - (size - 1)
-    of = lambda i: F.struct(i.alias("start"), F.lit(size).alias("size"), F.xxhash64(F.slice(folded, i, size)).alias("hash"))
-    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), of)).otherwise(F.array().cast("array<struct<start:int,size:int,hash:bigint>>"))
+def _hashed(words: Column) -> Column:
+    """A hash of each word in any case; folded words agree wherever normalised ones do."""
+    return F.transform(words, lambda w: F.xxhash64(F.lower(w)))
 
 
-def _exploded(rows: DataFrame, sizes: list[int], *keys: str) -> DataFrame:
-    """keys, start, size and hash of each window of the rows' words; only keys are carried along."""
-    folded = rows.select(*keys, F.transform("words", F.lower).alias("folded"))
-    found = folded.select(*keys, F.concat(*[_windows(F.col("folded"), k) for k in sizes]).alias("found"))
-    # the outer form, as Catalyst would copy the whole expression into a filter below an inner one
-    return found.select(*keys, F.inline_outer("found")).where("hash is not null")
+def _windows(hashes: Column, size: int) -> Column:
+    """(start, hash, n) of each window of size words, by the hashes of its words and its size; n is null."""
+    last = F.size(hashes) - (size - 1)
+    of = lambda i: F.struct(i.alias("start"), F.xxhash64(F.slice(hashes, i, size), F.lit(size)).alias("hash"), F.lit(None).cast("int").alias("n"))
+    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), of)).otherwise(F.array().cast("array<struct<start:int,hash:bigint,n:int>>"))
 
 
-def test_windows(benchmark: DataFrame, window_words: int = WINDOW_WORDS) -> tuple[DataFrame, list[int]]:
-    """One row per distinct window of benchmark(item_id, text): hash, size, plain text, item ids as strings; and the sizes in use.
+def test_windows(benchmark: DataFrame, window_words: int = WINDOW_WORDS) -> tuple[DataFrame, DataFrame, list[int]]:
+    """The distinct windows of benchmark(item_id, text), the items of each set of items, and the window sizes in use.
 
-    An item of fewer words than window_words is one window of its own size; one without words has none.
+    A window's row: hash, size, plain text and the digest of the set of items that hold it; the
+    sets' rows: digest and item id as a string. An item of fewer words than window_words is one
+    window of its own size; one without words has none.
     """
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).where("item is not null")
     sized = written(items.select("item", _words(F.col("text")).alias("words")).withColumn("n", F.least(F.size("words"), F.lit(window_words))).where("n > 0"), "decontam-items")
-    sizes = sorted(r["n"] for r in sized.select("n").distinct().collect())  # at most window_words numbers
-    parts = [_exploded(sized.where(F.col("n") == k), [k], "item", "words") for k in sizes] or [_exploded(sized, [window_words], "item", "words")]
+    sizes = sorted(r["n"] for r in sized.select("n").distinct().collect()) or [window_words]  # at most window_words numbers
+    hashed = sized.select("item", "words", "n", _hashed(F.col("words")).alias("hashes"))
+    parts = [hashed.where(F.col("n") == k).select("item", "words", F.col("n").alias("size"), F.inline_outer(_windows(F.col("hashes"), k))) for k in sizes]
     whole = parts[0]
     for p in parts[1:]:
         whole = whole.union(p)
-    plain = whole.select("item", "hash", "size", _plain(F.col("words"), F.col("start"), F.col("size")).alias("plain"))
-    return plain.groupBy("hash", "size", "plain").agg(F.collect_set("item").alias("items")), sizes or [window_words]
+    plain = whole.where("hash is not null").select("item", "hash", "size", _plain(F.col("words"), F.col("start"), F.col("size")).alias("plain"))
+    sets = plain.groupBy("hash", "size", "plain").agg(F.array_sort(F.collect_set("item")).alias("items")).withColumn("held_by", F.md5(F.to_json("items")))
+    sets = written(sets, "decontam-sets")
+    return sets.drop("items"), sets.select("held_by", F.explode("items").alias("item")).distinct(), sizes
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -65,25 +67,44 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"), F.xxhash64(text).alias("th"), text.alias("text"))
 
 
+def _scanned(docs: DataFrame, tests: DataFrame, sizes: list[int], outer: bool = False) -> DataFrame:
+    """One pass over the texts: of each row (did, th, n), n its number of words, and of each window met (did, th, start, size, plain, held_by)."""
+    worded = _keyed(docs).select("did", "th", _words(F.col("text")).alias("words"))
+    # words, and then hashes, are named twice, so that Catalyst keeps them as columns and makes them once
+    hashed = worded.select("did", "th", F.size("words").alias("n"), _hashed(F.col("words")).alias("hashes"))
+    mark = F.array(F.struct(F.lit(0).alias("start"), F.lit(None).cast("long").alias("hash"), F.col("n")))
+    # the outer form, as Catalyst would copy the whole expression into a filter below an inner one
+    found = hashed.select("did", "th", F.inline_outer(F.concat(mark, *[_windows(F.col("hashes"), k) for k in sizes])))
+    met = found.join(if_small(tests, "decontam-tests"), "hash", "left").where("start = 0 or plain is not null")
+    return written(met.select("did", "th", "n", "start", "size", "plain", "held_by"), "decontam-scan", outer)
+
+
+def _verified(docs: DataFrame, scanned: DataFrame) -> DataFrame:
+    """(did, th, met) of each document in which a test window occurs; met: start, size and held_by of each such window."""
+    met = scanned.where("start > 0").groupBy("did", "th").agg(F.collect_set(F.struct("start", "size", "plain", "held_by")).alias("met"))
+    met = written(met, "decontam-met")
+    # only the texts of documents that were met are fetched and split, before the join, so that no condition above it splits them anew
+    fetched = _keyed(docs).join(if_small(met.select("did", "th"), "decontam-keys"), ["did", "th"], "left_semi").distinct()
+    worded = fetched.select("did", "th", _words(F.col("text")).alias("words"))
+    holds = lambda m: (m["start"] <= F.size("words")) & (_plain(F.col("words"), m["start"], m["size"]) == m["plain"])
+    sure = worded.join(met, ["did", "th"]).select("did", "th", F.filter("met", holds).alias("met"))
+    return sure.select("did", "th", F.transform("met", lambda m: m.dropFields("plain")).alias("met")).where(F.size("met") > 0)
+
+
 def hits(docs: DataFrame, benchmark: DataFrame, window_words: int = WINDOW_WORDS) -> DataFrame:
-    """(did, th, positions, items) of each document in which a test window occurs.
+    """(did, th, positions) of each document in which a test window occurs.
 
-    positions are the hit words, counted from 0 and in order; items the ids, as sorted strings, of
-    the test items whose windows occur. did is doc_id, NO_ID for null; th a hash of the text.
+    positions are the hit words, counted from 0 and in order. did is doc_id, NO_ID for null; th a hash of the text.
     """
-    tests, sizes = test_windows(benchmark, window_words)
-    keyed = _keyed(docs)
-    met = _exploded(keyed.select("did", "th", _words(F.col("text")).alias("words")), sizes, "did", "th").join(if_small(tests, "decontam-tests"), ["hash", "size"])
-    met = written(met.groupBy("did", "th").agg(F.collect_set(F.struct("start", "size", "plain", "items")).alias("met")), "decontam-met")
-    # only the texts of documents that were met are fetched, to verify each of their hits once
-    fetched = keyed.join(if_small(met.select("did", "th"), "decontam-keys"), ["did", "th"], "left_semi").distinct()
-    worded = fetched.join(met, ["did", "th"]).select("did", "th", "met", _words(F.col("text")).alias("words"))
-    # words is named twice, so that Catalyst keeps it as a column and doesn't split the text anew for every hit
-    holds = lambda m: (m["start"] <= F.size("words")) & (_plain(F.col("words"), m["start"], m["size"]) == m["plain"])
-    sure = worded.select("did", "th", F.filter("met", holds).alias("met")).where(F.size("met") > 0)
-    positions = F.transform("met", lambda m: F.sequence(m["start"] - 1, m["start"] + m["size"] - 2))
-    items = F.transform("met", lambda m: m["items"])
-    return sure.select("did", "th", *(F.array_sort(F.array_distinct(F.flatten(x))).alias(c) for c, x in (("positions", positions), ("items", items))))
+    with job(docs.sparkSession):
+        tests, _, sizes = test_windows(benchmark, window_words)
+        sure = _verified(docs, _scanned(docs, tests, sizes))
+        return written(sure.select("did", "th", _positions().alias("positions")), "decontam-hits", outer=True)
+
+
+def _positions() -> Column:
+    spans = F.transform("met", lambda m: F.sequence(m["start"] - 1, m["start"] + m["size"] - 2))
+    return F.array_sort(F.array_distinct(F.flatten(spans)))
 
 
 def report(docs: DataFrame, benchmark: DataFrame, window_words: int = WINDOW_WORDS) -> DataFrame:
@@ -95,16 +116,23 @@ def report(docs: DataFrame, benchmark: DataFrame, window_words: int = WINDOW_WOR
     docs are ignored; an empty table gives an empty result. Documents in which nothing occurs meet
     the hits in a left join of narrow rows.
     """
-    rows = _keyed(docs).select("did", "th", F.size(_words(F.col("text"))).cast("long").alias("n_words"))
-    found = rows.join(hits(docs, benchmark, window_words), ["did", "th"], "left")
-    n = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
-    return found.select(
+    with job(docs.sparkSession):
+        tests, sets, sizes = test_windows(benchmark, window_words)
+        scanned = _scanned(docs, tests, sizes, outer=True)
+        sure = written(_verified(docs, scanned), "decontam-sure")
+        # items join by sets of items, so that a passage that many items share costs a document one set
+        named = sure.select("did", "th", F.explode(F.array_distinct(F.transform("met", lambda m: m["held_by"]))).alias("held_by")).join(sets, "held_by")
+        named = named.groupBy("did", "th").agg(F.array_sort(F.collect_set("item")).alias("items"))
+        found = sure.select("did", "th", F.size(_positions()).cast("long").alias("n_hit")).join(named, ["did", "th"])
+        found = written(found, "decontam-found", outer=True)
+    rows = scanned.where("start = 0").select("did", "th", F.col("n").cast("long").alias("n_words"))
+    return rows.join(found, ["did", "th"], "left").select(
         F.when(F.col("did") != NO_ID, F.col("did")).alias("doc_id"),
         "n_words",
-        F.when(F.col("positions").isNull(), 0).otherwise(n("positions")).cast("long").alias("n_hit"),
-        F.when(F.col("items").isNull(), 0).otherwise(n("items")).cast("long").alias("n_items"),
+        F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
+        F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
-        F.col("positions").isNotNull().alias("contaminated"),
+        F.col("n_hit").isNotNull().alias("contaminated"),
     )
 
 

@@ -47,7 +47,7 @@ def test_equals_brute_force(spark):
 
 def test_large_test_sets_are_joined_by_shuffle_with_the_same_result(spark, monkeypatch):
     rows, items = tables()
-    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     found = decontam.report(docs_frame(spark, rows), benchmark).collect()
     assert sorted((tuple(r) for r in found), key=str) == plain_report(rows, items)
@@ -69,11 +69,17 @@ def test_removal_of_documents_and_of_spans(spark):
     assert {r.text for r in cut if r.doc_id == 200} == {f"pre {gaps} post", "same id, other text"}
 
 
-def test_main_path_is_native(spark):
+def test_main_path_is_native_and_splits_each_text_once(spark, monkeypatch):
     rows, items = tables()
     benchmark = spark.createDataFrame(items, "item_id long, text string")
-    plan = decontam.report(docs_frame(spark, rows), benchmark)._jdf.queryExecution().executedPlan().toString()
-    assert not re.search("Python|Pandas|Arrow", plan)
+    plans = []
+    keep = lambda df, label, outer=False: (plans.append((label, df._jdf.queryExecution())), common.written(df, label, outer))[1]
+    monkeypatch.setattr(decontam, "written", keep)
+    plans.append(("report", decontam.report(docs_frame(spark, rows), benchmark)._jdf.queryExecution()))
+    assert not any(re.search("Python|Pandas|Arrow", plan.executedPlan().toString()) for _, plan in plans)
+    # a text is split once to be scanned, and once more to be verified where it was met
+    splits = {label: plan.optimizedPlan().toString().count("split(") for label, plan in plans}
+    assert splits["decontam-scan"] == 1 and splits["decontam-sure"] == 1 and splits["report"] == 0
 
 
 def test_empty_tables(spark):
