@@ -10,7 +10,6 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -22,12 +21,15 @@ from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
 from loomline.llm.bpe_codec import splitter
-from loomline.llm.common import texts, written
+from loomline.llm.common import Remembered, held, lean, texts, written
 
 SCALE_BITS, LOW_BITS, WORD_BITS = 20, 31, 32
 LANES, BLOCK, SEGMENT = 2048, 1 << 18, 1 << 21
 END_ID = 2
-REMEMBERED, JOINED = 400_000, 500
+REMEMBERED = 200_000
+#: The library's byte level: bytes that are no visible character, soft hyphen included, are named by the code points from 256 on.
+UNSEEN = [b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xFF and b != 0xAD)]
+BYTE_NAMES = {b: 256 + k for k, b in enumerate(UNSEEN)}
 #: Pieces of a text as the tokenizer's own pre-tokenizer cuts them, white space dropped (fixed by its file).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Texts of these characters only are normalised by lower-casing alone, and their pieces are independent.
@@ -90,39 +92,44 @@ def decode_block(states: bytes, words: bytes, n: int, freqs: np.ndarray, slots:
 # --- tokens -----------------------------------------------------------------------------------
 
 
-@lru_cache(maxsize=2)
 def _tokenizer(file: str, special_as_text: bool) -> Tokenizer:
-    found = Tokenizer.from_str(file)
-    if special_as_text:
-        found.encode_special_tokens = True  # their strings in a text are ordinary text
-    return found
+    def make() -> Tokenizer:
+        found = Tokenizer.from_str(file)
+        if special_as_text:
+            found.encode_special_tokens = True  # their strings in a text are ordinary text
+        return found
+
+    return held(("tokenizer", file, special_as_text), make)
 
 
 class Encoder:
-    """Packed ids of whole texts by the library; pieces that recur are encoded once and remembered.
+    """Packed ids of whole texts by the library; words and pieces that recur are encoded once and remembered.
 
-    Texts that hold an added token, in any case, go to the library whole.
+    A word, between white space, is cut into pieces, and a piece goes to the library's model on its
+    own, its bytes named as the library's byte level does. Texts that hold an added token, in any
+    case, go to the library whole.
     """
 
     def __init__(self, file: str, special_as_text: bool = True):
-        self.library, self.split, self.known = _tokenizer(file, special_as_text), splitter(PIECES), {}
+        self.library, self.split = _tokenizer(file, special_as_text), splitter(PIECES)
+        self.words, self.pieces = Remembered(REMEMBERED), Remembered(REMEMBERED)
         added = [re.escape(t.content) for t in self.library.get_added_tokens_decoder().values() if t.content]
         self.added = re.compile("|".join(added) or r"(?!)", re.IGNORECASE)
 
     def __call__(self, batch: list[str | None]) -> list[bytes]:
         simple = [bool(t) and SIMPLE.fullmatch(t) is not None and self.added.search(t) is None for t in batch]
-        pieces = [self.split(t.lower()) if s else [] for t, s in zip(batch, simple, strict=True)]
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        new = list(set(chain.from_iterable(pieces)).difference(self.known))
-        for k in range(0, len(new), JOINED):  # each piece between spaces is one word to the library
-            some = new[k : k + JOINED]
-            found = self.library.encode(" ".join(some), add_special_tokens=False)
-            ids, cuts = np.array(found.ids, dtype="<u4").tobytes(), np.searchsorted(np.array(found.word_ids, dtype=np.int64), np.arange(len(some) + 1)) * 4
-            cuts = cuts.tolist()
-            self.known.update((piece, ids[s:e]) for piece, s, e in zip(some, cuts, cuts[1:], strict=False))
-        get = self.known.__getitem__
-        return [b"".join(map(get, p)) if s or not t else np.array(self.library.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t, s, p in zip(batch, simple, pieces, strict=True)]
+        words = [t.lower().split() if s else [] for t, s in zip(batch, simple, strict=True)]
+        cut = {w: self.split(w) for w in self.words.missing(chain.from_iterable(words))}
+        tokenize = self.library.model.tokenize
+        for piece in self.pieces.missing(chain.from_iterable(cut.values())):
+            named = piece if piece.isascii() else piece.encode().decode("latin-1").translate(BYTE_NAMES)
+            self.pieces.young[piece] = np.array([t.id for t in tokenize(named)], dtype="<u4").tobytes()
+        of_piece, of_word = self.pieces.young.__getitem__, self.words.young.__getitem__
+        self.words.young.update((w, b"".join(map(of_piece, p)) if len(p) != 1 else of_piece(p[0])) for w, p in cut.items())
+        return [b"".join(map(of_word, w)) if s or not t else self.whole(t) for t, s, w in zip(batch, simple, words, strict=True)]
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
 SEGMENT_ROW = "part int, segment int, n_tokens long, doc_ids array<long>, lengths array<int>, symbols binary, freqs binary, blocks array<struct<n:int,crc:long,states:binary,words:binary>>"
@@ -173,7 +180,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, spe
     ordered = texts(docs).withColumn("th", F.xxhash64("text"))
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = ordered.repartitionByRange(width, "doc_id", "th").sortWithinPartitions("doc_id", "th").select("doc_id", "text")
-    return written(ordered.mapInArrow(run, SEGMENT_ROW), "rans-tokens")
+    return written(ordered.mapInArrow(lean(run, keeps=True), SEGMENT_ROW), "rans-tokens")
 
 
 def read_tokens(segments: DataFrame) -> DataFrame:
@@ -212,4 +219,4 @@ def read_tokens(segments: DataFrame) -> DataFrame:
                 cut = [flat[4 * s : 4 * e] for s, e in zip((ends - lengths).tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], type=pa.int64()), pa.array(row["start"] + ends - lengths), pa.array(cut, type=pa.binary())], names=["doc_id", "start", "ids"])
 
-    return placed.mapInArrow(run, "doc_id long, start long, ids binary")
+    return placed.mapInArrow(lean(run), "doc_id long, start long, ids binary")
