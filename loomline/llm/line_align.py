@@ -16,14 +16,12 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
-from loomline.llm.common import NO_ID, if_small, prepare, written
+from loomline.llm.common import NO_ID, if_small, job, lean, prepare, written
 
 #: Words of the shortest common block that is deleted.
 MIN_WORDS = 5
@@ -145,7 +143,7 @@ def line_hashes(docs: DataFrame) -> DataFrame:
             words = pa.array([[len(x.split()) for x in found] for found in lines], type=pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column("did"), batch.column("th"), hashes, words], names=["did", "th", "hashes", "words"])
 
-    return _keyed(docs).mapInArrow(run, "did long, th long, hashes array<long>, words array<int>")
+    return _keyed(docs).mapInArrow(lean(run), "did long, th long, hashes array<long>, words array<int>")
 
 
 def deletions(docs: DataFrame, min_words: int = MIN_WORDS, by_block: bool = False) -> DataFrame:
@@ -154,6 +152,11 @@ def deletions(docs: DataFrame, min_words: int = MIN_WORDS, by_block: bool = Fals
     A document is aligned with the first document of each of its lines; by_block with the first of
     each of its least blocks, so that blocks of short lines are found whoever holds the lines first.
     """
+    with job(docs.sparkSession):
+        return written(_deletions(docs, min_words, by_block), "line-gone", outer=True)
+
+
+def _deletions(docs: DataFrame, min_words: int, by_block: bool) -> DataFrame:
     lines = written(line_hashes(docs).dropDuplicates(["did", "th"]), "line-hashes")
 
     def blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,7 +167,7 @@ def deletions(docs: DataFrame, min_words: int = MIN_WORDS, by_block: bool = Fals
             yield pa.RecordBatch.from_arrays([*ids, pa.array([key for x in found for key in x], type=pa.int64())], names=["did", "th", "h"])
 
     if by_block:
-        held = written(lines.select("did", "th", "hashes", "words").mapInArrow(blocks, "did long, th long, h long"), "line-held")
+        held = written(lines.select("did", "th", "hashes", "words").mapInArrow(lean(blocks), "did long, th long, h long"), "line-held")
     else:
         held = lines.select("did", "th", F.explode(F.array_distinct("hashes")).alias("h")).where("h <> 0")
     # written, so that the joins read plain shuffles, whose hot lines and documents Spark can split
@@ -178,21 +181,24 @@ def deletions(docs: DataFrame, min_words: int = MIN_WORDS, by_block: bool = Fals
             gone = [common_blocks(a, b, w, min_words) for a, b, w in zip(*(batch.column(c).to_pylist() for c in ("early", "hashes", "words")), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("did"), batch.column("th"), pa.array(gone, type=pa.list_(pa.int32()))], names=["did", "th", "gone"])
 
-    found = both.mapInArrow(align, "did long, th long, gone array<int>").where("size(gone) > 0")
+    found = both.mapInArrow(lean(align), "did long, th long, gone array<int>").where("size(gone) > 0")
     return found.groupBy("did", "th").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("gone")))).alias("gone"))
 
 
-@F.pandas_udf(StringType())
-def _without(text: pd.Series, gone: pd.Series) -> pd.Series:
-    """Each text without the lines at the positions in gone, null for none."""
+def _placed(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """docs with the lines of each text, joined with its deletions where it has any; no Python touches the texts."""
+    found = found.select(F.struct("did", "th").alias("__key"), F.col("gone").alias("__gone"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    key = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"), F.xxhash64(text).alias("th"))
+    # split before the join, so that no expression above it splits the text anew for every line
+    lined = docs.withColumns({"__own": key, "__lines": F.split(text, "\n")})
+    return lined.join(found, F.col("__own") == F.col("__key"), "left")
 
-    def cut(t: str, g) -> str:
-        if g is None:
-            return t
-        drop = set(g.tolist())
-        return "\n".join(x for k, x in enumerate(t.split("\n")) if k not in drop)
 
-    return pd.Series([cut(t, g) for t, g in zip(text, gone, strict=True)], dtype=object)
+def _left() -> Column:
+    """The text of the lines that stay."""
+    stay = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone"))
+    return F.array_join(F.transform(stay, lambda k: F.get(F.col("__lines"), k)), "\n")
 
 
 def deduplicate(docs: DataFrame, min_words: int = MIN_WORDS, by_block: bool = False) -> DataFrame:
@@ -204,13 +210,13 @@ def deduplicate(docs: DataFrame, min_words: int = MIN_WORDS, by_block: bool = Fa
     inside a block. A null or empty text has one empty line and stays empty. Other columns of docs
     are ignored; an empty table gives an empty result.
     """
-    found = if_small(deletions(docs, min_words, by_block), "line-deletions", 200_000)
-    joined = _keyed(docs).join(found, ["did", "th"], "left")
+    found = if_small(deletions(docs, min_words, by_block), "line-deletions")
+    joined = _placed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), found)
     return joined.select(
-        F.when(F.col("did") != NO_ID, F.col("did")).alias("doc_id"),
-        _without("text", "gone").alias("text"),
-        F.size(F.split("text", "\n")).cast("long").alias("n_lines"),
-        F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed"),
+        "doc_id",
+        F.when(F.col("__gone").isNull(), F.col("text")).otherwise(_left()).alias("text"),
+        F.size("__lines").cast("long").alias("n_lines"),
+        F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long").alias("n_removed"),
     )
 
 
@@ -219,12 +225,8 @@ def apply_to_rows(docs: DataFrame, min_words: int = MIN_WORDS, by_block: bool =
 
     Rows that lose no line are returned as they are, null and empty texts among them.
     """
-    found = if_small(deletions(docs, min_words, by_block), "line-deletions", 200_000)
-    found = found.select(F.struct("did", "th").alias("__key"), F.col("gone").alias("__gone"))
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    key = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"), F.xxhash64(text).alias("th"))
-    joined = docs.withColumn("__own", key).join(found, F.col("__own") == F.col("__key"), "left")
-    cut = joined.withColumn("__cut", _without(text, F.col("__gone")))
+    found = if_small(deletions(docs, min_words, by_block), "line-deletions")
+    cut = _placed(docs, found).withColumn("__cut", F.when(F.col("__gone").isNotNull(), _left()))
     left = cut.where(F.col("__gone").isNull() | F.col("__cut").rlike(r"[^\s]"))
     shorter = {"text": F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.col("__cut"))}
     if "n_chars" in docs.columns:
