@@ -12,101 +12,124 @@ from __future__ import annotations
 
 import base64
 import re
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import texts
+from loomline.llm.common import Remembered, held, lean, texts
 
-NONE = np.int64(2**62)
-#: Pieces of more bytes get a tree of their own.
-ROW_BYTES = 256
-#: Encoded pieces a worker remembers before it starts anew.
+#: No pair: above every rank with its position.
+NONE = np.int32(2**31 - 1)
+#: Pieces of more bytes get a tree of their own; a position in a row takes POSITION_BITS bits beside the rank.
+ROW_BYTES, POSITION_BITS = 256, 8
+#: Trees side by side hold about so many leaves.
+ROW_LEAVES = 1 << 17
+#: Encoded pieces a worker remembers, in each of two generations.
 REMEMBERED = 150_000
 
 
 class Vocabulary:
-    """Ranks by token bytes, and the merged token of every pair of tokens."""
+    """Ranks by token bytes, and the merged token of every pair of tokens as sorted arrays."""
 
     def __init__(self, file: bytes):
-        self.ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in file.splitlines() if line.strip())}
-        self.bytes = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int64)
-        self.pairs: dict[int, int] = {}
-        for token, rank in self.ranks.items():
+        ranks = _ranks_of(file)
+        if max(ranks.values()) >= NONE >> POSITION_BITS:
+            raise ValueError("too many tokens for a row's 32-bit leaves")
+        self.single = {token: np.array([rank], dtype="<i4").tobytes() for token, rank in ranks.items()}
+        self.bytes = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
+        codes, merged = [], []
+        for token, rank in ranks.items():
             for cut in range(1, len(token)):
-                left, right = self.ranks.get(token[:cut]), self.ranks.get(token[cut:])
+                left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
                 if left is not None and right is not None:
-                    self.pairs[left << 32 | right] = rank
-        codes = np.fromiter(self.pairs.keys(), dtype=np.int64, count=len(self.pairs))
-        order = np.argsort(codes)
-        self.codes = np.append(codes[order], NONE)
-        self.merged = np.append(np.fromiter(self.pairs.values(), dtype=np.int64, count=len(self.pairs))[order], NONE)
+                    codes.append(left << 32 | right)
+                    merged.append(rank)
+        order = np.argsort(np.array(codes, dtype=np.int64))
+        self.codes = np.append(np.array(codes, dtype=np.int64)[order], 2**62)
+        self.merged = np.append(np.array(merged, dtype=np.int32)[order], NONE)
+        self.one_code, self.one_merged = memoryview(self.codes), memoryview(self.merged)
+        self.tokens = _token_array(ranks)
 
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        code = left << 32 | right
+        code = left.astype(np.int64) << 32 | right
         at = np.searchsorted(self.codes, code)
         return np.where(self.codes[at] == code, self.merged[at], NONE)
 
+    def pair_rank(self, left: int, right: int) -> int | None:
+        code = left << 32 | right
+        at = bisect_left(self.one_code, code)
+        return self.one_merged[at] if self.one_code[at] == code else None
 
-@lru_cache(maxsize=2)
-def vocabulary(file: bytes) -> Vocabulary:
-    return Vocabulary(file)
+
+def _ranks_of(file: bytes) -> dict[bytes, int]:
+    return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in file.splitlines() if line.strip())}
+
+
+def _token_array(ranks: dict[bytes, int]) -> pa.Array:
+    """Bytes of the token of each rank, all that decoding needs."""
+    tokens: list[bytes | None] = [None] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        tokens[rank] = token
+    return pa.array(tokens, type=pa.binary())
 
 
-@lru_cache(maxsize=2)
-def token_bytes(file: bytes) -> dict[int, bytes]:
-    """Bytes of each token, all that decoding needs."""
-    return {int(rank): base64.b64decode(token) for token, rank in (line.split() for line in file.splitlines() if line.strip())}
+def vocabulary(file: bytes) -> Vocabulary:
+    return held(("byte ranks", file), lambda: Vocabulary(file))
 
 
 def _merge_rows(vocab: Vocabulary, pieces: list[bytes]) -> list[bytes]:
     """Ids of each piece as packed int32; every piece has at most ROW_BYTES bytes, and at least two."""
-    lengths = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
-    rows, width = np.arange(len(pieces)), int(lengths.max())
+    lengths = np.fromiter(map(len, pieces), dtype=np.int32, count=len(pieces))
+    rows, width = np.arange(len(pieces), dtype=np.int32), int(lengths.max())
     inside = np.arange(width)[None, :] < lengths[:, None]
-    ids = np.zeros((len(pieces), width + 1), dtype=np.int64)
+    ids = np.zeros((len(pieces), width + 1), dtype=np.int32)
     ids[:, :width][inside] = vocab.bytes[np.frombuffer(b"".join(pieces), dtype=np.uint8)]
-    after = np.minimum(np.arange(1, width + 2)[None, :], lengths[:, None])  # position of the next live token; the length if none
-    before = np.repeat(np.arange(-1, width)[None, :], len(pieces), axis=0)
+    after = np.minimum(np.arange(1, width + 2, dtype=np.int32)[None, :], lengths[:, None])  # position of the next live token; the length if none
+    before = np.repeat(np.arange(-1, width, dtype=np.int32)[None, :], len(pieces), axis=0)
     leaves = 1 << (width - 1).bit_length()
     tree = np.full((len(pieces), 2 * leaves), NONE)
+
+    def joined(rank: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return np.where(rank < NONE, rank << POSITION_BITS | at, NONE).astype(np.int32)
+
     starts = np.arange(width - 1)[None, :] + 1 < lengths[:, None]
     r, c = np.nonzero(starts)
-    rank = vocab.pair_ranks(ids[r, c], ids[r, c + 1])
-    tree[r, leaves + c] = np.where(rank < NONE, rank << 20 | c, NONE)
+    tree[r, leaves + c] = joined(vocab.pair_ranks(ids[r, c], ids[r, c + 1]), c)
     level = leaves
     while level > 1:
         tree[:, level // 2 : level] = np.minimum(tree[:, level : 2 * level : 2], tree[:, level + 1 : 2 * level : 2])
         level //= 2
 
-    def write(which: np.ndarray, at: np.ndarray, value: np.ndarray) -> None:
+    def write(which: np.ndarray, at: np.ndarray, value: np.ndarray | np.int32) -> None:
         node = leaves + at
         tree[which, node] = value
-        while node[0] > 1:
+        for _ in range(leaves.bit_length() - 1):
             node = node >> 1
             tree[which, node] = np.minimum(tree[which, 2 * node], tree[which, 2 * node + 1])
 
     def leaf(which: np.ndarray, at: np.ndarray, following: np.ndarray) -> np.ndarray:
         rank = np.where(following < lengths[which], vocab.pair_ranks(ids[which, at], ids[which, following]), NONE)
-        return np.where(rank < NONE, rank << 20 | at, NONE)
+        return joined(rank, at)
 
     live = rows[tree[:, 1] < NONE]
     while len(live):
         best = tree[live, 1]
-        at = best & 0xFFFFF
-        ids[live, at] = best >> 20
+        at = best & ((1 << POSITION_BITS) - 1)
+        ids[live, at] = best >> POSITION_BITS
         gone = after[live, at]
         following = after[live, gone]
         after[live, at] = following
         before[live, following] = at
         inside[live, gone] = False
-        write(live, gone, np.full(len(live), NONE))
+        write(live, gone, NONE)
         write(live, at, leaf(live, at, following))
         previous = before[live, at]
         has = previous >= 0
@@ -120,7 +143,7 @@ def _merge_rows(vocab: Vocabulary, pieces: list[bytes]) -> list[bytes]:
 
 def _merge_long(vocab: Vocabulary, piece: bytes) -> bytes:
     """Ids of one piece as packed int32."""
-    n, pairs, none = len(piece), vocab.pairs, int(NONE)
+    n, none = len(piece), 2**62
     ids = vocab.bytes[np.frombuffer(piece, dtype=np.uint8)].tolist()
     after, before = list(range(1, n + 1)), list(range(-1, n))
     leaves = 1 << (n - 1).bit_length()
@@ -128,7 +151,7 @@ def _merge_long(vocab: Vocabulary, piece: bytes) -> bytes:
 
     def leaf(at: int) -> int:
         following = after[at]
-        rank = pairs.get(ids[at] << 32 | ids[following]) if following < n else None
+        rank = vocab.pair_rank(ids[at], ids[following]) if following < n else None
         return none if rank is None else rank << 32 | at
 
     for at in range(n):
@@ -160,23 +183,23 @@ def _merge_long(vocab: Vocabulary, piece: bytes) -> bytes:
     return np.array(found, dtype="<i4").tobytes()
 
 
-def encode_pieces(vocab: Vocabulary, pieces: Iterable[bytes]) -> dict[bytes, bytes]:
-    """Packed int32 ids of each distinct piece."""
-    found: dict[bytes, bytes] = {}
-    by_width: dict[int, list[bytes]] = {}
-    for piece in set(pieces):
-        rank = vocab.ranks.get(piece)
-        if rank is not None:
-            found[piece] = np.array([rank], dtype="<i4").tobytes()
-        elif len(piece) > ROW_BYTES:
-            found[piece] = _merge_long(vocab, piece)
-        elif piece:
-            by_width.setdefault((len(piece) - 1).bit_length(), []).append(piece)
-    for width, same in by_width.items():
-        step = max(1, 2**18 >> width)
-        for k in range(0, len(same), step):
-            part = same[k : k + step]
-            found.update(zip(part, _merge_rows(vocab, part), strict=True))
+def encode_pieces(vocab: Vocabulary, pieces: list[bytes]) -> list[bytes]:
+    """Packed int32 ids of each piece, none of which is empty."""
+    found = list(map(vocab.single.get, pieces))
+    left = [k for k, ids in enumerate(found) if ids is None]
+    lengths = np.fromiter((len(pieces[k]) for k in left), dtype=np.int64, count=len(left))
+    order = np.argsort(lengths, kind="stable")  # rows side by side are of like length
+    lengths, left = lengths[order], np.array(left, dtype=np.int64)[order].tolist()
+    at, rows_end = 0, int(np.searchsorted(lengths, ROW_BYTES, side="right"))
+    while at < rows_end:
+        width = 1 << (int(lengths[at]) - 1).bit_length()
+        end = min(at + max(1, ROW_LEAVES // width), int(np.searchsorted(lengths, width, side="right")), rows_end)
+        some = left[at:end]
+        for k, ids in zip(some, _merge_rows(vocab, [pieces[k] for k in some]), strict=True):
+            found[k] = ids
+        at = end
+    for k in left[rows_end:]:
+        found[k] = _merge_long(vocab, pieces[k])
     return found
 
 
@@ -223,42 +246,48 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc_ids, packed in _encoded(batches, vocabulary(file.value), splitter(pattern)):
-            yield pa.RecordBatch.from_arrays([doc_ids, *_ids_column(packed)], names=["doc_id", "ids", "n_tokens"])
+            lists, counts = _ids_column(packed)
+            yield pa.RecordBatch.from_arrays([doc_ids, lists, counts], names=["doc_id", "ids", "n_tokens"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, ids array<int>, n_tokens long")
+    return texts(docs).mapInArrow(lean(run, keeps=True), "doc_id long, ids array<int>, n_tokens long")
 
 
 def _encoded(batches: Iterable[pa.RecordBatch], vocab: Vocabulary, split) -> Iterator[tuple[pa.Array, list[bytes]]]:
     """doc_ids and packed ids of each batch of (doc_id, text)."""
-    known: dict[str, bytes] = {}
+    known = Remembered(REMEMBERED)
     for batch in batches:
         pieces = [split(text) if text else [] for text in batch.column("text").to_pylist()]
-        if len(known) > REMEMBERED:
-            known = {}
-        new = set(chain.from_iterable(pieces)).difference(known)
-        encoded = encode_pieces(vocab, (p.encode() for p in new))
-        for p in new:
-            known[p] = encoded[p.encode()]
-        yield batch.column("doc_id"), [b"".join(map(known.__getitem__, p)) for p in pieces]
+        new = list(known.missing(chain.from_iterable(pieces)))
+        known.young.update(zip(new, encode_pieces(vocab, [p.encode() for p in new]), strict=True))
+        of = known.young.__getitem__
+        yield batch.column("doc_id"), [b"".join(map(of, p)) for p in pieces]
 
 
-def _ids_column(packed: list[bytes]) -> tuple[pa.Array, pa.Array]:
+def _ids_column(packed: list[bytes]) -> tuple[pa.ListArray, pa.Array]:
     counts = np.fromiter(map(len, packed), dtype=np.int64, count=len(packed)) // 4
     flat = pa.array(np.frombuffer(b"".join(packed), dtype="<i4"))
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), flat), pa.array(counts)
 
 
+def decode_lists(tokens: pa.Array, lists: pa.ListArray) -> pa.Array:
+    """The bytes of each list of ids."""
+    flat = tokens.take(lists.flatten())
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+    ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+    return pc.binary_join(pa.ListArray.from_arrays(ends, flat), pa.scalar(b"", pa.binary()))
+
+
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """encode() and decode() in one pass, so that a task needs one Python worker: (doc_id, ids, n_tokens, decoded)."""
     file = _ranks(docs, ranks_path)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = token_bytes(file.value).__getitem__
-        for doc_ids, packed in _encoded(batches, vocabulary(file.value), splitter(pattern)):
-            decoded = [b"".join(map(token, np.frombuffer(p, dtype="<i4").tolist())) for p in packed]
-            yield pa.RecordBatch.from_arrays([doc_ids, *_ids_column(packed), pa.array(decoded, type=pa.binary())], names=["doc_id", "ids", "n_tokens", "decoded"])
+        vocab = vocabulary(file.value)
+        for doc_ids, packed in _encoded(batches, vocab, splitter(pattern)):
+            lists, counts = _ids_column(packed)
+            yield pa.RecordBatch.from_arrays([doc_ids, lists, counts, decode_lists(vocab.tokens, lists)], names=["doc_id", "ids", "n_tokens", "decoded"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, ids array<int>, n_tokens long, decoded binary")
+    return texts(docs).mapInArrow(lean(run, keeps=True), "doc_id long, ids array<int>, n_tokens long, decoded binary")
 
 
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
@@ -266,14 +295,11 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     file = _ranks(encoded, ranks_path)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = token_bytes(file.value).__getitem__
+        tokens = held(("tokens of ranks", file.value), lambda: _token_array(_ranks_of(file.value)))
         for batch in batches:
-            lists = batch.column("ids")
-            flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
-            decoded = [b"".join(map(token, flat[s:e].tolist())) for s, e in zip(ends[:-1], ends[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, type=pa.binary())], names=["doc_id", "ids", "n_tokens", "decoded"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, decode_lists(tokens, batch.column("ids"))], names=["doc_id", "ids", "n_tokens", "decoded"])
 
-    return encoded.select("doc_id", "ids", "n_tokens").mapInArrow(run, "doc_id long, ids array<int>, n_tokens long, decoded binary")
+    return encoded.select("doc_id", "ids", "n_tokens").mapInArrow(lean(run, keeps=True), "doc_id long, ids array<int>, n_tokens long, decoded binary")
 
 
 def digests(decoded: DataFrame) -> DataFrame:
