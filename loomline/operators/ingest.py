@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from loomline.operators.series import beside
 
 MESSAGE = "timestamp LONG, gateway STRING, metrics ARRAY<STRUCT<name: STRING, timestamp: LONG, value: DOUBLE, counter: LONG, curspeed: DOUBLE>>"
 #: Metric type -> column of the wide row (fixed values).
@@ -86,7 +87,6 @@ def insert_new(target: DataFrame, rows: DataFrame, *keys: str) -> DataFrame:
 
 def counter_check(counted: DataFrame) -> DataFrame:
     """Growth of counter against value per equipment, in order of time; a counter that falls is a reset."""
-    w = Window.partitionBy("id_equipment").orderBy("ts_metric", "seq")
-    grown = F.col("counter") - F.lag("counter").over(w)
+    grown = F.col("counter") - F.col("before")
     kind = F.when(grown.isNull(), "first").when(grown < 0, "reset").when(grown == F.col("value"), "ok").otherwise("gap")
-    return counted.select("seq", "id_equipment", "ts_metric", "value", "counter", kind.alias("verdict"))
+    return beside(counted, "before", "counter", "ts_metric", "seq").select("seq", "id_equipment", "ts_metric", "value", "counter", kind.alias("verdict"))

@@ -57,16 +57,40 @@ def metric_exclusive(values: DataFrame) -> DataFrame:
     return values.groupBy(name.alias("metric")).agg(F.count("*").alias("rows"), F.max("ts_value").alias("latest"))
 
 
+def beside(df: DataFrame, name: str, value: str, ts: str, *more: str, ahead: bool = False) -> DataFrame:
+    """df with column name: value in the equipment's row before (ahead: after) in order of ts and more.
+
+    Rows are sorted per equipment and day; from day to day goes one row per equipment and day.
+    """
+    step, edge = (F.lead, F.min_by) if ahead else (F.lag, F.max_by)
+    by_day = df.withColumn("day_", F.coalesce(F.to_date(ts), F.lit("0001-01-01").cast("date")))
+    days = by_day.groupBy(KEY, "day_").agg(edge(value, F.struct(ts, *more)).alias("edge_"))
+    days = days.select(KEY, "day_", step("edge_").over(Window.partitionBy(KEY).orderBy("day_")).alias("border_"))
+    w = Window.partitionBy(KEY, "day_").orderBy(ts, *more)
+    at_border = step(F.lit(True)).over(w).isNull()
+    return by_day.join(days, [KEY, "day_"]).withColumn(name, F.when(at_border, F.col("border_")).otherwise(step(value).over(w))).drop("day_", "border_")
+
+
 def state_timeline(values: DataFrame) -> DataFrame:
     """Runs of equal states per equipment, each from its first to its last tick.
 
-    Ticks of one instant count once, with the greatest state.
+    Ticks of one instant count once, with the greatest state. Runs are found per equipment and day;
+    the first and last of a day are then joined over midnights, by one row per equipment and day.
     """
-    ticks = values.where("state IS NOT NULL").groupBy(KEY, "ts_value").agg(F.max("state").alias("state"))
-    w = Window.partitionBy(KEY).orderBy("ts_value")
+    ticks = values.where("state IS NOT NULL").groupBy(KEY, "ts_value").agg(F.max("state").alias("state")).withColumn("day", F.to_date("ts_value"))
+    w = Window.partitionBy(KEY, "day").orderBy("ts_value")
     changed = (F.col("state") != F.coalesce(F.lag("state").over(w), F.lit(-1))).cast("int")
     islands = ticks.withColumn("changed", changed).withColumn("island", F.sum("changed").over(w))
-    return islands.groupBy(KEY, "island", "state").agg(F.min("ts_value").alias("ts_start"), F.max("ts_value").alias("ts_last"), F.count("*").alias("ticks")).drop("island")
+    runs = islands.groupBy(KEY, "day", "island", "state").agg(F.min("ts_value").alias("ts_start"), F.max("ts_value").alias("ts_last"), F.count("*").alias("ticks"))
+    days = runs.groupBy(KEY, "day").agg(F.max("island").alias("n"), F.min_by("state", "island").alias("first_state"), F.max_by("state", "island").alias("last_state"))
+    by_day = Window.partitionBy(KEY).orderBy("day")
+    opens, again = F.when(F.col("first_state") == F.lag("last_state").over(by_day), 0).otherwise(1), (F.col("n") > 1).cast("int")
+    chains = days.withColumn("opens", opens).withColumn("again", again).withColumn("last_chain", F.sum(F.col("opens") + F.col("again")).over(by_day))
+    placed = runs.join(chains.select(KEY, "day", "n", "again", "last_chain"), [KEY, "day"])
+    inside = (F.col("island") > 1) & (F.col("island") < F.col("n"))
+    chain = F.when(inside, None).when(F.col("island") == 1, F.col("last_chain") - F.col("again")).otherwise(F.col("last_chain"))
+    whole = placed.groupBy(KEY, "state", chain.alias("chain"), F.when(inside, F.col("day")).alias("day"), F.when(inside, F.col("island")).alias("island"))
+    return whole.agg(F.min("ts_start").alias("ts_start"), F.max("ts_last").alias("ts_last"), F.sum("ticks").alias("ticks")).select(KEY, "state", "ts_start", "ts_last", "ticks")
 
 
 # roll-ups carry sums, counts and the last state, never ratios

@@ -1,6 +1,9 @@
 """Rows that the test tables lack."""
 
+import random
 from datetime import datetime as dt
+from datetime import timedelta
+from itertools import groupby
 
 import pytest
 from pyspark.sql import functions as F
@@ -169,3 +172,24 @@ def test_spine_includes_both_ends(spark):
     assert [(r.time.hour, r.n) for r in found] == [(0, 0), (1, 1), (2, 0), (3, 0)]
     with pytest.raises(AttributeError):
         Tables(spark, "").nothing
+
+
+def test_timelines_are_stitched_over_midnights(spark):
+    rng = random.Random(4)
+    ticks = []
+    for equipment in range(12):
+        for _ in range(rng.choice([0, 1, 3, 40])):
+            ticks.append((equipment, dt(2024, 1, 1) + timedelta(minutes=rng.randrange(6 * 1440)), rng.choice([6, 6, 10] if equipment % 2 else [6])))
+    ticks += [(50, dt(2024, 1, 2), 6), (50, dt(2024, 1, 2), 10), (51, dt(2024, 1, 1, 23), 6), (51, dt(2024, 1, 4), 6), (51, dt(2024, 1, 4, 1), 10), (51, dt(2024, 1, 5), 6)]
+    runs = []
+    for (equipment, at_), group in groupby(sorted(ticks), key=lambda x: x[:2]):
+        state = max(x[2] for x in group)
+        if runs and runs[-1][:2] == [equipment, state]:
+            runs[-1][3], runs[-1][4] = at_, runs[-1][4] + 1
+        else:
+            runs.append([equipment, state, at_, at_, 1])
+    values = spark.createDataFrame(ticks, "id_equipment long, ts_value timestamp_ntz, state int")
+    assert sorted(tuple(r) for r in series.state_timeline(values).collect()) == sorted(map(tuple, runs))
+    ends = {(r[0], r[2]): after[2] if after[0] == r[0] else None for r, after in zip(runs, [*runs[1:], [None] * 3])}
+    found = {(r.id_equipment, r.ts_event): r.ts_end for r in events.from_states(values).collect()}
+    assert found == ends
