@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import re
@@ -133,17 +134,29 @@ def held(key: tuple, make: Callable):
     return _HELD[key]
 
 
+def drop_held() -> None:
+    """Forgets what the worker keeps. A function of the module, as Spark sends inner functions with copies of the module's values."""
+    _HELD.clear()
+
+
+def give_back() -> None:
+    """Returns freed memory to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def lean(run: Callable, keeps: bool = False) -> Callable:
     """run for mapInArrow, whose worker gives memory back at its end, and keeps tables of earlier steps only if it uses held()."""
 
     def guarded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not keeps:
-            _HELD.clear()
+            drop_held()
         try:
             yield from run(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
+            give_back()
 
     return guarded
 

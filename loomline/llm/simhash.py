@@ -1,13 +1,12 @@
 """SimHash near-duplicates by pivot distance tables.
 
 A fingerprint's row in the pivot table holds its Hamming distances to fixed reference
-fingerprints: the zero reference, 32 references that each hold one two-bit block, and 32
-pseudo-random ones. A single changed bit moves one block coordinate relative to the zero
-reference by exactly one and leaves the other 31 alone. So when two fingerprints differ in at
-most three bits, at least three of six bands of block coordinates are equal, and the pair meets
-under one of the 20 choices of three bands: this finds every link. Pairs that meet are discarded
-as soon as any coordinate of their rows differs by more than three (the triangle inequality);
-survivors are verified on the fingerprints themselves.
+fingerprints: the zero reference, 64 references of one bit each, and 32 pseudo-random ones. A
+changed bit moves one one-bit coordinate relative to the zero reference and leaves the other 63
+alone. So when two fingerprints differ in at most three bits, at least three of six bands of
+one-bit coordinates are equal, and the pair meets under one of the 20 choices of three bands: this
+finds every link. Pairs that meet are discarded as soon as any coordinate of their rows differs by
+more than three (the triangle inequality); survivors are verified on the fingerprints themselves.
 """
 
 from __future__ import annotations
@@ -21,36 +20,42 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import components, texts, whole_groups, written
+from loomline.llm.common import components, job, lean, texts, whole_groups, written
 
 SEED, SHINGLE_WORDS, MAX_BITS = 42, 3, 3
 #: Fingerprints of a key that one task compares; a larger key is dealt out in pairs of blocks of this size.
 BLOCK_ROWS = 4096
-BANDS, EQUAL_BANDS = 6, 3
-BLOCK_REFERENCES = np.array([3 << (2 * i) for i in range(32)], dtype=np.uint64)
+BANDS, EQUAL_BANDS, BAND_BITS = 6, 3, 11
+BIT_REFERENCES = np.array([1 << i for i in range(64)], dtype=np.uint64)
 RANDOM_REFERENCES = np.array([xxhash.xxh64_intdigest(str(i).encode(), SEED) for i in range(32)], dtype=np.uint64)
-REFERENCES = np.concatenate([RANDOM_REFERENCES, np.zeros(1, dtype=np.uint64), BLOCK_REFERENCES])
+REFERENCES = np.concatenate([RANDOM_REFERENCES, np.zeros(1, dtype=np.uint64), BIT_REFERENCES])
 BITS_OF_BYTE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 BYTE_OFFSETS = np.arange(8, dtype=np.int64) * 256
 
 
-def fingerprint(text: str | None) -> int:
-    """The 64-bit SimHash of a text's three-word shingles; zero for a text without words."""
+def shingle_hashes(text: str | None, size: int = SHINGLE_WORDS) -> np.ndarray:
+    """The hash of each shingle of a text, repeats included; of all its words where it has fewer than size, none for no words."""
     words = (text or "").encode("utf-8", "replace").lower().split()
     if not words:
-        return 0
-    joined = b" ".join(words)
-    n = len(words) - SHINGLE_WORDS + 1
-    digest = xxhash.xxh64_intdigest
-    if n < 1:
-        return digest(joined, SEED)
+        return np.zeros(0, dtype=np.uint64)
+    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
+    n = max(1, len(words) - size + 1)
     ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
-    spans = zip(starts[:n].tolist(), ends[SHINGLE_WORDS - 1 :].tolist(), strict=True)
-    hashes = np.fromiter((digest(joined[s:e], SEED) for s, e in spans), dtype=np.uint64, count=n)
-    per_byte = np.bincount((hashes.view(np.uint8).reshape(n, 8) + BYTE_OFFSETS).ravel(), minlength=2048).reshape(8, 256)
-    majority = (2 * (per_byte @ BITS_OF_BYTE) > n).ravel().astype(np.uint8)
-    return int(np.packbits(majority, bitorder="little").view(np.uint64)[0])
+    spans = zip(starts[:n].tolist(), ends[min(size, len(words)) - 1 :].tolist(), strict=True)
+    return np.fromiter((digest(joined[s:e], SEED) for s, e in spans), dtype=np.uint64, count=n)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
+    per_byte = np.bincount((hashes.view(np.uint8).reshape(-1, 8) + BYTE_OFFSETS).ravel(), minlength=2048).reshape(8, 256)
+    bits = (2 * (per_byte @ BITS_OF_BYTE) > len(hashes)).ravel().astype(np.uint8)
+    return int(np.packbits(bits, bitorder="little").view(np.uint64)[0])
+
+
+def fingerprint(text: str | None) -> int:
+    """The 64-bit SimHash of a text's three-word shingles; zero for a text without words."""
+    return majority(shingle_hashes(text))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -61,7 +66,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             found = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, fp long")
+    return texts(docs).mapInArrow(lean(run), "doc_id long, fp long")
 
 
 def pivot_table(fps: np.ndarray) -> np.ndarray:
@@ -70,16 +75,16 @@ def pivot_table(fps: np.ndarray) -> np.ndarray:
 
 
 def band_keys(table: np.ndarray) -> np.ndarray:
-    """For each row, one key for every choice of EQUAL_BANDS bands of block coordinates."""
+    """For each row, one key for every choice of EQUAL_BANDS bands of one-bit coordinates."""
     zero = table[:, len(RANDOM_REFERENCES)].astype(np.int64)
-    weights = (zero[:, None] + 2 - table[:, len(RANDOM_REFERENCES) + 1 :]) // 2  # bits set in each block: 0, 1 or 2
-    bands = np.array_split(np.arange(32), BANDS)
-    values = [weights[:, b] @ (3 ** np.arange(len(b), dtype=np.int64)) for b in bands]
+    bits = (zero[:, None] + 1 - table[:, len(RANDOM_REFERENCES) + 1 :]) // 2  # the reference's bit is set in the fingerprint or not
+    bands = np.array_split(np.arange(64), BANDS)
+    values = [bits[:, b] @ (1 << np.arange(len(b), dtype=np.int64)) for b in bands]
     keys = []
     for choice, picked in enumerate(combinations(range(BANDS), EQUAL_BANDS)):
         key = np.full(len(table), choice, dtype=np.int64)
         for b in picked:
-            key = key * 729 + values[b]
+            key = key << BAND_BITS | values[b]
         keys.append(key)
     return np.stack(keys, axis=1)
 
@@ -137,7 +142,7 @@ def links(fps: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
             i, j = _near_pairs(group.column("unit").to_numpy(), x.view(np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array(x[i]), pa.array(x[j])], names=["a", "b"])
 
-    keys = fps.mapInArrow(keyed, "key long, fp long")
+    keys = fps.mapInArrow(lean(keyed), "key long, fp long")
     sizes = keys.groupBy("key").count().where(F.col("count") > block_rows)
     sizes = sizes.select("key", F.ceil(F.col("count") / block_rows).cast("int").alias("n"))
     own = F.pmod(F.xxhash64("fp"), F.col("n")).cast("int")
@@ -147,7 +152,7 @@ def links(fps: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     unit = F.when(F.col("n").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
     units = dealt.select(unit.alias("unit"), "fp")
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return units.repartition(width, "unit").sortWithinPartitions("unit", "fp").mapInArrow(compared, "a long, b long").distinct()
+    return units.repartition(width, "unit").sortWithinPartitions("unit", "fp").mapInArrow(lean(compared), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -159,10 +164,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     smallest unless its whole component has none. Equal fingerprints are merged before any pair is
     formed. Other columns of docs are ignored. An empty table gives an empty result.
     """
-    marked = written(fingerprints(docs), "simhash-fingerprints")
-    distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
-    roots = components(links(distinct.select("fp")), "simhash-links")
-    named = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    lowest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = named.join(lowest, "root").select("fp", "component_id")
+    with job(docs.sparkSession):
+        marked = written(fingerprints(docs), "simhash-fingerprints", outer=True)
+        distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
+        roots = components(links(distinct.select("fp")), "simhash-links")
+        named = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+        lowest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
+        classes = written(named.join(lowest, "root").select("fp", "component_id"), "simhash-classes", outer=True)
     return marked.join(classes, "fp").select("doc_id", "fp", "component_id")
