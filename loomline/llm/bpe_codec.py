@@ -13,7 +13,7 @@ from __future__ import annotations
 import base64
 import re
 from bisect import bisect_left
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -216,7 +217,7 @@ def _ranges(inside: str) -> str:
 
 
 @lru_cache(maxsize=8)
-def splitter(pattern: str):
+def splitter(pattern: str) -> Callable[[str], list[str]]:
     r"""A function from a text to its pieces; \s and \S mean Unicode white space, as for the ranks' own library."""
     general = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
     explicit, in_class = "", False
@@ -230,7 +231,7 @@ def splitter(pattern: str):
     return lambda text: narrow(text) if NARROW.fullmatch(text) else general(text)
 
 
-def _ranks(docs: DataFrame, ranks_path: str):
+def broadcast_ranks(docs: DataFrame, ranks_path: str) -> Broadcast:
     with open(ranks_path, "rb") as file:
         return docs.sparkSession.sparkContext.broadcast(file.read())  # one vocabulary file: its size doesn't depend on the data
 
@@ -242,25 +243,34 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     other columns of docs are ignored; an empty table gives an empty result. A piece may be as long
     as the text: its merges take time n log n.
     """
-    file = _ranks(docs, ranks_path)
+    file = broadcast_ranks(docs, ranks_path)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for doc_ids, packed in _encoded(batches, vocabulary(file.value), splitter(pattern)):
+        for doc_ids, packed in _encoded(batches, Encoder(vocabulary(file.value), splitter(pattern))):
             lists, counts = _ids_column(packed)
             yield pa.RecordBatch.from_arrays([doc_ids, lists, counts], names=["doc_id", "ids", "n_tokens"])
 
     return texts(docs).mapInArrow(lean(run, keeps=True), "doc_id long, ids array<int>, n_tokens long")
 
 
-def _encoded(batches: Iterable[pa.RecordBatch], vocab: Vocabulary, split) -> Iterator[tuple[pa.Array, list[bytes]]]:
+class Encoder:
+    """Packed int32 ids of texts; pieces that recur are encoded once and remembered."""
+
+    def __init__(self, vocab: Vocabulary, split: Callable[[str], list[str]]):
+        self.vocab, self.split, self.known = vocab, split, Remembered(REMEMBERED)
+
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        pieces = [self.split(text) if text else [] for text in texts]
+        new = list(self.known.missing(chain.from_iterable(pieces)))
+        self.known.young.update(zip(new, encode_pieces(self.vocab, [p.encode() for p in new]), strict=True))
+        of = self.known.young.__getitem__
+        return [b"".join(map(of, p)) for p in pieces]
+
+
+def _encoded(batches: Iterable[pa.RecordBatch], encoder: Encoder) -> Iterator[tuple[pa.Array, list[bytes]]]:
     """doc_ids and packed ids of each batch of (doc_id, text)."""
-    known = Remembered(REMEMBERED)
     for batch in batches:
-        pieces = [split(text) if text else [] for text in batch.column("text").to_pylist()]
-        new = list(known.missing(chain.from_iterable(pieces)))
-        known.young.update(zip(new, encode_pieces(vocab, [p.encode() for p in new]), strict=True))
-        of = known.young.__getitem__
-        yield batch.column("doc_id"), [b"".join(map(of, p)) for p in pieces]
+        yield batch.column("doc_id"), encoder(batch.column("text").to_pylist())
 
 
 def _ids_column(packed: list[bytes]) -> tuple[pa.ListArray, pa.Array]:
@@ -279,11 +289,11 @@ def decode_lists(tokens: pa.Array, lists: pa.ListArray) -> pa.Array:
 
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """encode() and decode() in one pass, so that a task needs one Python worker: (doc_id, ids, n_tokens, decoded)."""
-    file = _ranks(docs, ranks_path)
+    file = broadcast_ranks(docs, ranks_path)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(file.value)
-        for doc_ids, packed in _encoded(batches, vocab, splitter(pattern)):
+        for doc_ids, packed in _encoded(batches, Encoder(vocab, splitter(pattern))):
             lists, counts = _ids_column(packed)
             yield pa.RecordBatch.from_arrays([doc_ids, lists, counts, decode_lists(vocab.tokens, lists)], names=["doc_id", "ids", "n_tokens", "decoded"])
 
@@ -292,7 +302,7 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     """encoded (doc_id, ids, n_tokens) with the bytes of its ids as column decoded."""
-    file = _ranks(encoded, ranks_path)
+    file = broadcast_ranks(encoded, ranks_path)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = held(("tokens of ranks", file.value), lambda: _token_array(_ranks_of(file.value)))

@@ -12,12 +12,13 @@ from __future__ import annotations
 import uuid
 from bisect import bisect_right
 from collections import defaultdict, deque
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomline.llm.common import NO_ID, shared_dir
+from loomline.llm.common import NO_ID, if_small, job, shared_dir, written
 
 OLD_SHARDS, SHARDS, BLOCKS, ROW_BYTES = 32, 40, 256, 16
 #: Bytes of documents that one task writes, about.
@@ -69,15 +70,18 @@ def min_cost_flow(supply: list[int], capacity: list[int]) -> dict[tuple[int, int
     return {(i, j): n for i in range(len(supply)) for j in range(len(capacity)) if (n := left[("new", j), ("old", i)])}
 
 
-def place_blocks(sizes: dict[tuple[int, int], int], shards: int) -> dict[tuple[int, int], int]:
-    """New shard of each block (old shard, number): whole blocks that come closest to the flow's amounts."""
-    olds = 1 + max((i for i, _ in sizes), default=-1)
-    supply = [0] * olds
+def flow_of(sizes: dict[tuple[int, int], int], shards: int) -> dict[tuple[int, int], int]:
+    """The flow from the old shards' bytes, by blocks (old shard, number), to equal capacities."""
+    supply = [0] * (1 + max((i for i, _ in sizes), default=-1))
     for (i, _), n in sizes.items():
         supply[i] += n
     total = sum(supply)
-    target = [total // shards + (j < total % shards) for j in range(shards)]
-    flow = min_cost_flow(supply, target)
+    return min_cost_flow(supply, [total // shards + (j < total % shards) for j in range(shards)])
+
+
+def place_blocks(sizes: dict[tuple[int, int], int], shards: int, flow: dict[tuple[int, int], int]) -> dict[tuple[int, int], int]:
+    """New shard of each block (old shard, number): whole blocks that come closest to the flow's amounts."""
+    olds = 1 + max((i for i, _ in sizes), default=-1)
     placed: dict[tuple[int, int], int] = {}
     for i in range(olds):
         free = sorted((n, b) for (k, b), n in sizes.items() if k == i)
@@ -111,36 +115,63 @@ def hashed_layout(shards: int) -> Column:
     return F.pmod(F.xxhash64(F.lit("old"), "did", "text"), F.lit(shards)).cast("int")
 
 
-def reshard(docs: DataFrame, shards: int = SHARDS, old_shard: Column | None = None, blocks: int = BLOCKS, unchanged: bool = False) -> tuple[DataFrame, str]:
-    """Shard files of docs(doc_id, text) under the shared folder, read back, and their path.
+class Resharded(NamedTuple):
+    """files: the shards' rows; path: where they lie; moved, fewest: bytes that changed shard, and that had to by the flow."""
+
+    files: DataFrame
+    path: str
+    moved: int
+    fewest: int
+
+
+def reshard(docs: DataFrame, shards: int = SHARDS, old_shard: Column | None = None, blocks: int = BLOCKS, unchanged: bool = False, part_bytes: int = PART_BYTES) -> Resharded:
+    """Shard files of docs(doc_id, text) under the shared folder, read back.
 
     Rows: doc_id, text (null: empty), size (UTF-8 bytes plus ROW_BYTES), shard, slot (gapless from 0 in each shard).
     old_shard is an expression over did (doc_id, NO_ID for null) and text that gives the present
-    shard from 0 on; hashed_layout(OLD_SHARDS) if none. Shards that neither gain nor lose a block
+    shard from 0 on, 0 where it is null; hashed_layout(OLD_SHARDS) if none. Shards that neither gain nor lose a block
     are skipped unless unchanged is true or the layout is new. Rows with equal or null doc_id are
     placed each on their own; other columns are ignored; an empty table gives empty files.
+
+    A task writes about part_bytes of one shard. Only blocks' sizes reach the driver; where they
+    are larger than that, they are split further, and those pieces are placed in Spark.
     """
     spark = docs.sparkSession
     fresh = old_shard is None
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.select("did", "text", (F.octet_length("text") + ROW_BYTES).cast("long").alias("size"), (hashed_layout(OLD_SHARDS) if fresh else old_shard).alias("old"))
+    old = hashed_layout(OLD_SHARDS) if fresh else F.coalesce(old_shard, F.lit(0))
+    rows = rows.select("did", "text", (F.octet_length("text") + ROW_BYTES).cast("long").alias("size"), old.cast("int").alias("old"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "did", "text"), F.lit(blocks)).cast("int"))
-    found = rows.groupBy("old", "block").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()  # old shards times blocks
-    placed = place_blocks({(r["old"], r["block"]): r["size"] for r in found}, shards)
-    counts = {(r["old"], r["block"]): r["n"] for r in found}
-    changed = {j for (i, _), j in placed.items() if i != j} | {i for (i, _), j in placed.items() if i != j} | {j for j in range(shards) if fresh or unchanged}
-    offset, table = defaultdict(int), []
-    for (i, b), j in sorted(placed.items()):
-        if j in changed:
-            table.append((i, b, j, offset[j]))
-        offset[j] += counts[i, b]
-    parts = max(1, -(-sum(r["size"] for r in found) // (shards * PART_BYTES)))
-    plan = spark.createDataFrame(table, "old int, block int, shard int, start long")
-    dealt = rows.join(F.broadcast(plan), ["old", "block"]).withColumn("part", F.col("block") % parts)  # plan: old shards times blocks rows
-    order = Window.partitionBy("shard", "part", "old", "block").orderBy("did", "text")
-    width = max(1, min(shards * parts, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    slotted = dealt.repartition(width, "shard", "part").withColumn("slot", F.col("start") + F.row_number().over(order) - 1)
-    path = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
-    slotted.select(F.when(F.col("did") != NO_ID, F.col("did")).alias("doc_id"), "text", "size", "slot", "shard").write.mode("overwrite").option("compression", "zstd").partitionBy("shard").parquet(path)
+    with job(spark):
+        found = written(rows.groupBy("old", "block").agg(F.sum("size").alias("size"), F.count("*").alias("n")), "shard-blocks")
+        sizes = {(r["old"], r["block"]): r["size"] for r in found.collect()}  # old shards times blocks
+        flow = flow_of(sizes, shards)
+        placed = place_blocks(sizes, shards, flow)
+        changed = {j for (i, _), j in placed.items() if i != j} | {i for (i, _), j in placed.items() if i != j} | {j for j in range(shards) if fresh or unchanged}
+        held: dict[int, int] = defaultdict(int)
+        for k, j in placed.items():
+            held[j] += sizes[k]
+        first, tasks = {}, 0  # of each shard's tasks
+        for j in sorted(held):
+            if j in changed:
+                first[j] = tasks
+                tasks += 1 + held[j] // part_bytes
+        plan = spark.createDataFrame([(i, b, j, first[j]) for (i, b), j in sorted(placed.items()) if j in changed], "old int, block int, shard int, first int")
+        pieces = 1 + max(sizes.values(), default=0) // part_bytes
+        rows = rows.withColumn("piece", F.pmod(F.xxhash64(F.lit("piece"), "did", "text"), F.lit(pieces)).cast("int"))
+        if pieces > 1:
+            found = rows.groupBy("old", "block", "piece").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
+        else:
+            found = found.withColumn("piece", F.lit(0))
+        before = Window.partitionBy("shard").orderBy("old", "block", "piece").rowsBetween(Window.unboundedPreceding, -1)
+        sum_before = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+        starts = found.join(F.broadcast(plan), ["old", "block"])  # plan: old shards times blocks rows
+        starts = starts.select("old", "block", "piece", "shard", (F.col("first") + F.floor(sum_before("size") / part_bytes)).cast("int").alias("task"), sum_before("n").alias("start"))
+        dealt = rows.join(if_small(starts, "shard-starts"), ["old", "block", "piece"])
+        order = Window.partitionBy("task", "old", "block", "piece").orderBy("did", "text")
+        slotted = dealt.repartitionById(max(1, tasks), "task").withColumn("slot", F.col("start") + F.row_number().over(order) - 1)
+        path = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
+        slotted.select(F.when(F.col("did") != NO_ID, F.col("did")).alias("doc_id"), "text", "size", "slot", "shard").write.mode("overwrite").option("compression", "zstd").partitionBy("shard").parquet(path)
     back = spark.read.schema("doc_id long, text string, size long, slot long, shard int").parquet(path)
-    return back, path
+    moved = sum(n for k, n in sizes.items() if placed[k] != k[0])
+    return Resharded(back, path, moved, sum(n for (i, j), n in flow.items() if i != j))

@@ -2,13 +2,14 @@
 
 A file row is a segment: whole documents, one frequency table shared by the segment's blocks, and
 blocks that each code up to BLOCK ids in interleaved lanes. A block starts from its own checkpoint
-(the lanes' states) and carries a checksum of its ids, so blocks decode independently, in any task.
+(the lanes' states) and carries a checksum of its ids, so a block decodes without the others.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
@@ -26,7 +27,9 @@ from loomline.llm.common import Remembered, held, lean, texts, written
 SCALE_BITS, LOW_BITS, WORD_BITS = 20, 31, 32
 LANES, BLOCK, SEGMENT = 2048, 1 << 18, 1 << 21
 END_ID = 2
-REMEMBERED = 200_000
+DAMAGED = "a block of token ids does not match its checksum"
+#: Words, and pieces, that a worker remembers in each of two generations.
+REMEMBERED = 150_000
 #: The library's byte level: bytes that are no visible character, soft hyphen included, are named by the code points from 256 on.
 UNSEEN = [b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xFF and b != 0xAD)]
 BYTE_NAMES = {b: 256 + k for k, b in enumerate(UNSEEN)}
@@ -82,6 +85,8 @@ def decode_block(states: bytes, words: bytes, n: int, freqs: np.ndarray, slots:
         found[t : t + len(lane)] = s
         lane = f_all[s] * (lane >> np.uint64(SCALE_BITS)) + slot - starts[s]
         low = np.flatnonzero(lane < np.uint64(1 << LOW_BITS))
+        if at + len(low) > len(w):
+            raise ValueError(DAMAGED)
         if len(low):
             lane[low] = lane[low] << np.uint64(WORD_BITS) | w[at : at + len(low)]
             at += len(low)
@@ -92,16 +97,6 @@ def decode_block(states: bytes, words: bytes, n: int, freqs: np.ndarray, slots:
 # --- tokens -----------------------------------------------------------------------------------
 
 
-def _tokenizer(file: str, special_as_text: bool) -> Tokenizer:
-    def make() -> Tokenizer:
-        found = Tokenizer.from_str(file)
-        if special_as_text:
-            found.encode_special_tokens = True  # their strings in a text are ordinary text
-        return found
-
-    return held(("tokenizer", file, special_as_text), make)
-
-
 class Encoder:
     """Packed ids of whole texts by the library; words and pieces that recur are encoded once and remembered.
 
@@ -111,7 +106,10 @@ class Encoder:
     """
 
     def __init__(self, file: str, special_as_text: bool = True):
-        self.library, self.split = _tokenizer(file, special_as_text), splitter(PIECES)
+        self.library = Tokenizer.from_str(file)
+        if special_as_text:
+            self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenize, self.split = self.library.model.tokenize, splitter(PIECES)
         self.words, self.pieces = Remembered(REMEMBERED), Remembered(REMEMBERED)
         added = [re.escape(t.content) for t in self.library.get_added_tokens_decoder().values() if t.content]
         self.added = re.compile("|".join(added) or r"(?!)", re.IGNORECASE)
@@ -119,19 +117,29 @@ class Encoder:
     def __call__(self, batch: list[str | None]) -> list[bytes]:
         simple = [bool(t) and SIMPLE.fullmatch(t) is not None and self.added.search(t) is None for t in batch]
         words = [t.lower().split() if s else [] for t, s in zip(batch, simple, strict=True)]
-        cut = {w: self.split(w) for w in self.words.missing(chain.from_iterable(words))}
-        tokenize = self.library.model.tokenize
+        cut = {w: self.cut(w) for w in self.words.missing(chain.from_iterable(words))}
         for piece in self.pieces.missing(chain.from_iterable(cut.values())):
             named = piece if piece.isascii() else piece.encode().decode("latin-1").translate(BYTE_NAMES)
-            self.pieces.young[piece] = np.array([t.id for t in tokenize(named)], dtype="<u4").tobytes()
+            self.pieces.young[piece] = array("I", [t.id for t in self.tokenize(named)]).tobytes()
         of_piece, of_word = self.pieces.young.__getitem__, self.words.young.__getitem__
         self.words.young.update((w, b"".join(map(of_piece, p)) if len(p) != 1 else of_piece(p[0])) for w, p in cut.items())
         return [b"".join(map(of_word, w)) if s or not t else self.whole(t) for t, s, w in zip(batch, simple, words, strict=True)]
 
+    def cut(self, word: str) -> list[str] | tuple[str, ...]:
+        """The pieces of a word: itself if it is letters alone, letters and one mark after them, or what the pattern finds."""
+        if word.isalpha():
+            return (word,)
+        body, mark = word[:-1], word[-1]
+        return (body, mark) if body.isalpha() and not mark.isalnum() else self.split(word)
+
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
+def _encoder(file: str, special_as_text: bool) -> Encoder:
+    return held(("token encoder", file, special_as_text), lambda: Encoder(file, special_as_text))
+
+
 SEGMENT_ROW = "part int, segment int, n_tokens long, doc_ids array<long>, lengths array<int>, symbols binary, freqs binary, blocks array<struct<n:int,crc:long,states:binary,words:binary>>"
 
 
@@ -164,7 +172,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, spe
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, number = Encoder(file.value, special_as_text), TaskContext.get().partitionId(), 0
+        encoder, part, number = _encoder(file.value, special_as_text), TaskContext.get().partitionId(), 0
         doc_ids, held, size = [], [], 0
         for batch in batches:
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder(batch.column("text").to_pylist()), strict=True):
@@ -211,7 +219,7 @@ def read_tokens(segments: DataFrame) -> DataFrame:
                 for b in row["blocks"]:
                     ids = symbols[decode_block(b["states"], b["words"], b["n"], freqs, slots)].astype("<u4")
                     if zlib.crc32(ids.tobytes()) != b["crc"]:
-                        raise ValueError("a block of token ids does not match its checksum")
+                        raise ValueError(DAMAGED)
                     parts.append(ids)
                 flat = np.concatenate(parts).tobytes()
                 lengths = np.array(row["lengths"], dtype=np.int64)

@@ -1,3 +1,4 @@
+import base64
 import hashlib
 import random
 import zlib
@@ -6,6 +7,8 @@ from itertools import product
 
 import numpy as np
 import public_tokenizers
+import pytest
+import tiktoken
 from helpers import awkward_rows, docs_frame, random_text, with_clashes
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -13,6 +16,7 @@ from tokenizers import Tokenizer
 from loomline.llm import chat_tree, flow_shards, queries, rans_tokens
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
 def test_flow_moves_the_fewest_bytes():
@@ -32,25 +36,45 @@ def test_flow_moves_the_fewest_bytes():
 def test_shards_are_whole_gapless_and_even(spark):
     rng = random.Random(5)
     rows = [(k, random_text(rng, ["one", "zwei", "été"], rng.randrange(60))) for k in range(1500)] + awkward_rows()
-    back, _ = flow_shards.reshard(with_clashes(docs_frame(spark, rows)), shards=7)
-    found = back.collect()
+    done = flow_shards.reshard(with_clashes(docs_frame(spark, rows)), shards=7)
+    check_shards(rows, done.files.collect(), 7)
+    assert done.fewest <= done.moved
+
+
+def test_blocks_larger_than_a_task_are_split(spark):
+    rng = random.Random(6)
+    rows = [(k % 300, random_text(rng, ["one", "zwei", "été"], rng.randrange(60))) for k in range(600)] + [(None, "null")] * 30
+    done = flow_shards.reshard(docs_frame(spark, rows), shards=3, blocks=4, part_bytes=700)
+    check_shards(rows, done.files.collect(), 3, even=0.35)
+    assert done.files.select(F.input_file_name()).distinct().count() > 40
+
+
+def test_null_old_shards_are_the_first(spark):
+    rows = [(k, f"text {k}") for k in range(40)] + [(None, "x")]
+    done = flow_shards.reshard(docs_frame(spark, rows), shards=2, old_shard=F.when(F.col("did") < 0, None).otherwise(F.pmod("did", F.lit(2))), unchanged=True)
+    check_shards(rows, done.files.collect(), 2, even=0.2)
+
+
+def check_shards(rows, found, shards, even=0.02):
     assert Counter((r.doc_id, r.text) for r in found) == Counter((d, t or "") for d, t in rows)
     slots, sizes = defaultdict(list), Counter()
     for r in found:
         assert r.size == len(r.text.encode()) + 16
         slots[r.shard].append(r.slot)
         sizes[r.shard] += r.size
-    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and set(slots) == set(range(7))
-    assert max(sizes.values()) - min(sizes.values()) < 0.02 * sum(sizes.values()) / 7 or max(sizes.values()) > 30_000
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and set(slots) == set(range(shards))
+    long = max(r.size for r in found)
+    assert max(sizes.values()) - min(sizes.values()) <= max(even * sum(sizes.values()) / shards, long)
 
 
 def test_only_shards_that_change_are_written(spark):
     rows = [(k, "x" * (100 if k % 4 < 2 else 40)) for k in range(400)]
-    back, _ = flow_shards.reshard(docs_frame(spark, rows), shards=4, old_shard=F.pmod("did", F.lit(4)).cast("int"))
-    assert back.count() == 400  # every shard gains or loses
-    even, _ = flow_shards.reshard(docs_frame(spark, [(k, "same") for k in range(400)]), shards=4, old_shard=F.pmod("did", F.lit(4)).cast("int"))
+    done = flow_shards.reshard(docs_frame(spark, rows), shards=4, old_shard=F.pmod("did", F.lit(4)).cast("int"))
+    assert 0 < done.fewest <= done.moved < 0.5 * sum(len(t) + 16 for _, t in rows)
+    assert done.files.count() == 400  # every shard gains or loses
+    even = flow_shards.reshard(docs_frame(spark, [(k, "same") for k in range(400)]), shards=4, old_shard=F.pmod("did", F.lit(4)).cast("int")).files
     assert even.count() == 0
-    assert flow_shards.reshard(docs_frame(spark, []))[0].collect() == []
+    assert flow_shards.reshard(docs_frame(spark, [])).files.collect() == []
 
 
 def test_blocks_round_trip():
@@ -65,6 +89,22 @@ def test_blocks_round_trip():
         assert (symbols[rans_tokens.decode_block(states, words, n, freqs, slots)] == ids).all()
 
 
+def test_a_block_decodes_alone_and_a_damaged_one_is_noticed(spark):
+    rows = [(1, random_text(random.Random(1), ["one", "zwei", "été"], 300_000)), (2, "short")]
+    segments = rans_tokens.write_tokens(docs_frame(spark, rows), TOKENIZER)
+    segment = max(segments.collect(), key=lambda r: len(r.blocks))
+    symbols, freqs = np.frombuffer(segment.symbols, dtype="<u4"), np.frombuffer(segment.freqs, dtype="<u4").astype(np.int64)
+    slots, number = np.repeat(np.arange(len(freqs)), freqs), len(segment.blocks) - 1
+    assert number >= 1
+    block = segment.blocks[number]
+    alone = symbols[rans_tokens.decode_block(block.states, block.words, block.n, freqs, slots)]
+    whole = np.concatenate([np.frombuffer(r.ids, dtype="<u4") for r in sorted(rans_tokens.read_tokens(segments.where(F.col("part") == segment.part)).collect(), key=lambda r: r.start)])
+    assert (alone == whole[sum(b.n for b in segment.blocks[:number]) :]).all()
+    damaged = segments.withColumn("blocks", F.transform("blocks", lambda b: b.withField("words", F.encode(F.regexp_replace(F.decode(b["words"], "ISO-8859-1"), "^.", "~"), "ISO-8859-1"))))
+    with pytest.raises(Exception, match="does not match its checksum"):
+        rans_tokens.read_tokens(damaged).collect()
+
+
 def test_token_files_equal_the_library(spark, monkeypatch):
     rng = random.Random(9)
     rows = awkward_rows() + [(1000 + k, "".join(rng.choice("aAbÉ ß\t\n'sllreT12٣ 日İſŉ😀!?-…") for _ in range(rng.randrange(60)))) for k in range(150)]
@@ -106,8 +146,8 @@ def chats():
 def test_chats_read_back_from_packs(spark):
     rows = chats()
     frame = with_clashes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
-    packed = chat_tree.packs(frame, pack_chars=300)
-    found = {r.conv_id: r for r in chat_tree.read_back(packed).collect()}
+    packed = chat_tree.packs(frame, RANKS, public_tokenizers.PATTERN, pack_tokens=100)
+    found = {r.conv_id: r for r in chat_tree.read_back(packed, RANKS, public_tokenizers.PATTERN).collect()}
     by_conv = defaultdict(list)
     for conv, turn, role, text in rows:
         by_conv[conv].append((turn is not None, turn or 0, role or "", text or ""))
@@ -122,10 +162,16 @@ def test_chats_read_back_from_packs(spark):
 def test_packs_share_prefixes_and_attend_to_ancestors_only(spark):
     rows = [(c, t, "user" if t % 2 == 0 else "assistant", "same start" if t < 2 else f"turn {c % 5} {t}") for c in range(50) for t in range(4)]
     frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    packed = chat_tree.packs(frame.coalesce(1)).collect()
-    assert sum(p.text.count("same start") for p in packed) == 2 * len(packed)  # once in each pack
+    packed = chat_tree.packs(frame.coalesce(1), RANKS, public_tokenizers.PATTERN).collect()
+    with open(RANKS, "rb") as file:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    start, top = library.encode_ordinary("same start"), max(ranks.values())
+    turns = [[top + 1, *library.encode_ordinary(role), top + 2, *start, top + 3] for role in ("user", "assistant")]
     for p in packed:
-        assert len({(n.parent, p.text[n.start : n.start + n.size]) for n in p.nodes}) == len(p.nodes)
+        assert p.ids[: sum(map(len, turns))] == turns[0] + turns[1]  # once in each pack
+        assert [(n.loss_start, n.loss_end) for n in p.nodes[:2]] == [(0, 0), (sum(map(len, turns)) - 1 - len(start), sum(map(len, turns)) - 1)]
+        assert len({(n.parent, tuple(p.ids[n.start : n.start + n.size])) for n in p.nodes}) == len(p.nodes)
         for n in p.nodes:
             above, at = set(), n.parent
             while at >= 0:
@@ -133,5 +179,5 @@ def test_packs_share_prefixes_and_attend_to_ancestors_only(spark):
                 at = p.nodes[at].parent
             spans = list(zip(n.attends[::2], n.attends[1::2]))
             assert {x for s, e in spans for x in range(s, e)} == above and n.position == len(above)
-    assert chat_tree.packs(frame.limit(0)).collect() == []
+    assert chat_tree.packs(frame.limit(0), RANKS, public_tokenizers.PATTERN).collect() == []
     assert zlib.crc32(b"") == 0
