@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loomline.operators import events, ingest, joins, kpi, logs, orders, series
 from loomline.plans.params import Params
-from loomline.sources import sinks
+from loomline.sources import sinks, synthetic
 from loomline.sources.tables import Tables
 
 VALUES = "ts_value timestamp_ntz, id_equipment long, id_site int, net_production_incr double, scrap_incr double, state int, mode int, speed double"
@@ -193,3 +193,18 @@ def test_timelines_are_stitched_over_midnights(spark):
     ends = {(r[0], r[2]): after[2] if after[0] == r[0] else None for r, after in zip(runs, [*runs[1:], [None] * 3])}
     found = {(r.id_equipment, r.ts_event): r.ts_end for r in events.from_states(values).collect()}
     assert found == ends
+
+
+def test_synthetic_ticks_are_repeatable_and_go_back_from_their_end(spark):
+    found = sorted(synthetic.ticks(spark, 1000, "2024-01-31 00:00:00").collect())
+    assert found == sorted(synthetic.ticks(spark, 1000, "2024-01-31 00:00:00").collect())
+    assert found[-1].ts_value == at(31) and found[0].ts_value == at(31) - timedelta(seconds=999) and {r.id_equipment for r in found} == {1, 2}
+
+
+def test_bus_messages_of_a_file_are_read_as_those_of_a_broker(spark, tmp_path):
+    message = '{"timestamp": 1704067200000, "gateway": "edge", "metrics": [{"name": "a/Status/StateCurrent", "value": 6.0}, {"name": "b", "timestamp": 1704067201500, "value": 1.5, "counter": 7}]}'
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "one.txt").write_text(message + "\nnot json\n")
+    stream = spark.readStream.text(str(tmp_path / "in")).select(F.col("value").cast("binary").alias("value"))
+    found = sorted(tuple(r) for r in sinks.drained(ingest.explode_metrics(stream)).collect())
+    assert found == [("edge", "a/Status/StateCurrent", at(1), 6.0, None, None), ("edge", "b", at(1, 0, 0, 1, 500_000), 1.5, 7, None)]
