@@ -172,9 +172,11 @@ class Remembered:
         if len(self.young) > self.size:
             self.young, self.old = {}, self.young
         new = set(keys).difference(self.young)
-        again = new.intersection(self.old)
-        self.young.update((k, self.old[k]) for k in again)
-        return new - again
+        if self.old:
+            again = {k: self.old[k] for k in new if k in self.old}
+            self.young.update(again)
+            new.difference_update(again)
+        return new
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
