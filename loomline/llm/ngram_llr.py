@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import if_small, texts
+from loomline.llm.common import Remembered, held, if_small, lean, texts
 
 BINS = 1 << 16
 #: Added to every bin of both multinomials.
@@ -28,28 +27,24 @@ THRESHOLD = -0.15
 PAIR = np.uint64(0x9E3779B97F4A7C15)  # fixed odd multiplier that tells a pair's first word from its second
 WORD = re.compile("[^\x20\x09-\x0d]+")
 SYMBOLS = re.compile(r"[#*$%&|<>]")
-#: Hashes of words a worker remembers before it starts anew.
-REMEMBERED = 400_000
+#: Hashes of words a worker remembers, in each of two generations.
+REMEMBERED = 200_000
 
 
 class Hasher:
     """64-bit hashes of words, remembered."""
 
     def __init__(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = Remembered(REMEMBERED)
 
     def __call__(self, words: list[str]) -> np.ndarray:
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "replace"))
-        return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
+        for w in self.known.missing(words):
+            self.known.young[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "replace"))
+        return np.fromiter(map(self.known.young.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
-@lru_cache(maxsize=1)
 def hasher() -> Hasher:
-    return Hasher()
+    return held(("word hashes",), Hasher)
 
 
 def bins(words: list[str], size: int = BINS) -> np.ndarray:
@@ -94,28 +89,28 @@ def count_bins(docs: DataFrame, trusted: DataFrame) -> tuple[np.ndarray, np.ndar
     """n-grams per bin over all rows of docs, and over those whose doc_id is in trusted(doc_id).
 
     Each task adds up its own rows; only sums per bin are shuffled, and what reaches the driver is
-    two numbers per bin, however large the corpus.
+    two numbers per bin, however large the corpus. No text is joined to be counted but those of
+    trusted documents.
     """
-    good = if_small(trusted.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("trusted", F.lit(True)), "llr-trusted")
-    marked = texts(docs).join(good, "doc_id", "left").select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
+    good = if_small(trusted.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "llr-trusted")
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, BINS), dtype=np.int64)
+        total = np.zeros(BINS, dtype=np.int64)
         for batch in batches:
-            for text, is_good in zip(batch.column("text").to_pylist(), batch.column("trusted").to_pylist(), strict=True):
-                words = WORD.findall(text) if text else []
-                if words:
-                    np.add.at(total[0], found := bins(words).astype(np.int64), 1)
-                    if is_good:
-                        np.add.at(total[1], found, 1)
-        used = np.flatnonzero(total[0])
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[0][used]), pa.array(total[1][used])], names=["bin", "raw", "target"])
+            found = [bins(words) for text in batch.column("text").to_pylist() if text and (words := WORD.findall(text))]
+            if found:
+                total += np.bincount(np.concatenate(found).astype(np.int64), minlength=BINS)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["bin", "n"])
+
+    def counts(rows: DataFrame) -> np.ndarray:
+        sums = rows.select("text").mapInArrow(lean(count, keeps=True), "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
+        found = np.zeros(BINS)
+        found[sums.column("bin").to_numpy()] = sums.column("n").to_numpy()
+        return found
 
-    sums = marked.mapInArrow(count, "bin int, raw long, target long").groupBy("bin").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
-    raw, target = np.zeros(BINS), np.zeros(BINS)
-    raw[sums.column("bin").to_numpy()] = sums.column("raw").to_numpy()
-    target[sums.column("bin").to_numpy()] = sums.column("target").to_numpy()
-    return raw, target
+    rows = texts(docs)
+    return counts(rows), counts(rows.join(good, "doc_id", "left_semi"))
 
 
 def log_ratios(raw: np.ndarray, target: np.ndarray, smoothing: float = SMOOTHING) -> np.ndarray:
@@ -150,7 +145,7 @@ def judge(docs: DataFrame, ratios: np.ndarray, threshold: float = THRESHOLD) ->
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept"])
 
     kinds = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, llr double, kept boolean"
-    return texts(docs).mapInArrow(run, kinds)
+    return texts(docs).mapInArrow(lean(run, keeps=True), kinds)
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:

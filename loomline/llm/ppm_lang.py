@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import io
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,17 +19,21 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm.common import held_out, prepare, texts
+from loomline.llm.common import held, held_out, lean, prepare, texts
 
 UNDETERMINED = "und"
-#: Bytes of labelled text from which a language is learned, about; rows are chosen by a hash of doc_id.
+#: Bytes of labelled text from which a language is learned, about; rows are chosen by a hash of doc_id and text.
 TRAIN_BYTES = 4_000_000
 ORDER = 3
 #: A deepest context seen less often in every language is left out of the trees.
 MIN_CONTEXT = 8
 UNIT = 1024
+#: Bits a byte takes without any model.
+MAX_BITS = 8.0
 #: Bytes coded at once; longer texts are coded in pieces that know the bytes before them.
 STEP = 1 << 20
+#: Contexts whose code lengths are computed at once.
+ROWS_AT_ONCE = 2048
 PAD = b"\n" * ORDER
 LETTER = regex.compile(r"\p{L}")
 
@@ -71,7 +74,7 @@ def _shares(of: list[int], data: list[bytes]) -> Iterator[tuple[int, list[bytes]
 def train(docs: DataFrame, train_bytes: int = TRAIN_BYTES) -> bytes:
     """Languages and their counts, packed: learned from rows of docs(doc_id, text, lang) with a text and a lang.
 
-    About train_bytes of text per language are used, whole texts chosen by a hash of doc_id, so
+    About train_bytes of text per language are used, whole texts chosen by a hash of doc_id and text, so
     the model's size has a bound that doesn't depend on the corpus.
     """
     spark = docs.sparkSession
@@ -82,7 +85,7 @@ def train(docs: DataFrame, train_bytes: int = TRAIN_BYTES) -> bytes:
     if not langs:
         return _pack([], np.zeros((0, 3), dtype=np.int64))
     share = spark.createDataFrame([(x, k, min(1.0, train_bytes / max(1, sizes[x]))) for k, x in enumerate(langs)], "lang string, k int, share double")
-    draw = F.pmod(F.xxhash64(F.lit("ppm"), "doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    draw = F.pmod(F.xxhash64(F.lit("ppm"), "doc_id", "text"), F.lit(1 << 20)) / F.lit(float(1 << 20))
     sample = usable.join(F.broadcast(share), "lang").where(draw < F.col("share"))  # one row per language
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,7 +96,7 @@ def train(docs: DataFrame, train_bytes: int = TRAIN_BYTES) -> bytes:
                 gram, n = np.unique(_grams(some), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), k, dtype=np.int32)), pa.array(gram), pa.array(n.astype(np.int64))], names=["k", "gram", "n"])
 
-    counts = sample.select("text", "k").mapInArrow(count, "k int, gram long, n long").groupBy("k", "gram").agg(F.sum("n").alias("n"))
+    counts = sample.select("text", "k").mapInArrow(lean(count), "k int, gram long, n long").groupBy("k", "gram").agg(F.sum("n").alias("n"))
     table = counts.toArrow()
     rows = np.stack([table.column(c).to_numpy().astype(np.int64) for c in ("k", "gram", "n")], axis=1)
     return _pack(langs, rows[np.lexsort((rows[:, 1], rows[:, 0]))])
@@ -132,12 +135,20 @@ class Coder:
             cost1 = self._mixed(gram >> 8 & 255, byte, n, 256, np.repeat(cost0, 256, axis=0))
             at = np.searchsorted(two, gram >> 8 & 0xFFFF)
             cost2 = self._mixed(at, byte, n, len(two), cost1[two & 255])
-            at = np.searchsorted(three, gram >> 8)
-            seen = np.append(three, -1)[at] == gram >> 8
-            below = cost2[np.searchsorted(two, three & 0xFFFF)]
-            cost3 = self._mixed(at[seen], byte[seen], n[seen], len(three), below)
-            whole = np.concatenate([cost1, cost2, cost3])
-            self.tables.append(np.minimum(np.rint(whole * UNIT), 65535).astype(np.uint16).reshape(-1))
+            table = np.empty((256 + len(two) + len(three), 256), dtype=np.uint16)
+            table[:256], table[256 : 256 + len(two)] = self._units(cost1), self._units(cost2)
+            for k in range(0, len(three), ROWS_AT_ONCE):  # grams ascend, so a slice of contexts is a slice of grams
+                contexts = three[k : k + ROWS_AT_ONCE]
+                s, e = np.searchsorted(gram >> 8, [contexts[0], contexts[-1] + 1])
+                at = np.searchsorted(contexts, gram[s:e] >> 8)
+                seen = contexts[at] == gram[s:e] >> 8
+                cost3 = self._mixed(at[seen], byte[s:e][seen], n[s:e][seen], len(contexts), cost2[np.searchsorted(two, contexts & 0xFFFF)])
+                table[256 + len(two) + k : 256 + len(two) + k + len(contexts)] = self._units(cost3)
+            self.tables.append(table.reshape(-1))
+
+    @staticmethod
+    def _units(bits: np.ndarray) -> np.ndarray:
+        return np.minimum(np.rint(bits * UNIT), 65535).astype(np.uint16)
 
     @staticmethod
     def _mixed(context: np.ndarray, byte: np.ndarray, n: np.ndarray, size: int, below: np.ndarray) -> np.ndarray:
@@ -180,9 +191,8 @@ class Coder:
             np.add.at(found[:, k], of, np.append(sums, 0)[::2][: len(of)] if drop else sums[::2])
 
 
-@lru_cache(maxsize=1)
 def coder(packed: bytes) -> Coder:
-    return Coder(packed)
+    return held(("language tables", packed), lambda: Coder(packed))
 
 
 def predict(docs: DataFrame, packed: bytes) -> DataFrame:
@@ -200,7 +210,7 @@ def predict(docs: DataFrame, packed: bytes) -> DataFrame:
             pred, score, rate, said = _told(coder(model.value), batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(pred, type=pa.string()), pa.array(score), pa.array(rate, mask=~said)], names=["doc_id", "lang_pred", "score", "bits_per_byte"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, lang_pred string, score double, bits_per_byte double")
+    return texts(docs).mapInArrow(lean(run, keeps=True), "doc_id long, lang_pred string, score double, bits_per_byte double")
 
 
 def _told(code: Coder, batch: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
@@ -215,17 +225,21 @@ def _told(code: Coder, batch: list[str | None]) -> tuple[list[str], np.ndarray,
     return pred, np.where(said, score, 0.0), rate, said
 
 
-def identified(docs: DataFrame, packed: bytes, min_score: float) -> DataFrame:
-    """The rows of docs, all columns, whose text has a language of at least min_score; each row by its own text, without a shuffle."""
+def identified(docs: DataFrame, packed: bytes, min_score: float, max_bits: float = MAX_BITS) -> DataFrame:
+    """The rows of docs, all columns, that have a language; each row by its own text, without a shuffle.
+
+    The best language must hold min_score of the total probability, and its code must take at most
+    max_bits a byte: a longer one than the bytes themselves means that the text is in no language learned.
+    """
     prepare(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(packed)
 
     def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            _, score, _, said = _told(coder(model.value), batch.column("text").to_pylist())
-            yield batch.filter(pa.array(said & (score >= min_score)))
+            _, score, rate, said = _told(coder(model.value), batch.column("text").to_pylist())
+            yield batch.filter(pa.array(said & (score >= min_score) & (rate <= max_bits)))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(lean(keep, keeps=True), docs.schema)
 
 
 def identify(spark: SparkSession, docs: DataFrame) -> DataFrame:

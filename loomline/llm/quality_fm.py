@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import held_out, if_small, prepare
+from loomline.llm.common import held_out, if_small, lean, prepare
 from loomline.llm.ngram_llr import WORD, hasher
 
 WORD_BINS, FACTORS = 1 << 13, 8
@@ -176,8 +176,8 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> b
         machine = fit(row, *flat, np.array([r[4] for r in held], dtype=float).reshape(-1, STRUCTURE), np.array([r[1] for r in held], dtype=float))
         yield pa.RecordBatch.from_arrays([pa.array([machine.pack()], type=pa.binary())], names=["machine"])
 
-    drawn = sample.mapInArrow(extract, "doc_id long, quality int, bins array<int>, xs array<double>, structure array<double>")
-    return bytes(drawn.repartition(1).mapInArrow(learn, "machine binary").first()["machine"])
+    drawn = sample.mapInArrow(lean(extract, keeps=True), "doc_id long, quality int, bins array<int>, xs array<double>, structure array<double>")
+    return bytes(drawn.repartition(1).mapInArrow(lean(learn), "machine binary").first()["machine"])
 
 
 def score(docs: DataFrame, packed: bytes) -> DataFrame:
@@ -195,7 +195,7 @@ def score(docs: DataFrame, packed: bytes) -> DataFrame:
             found = machine.score(batch.column("text").to_pylist(), batch.column("n_chars").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, type=pa.float64())], names=["doc_id", "score"])
 
-    return _inputs(docs).mapInArrow(run, "doc_id long, score double")
+    return _inputs(docs).mapInArrow(lean(run, keeps=True), "doc_id long, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
