@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.llm import bpe_codec, decontam, line_align, near_copies, ppm_lang
-from loomline.llm.common import NO_ID, held_out, if_small, load, written
+from loomline.llm.common import NO_ID, held_out, if_small, job, load, written
 
 #: A language below this share of the total probability is no better than a guess among the languages.
 MIN_LANGUAGE_SCORE = 0.3
@@ -21,7 +21,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told; those without letters or with no likely language go. Each row is judged by its own text."""
+    """Documents whose language is told; those without letters, in no language learned or with no likely one go. Each row is judged by its own text."""
     return ppm_lang.identified(docs, ppm_lang.train(docs.where(~held_out())), MIN_LANGUAGE_SCORE)
 
 
@@ -33,12 +33,14 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies (five-word Jaccard of 0.8 or above), that of lowest doc_id.
 
+    SimHash fingerprints and pivot distance tables bring close copies together, prefix filtering all
+    other pairs at 0.8 or above; both kinds are verified on the shingles.
     Each row is judged by its own text: rows that share an id, or have none, go only if their texts
     are in a group. A null id is after all others, equal ids are in the order of a hash of their texts.
     Only rows that go, and those that occur several times, are joined to the texts: few beside those that stay.
     """
     key = ["__did", "__th"]
-    found = written(near_copies.groups(docs), "pipeline-groups").withColumnsRenamed({"did": "__did", "th": "__th"})
+    found = near_copies.groups(docs).withColumnsRenamed({"did": "__did", "th": "__th"})
     stays = (F.col("__did") == F.col("first_did")) & (F.col("__th") == F.col("first_th"))
     gone = if_small(found.where(~stays).select(*key), "pipeline-gone")
     several = if_small(found.where(stays & (F.col("rows") > 1)).select(*key), "pipeline-several")
@@ -71,10 +73,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in order over documents, each one's rows written to the shared folder for the next."""
+    """The stages in order over documents, each one's rows written to the shared folder for the next; what it needed besides is deleted then."""
     docs = load(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = written(docs, f"pipeline-stage-{k}")
-    return docs
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        with job(spark):
+            docs = written(stage(spark, docs, sf_dir), f"pipeline-stage-{k}", outer=True)
+    return STAGES[-1][1](spark, docs, sf_dir)
