@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm import bpe_codec, chat_tree, decontam, flow_shards, line_align, ngram_llr, ppm_lang, quality_fm, rans_tokens, simhash
+from loomline.llm import bpe_codec, chat_tree, decontam, flow_shards, line_align, merkle_strings, ngram_llr, ppm_lang, quality_fm, rans_tokens, secret_novelty, simhash, spelling_trie
 from loomline.llm.common import load, written
 
 
@@ -74,7 +74,92 @@ def op10_ngram_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
 
 
+def op11_spelling_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_trie.variants(load(spark, sf_dir, "documents"))
+
+
+def op12_secret_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    found = secret_novelty.scan(docs, secret_novelty.identifiers(docs))
+    shown = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    of = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    counts = [of(kind).alias(f"n_{kind}") for kind in secret_novelty.KINDS[:3]]
+    return found.select("doc_id", *counts, F.sha2(shown("base"), 256).alias("base_sha256"), shown("spans").alias("spans"))
+
+
+def op13_merkle_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of all documents, and the roots that the leaves of tampered texts lead to by the original siblings."""
+    docs = load(spark, sf_dir, "documents")
+    fields = {c: F.col(c) for c in merkle_strings.FIELDS}
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, merkle_strings.leaf(**fields | {"text": F.replace("text", F.lit("\n"), F.lit(""))}))
+    made = merkle_strings.manifest(docs, {"tampered": tampered})
+    folded = made.withColumn("folded_root", merkle_strings.folded(F.coalesce("tampered", "leaf"), F.col("path")))
+    return folded.select("doc_id", "leaf", "subroot", "root", merkle_strings.proof_digest(F.col("path")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+#: The CRC-32 table and the unsigned CRC-32 of text, for an engine without the function.
+CRC_TABLE = "SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY i) AS t FROM range(256) AS r(i)"
+BYTES = "flatten(list_transform(string_split({0}, ''), lambda c: CASE WHEN ord(c) < 128 THEN [ord(c)::BIGINT] ELSE [(192 + (ord(c) >> 6))::BIGINT, (128 + (ord(c) & 63))::BIGINT] END))"
+CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, " + BYTES + "), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295)"
+
 SQL: dict[str, str] = {
+    "op11_spelling_trie": f"""
+        WITH RECURSIVE crcs AS ({CRC_TABLE}), runs AS (
+            SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\u00C0-\u00FF]+')) AS run FROM documents
+        ), counted AS (
+            SELECT doc_id, run, count(*) AS k FROM runs WHERE length(run) >= 6 GROUP BY 1, 2
+        ), hashed AS (
+            SELECT run, k, {CRC.format("coalesce(doc_id::VARCHAR, '') || ':' || run")} AS h FROM counted, crcs
+        ), words AS (
+            SELECT CASE WHEN h % 199 = 0 THEN left(run, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word, sum(k)::BIGINT AS n FROM hashed GROUP BY 1
+            HAVING length(word) >= 6 AND sum(k) >= 5
+        ), cut AS (
+            SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS part FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)
+        ), pairs AS (
+            SELECT a.word, a.n, b.word AS other, b.n AS m FROM cut a JOIN cut b ON a.i = b.i AND a.part = b.part AND a.word <> b.word
+            UNION SELECT a.word, a.n, b.word, b.n FROM cut a JOIN words b ON a.part = b.word
+            UNION SELECT b.word, b.n, a.word, a.n FROM cut a JOIN words b ON a.part = b.word
+        ), best AS (
+            SELECT word, n, count(*) AS n_near, arg_min(other, (-m, other)) AS form, max(m) AS form_n FROM pairs GROUP BY 1, 2
+        ), forms AS (SELECT word, form, form_n FROM best WHERE form_n >= 5 * n),
+        way AS (
+            SELECT word, word AS root, 0 AS steps FROM words
+            UNION ALL SELECT w.word, f.form, steps + 1 FROM way w JOIN forms f ON f.word = w.root
+        ), roots AS (SELECT word, arg_max(root, steps) AS root FROM way GROUP BY 1)
+        SELECT words.word, forms.form, root, words.n, coalesce(n_near, 0) AS n_near, forms.form_n FROM words JOIN roots USING (word) LEFT JOIN best ON best.word = words.word LEFT JOIN forms ON forms.word = words.word""",
+    "op13_merkle_strings": f"""
+        WITH RECURSIVE crcs AS ({CRC_TABLE}), given AS (
+            SELECT doc_id, source, text, {" || ".join(f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "n_chars"))} AS head FROM documents
+        ), leaves AS (
+            SELECT doc_id, coalesce('=' || source, '') AS grp, sha256(head || coalesce(strlen(text)::VARCHAR || ':' || text, '-')) AS leaf,
+            sha256(head || coalesce(strlen(replace(text, chr(10), ''))::VARCHAR || ':' || replace(text, chr(10), ''), '-')) AS cut, {CRC.format("doc_id::VARCHAR")} % 2 = 0 AS hit FROM given, crcs
+        ), placed AS (
+            SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY grp) AS total FROM leaves
+        ), tree AS (
+            SELECT grp, 0 AS lvl, pos, leaf AS node, total FROM placed
+            UNION ALL SELECT grp, lvl + 1, pos // 3, sha256(string_agg(node, '' ORDER BY pos)), (total + 2) // 3 FROM tree WHERE total > 1 GROUP BY grp, lvl, pos // 3, total
+        ), tops AS (
+            SELECT grp, node AS subroot, row_number() OVER (ORDER BY grp) - 1 AS pos, count(*) OVER () AS total FROM tree WHERE total = 1
+        ), crown AS (
+            SELECT 0 AS lvl, pos, subroot AS node, total FROM tops
+            UNION ALL SELECT lvl + 1, pos // 3, sha256(string_agg(node, '' ORDER BY pos)), (total + 2) // 3 FROM crown WHERE total > 1 GROUP BY lvl, pos // 3, total
+        ), flanks AS (
+            SELECT t.grp, t.lvl, t.pos, coalesce(string_agg(s.node, '' ORDER BY s.pos) FILTER (WHERE s.pos < t.pos), '') AS l, coalesce(string_agg(s.node, '' ORDER BY s.pos) FILTER (WHERE s.pos > t.pos), '') AS r
+            FROM tree t JOIN tree s ON s.grp = t.grp AND s.lvl = t.lvl AND s.pos // 3 = t.pos // 3 WHERE t.total > 1 GROUP BY 1, 2, 3
+        ), crown_flanks AS (
+            SELECT t.lvl, t.pos, coalesce(string_agg(s.node, '' ORDER BY s.pos) FILTER (WHERE s.pos < t.pos), '') AS l, coalesce(string_agg(s.node, '' ORDER BY s.pos) FILTER (WHERE s.pos > t.pos), '') AS r
+            FROM crown t JOIN crown s ON s.lvl = t.lvl AND s.pos // 3 = t.pos // 3 WHERE t.total > 1 GROUP BY 1, 2
+        ), steps AS (
+            SELECT p.grp, p.pos, f.lvl, f.l, f.r FROM placed p JOIN flanks f ON f.grp = p.grp AND f.pos = p.pos // (3 ** f.lvl)::BIGINT
+            UNION ALL SELECT p.grp, p.pos, 1000 + c.lvl, c.l, c.r FROM placed p JOIN tops USING (grp) JOIN crown_flanks c ON c.pos = tops.pos // (3 ** c.lvl)::BIGINT
+        ), paths AS (
+            SELECT grp, pos, list(l ORDER BY lvl) AS ls, list(r ORDER BY lvl) AS rs, string_agg(l || r, '' ORDER BY lvl) AS proof FROM steps GROUP BY 1, 2
+        ), walk AS (
+            SELECT grp, pos, 0 AS k, CASE WHEN hit THEN cut ELSE leaf END AS node FROM placed
+            UNION ALL SELECT w.grp, w.pos, k + 1, sha256(ls[k + 1] || node || rs[k + 1]) FROM walk w JOIN paths p ON p.grp = w.grp AND p.pos = w.pos WHERE k < len(ls)
+        ), ends AS (SELECT grp, pos, arg_max(node, k) AS folded_root FROM walk GROUP BY 1, 2)
+        SELECT doc_id, leaf, subroot, root, sha256(coalesce(proof, '')) AS proof_sha256, folded_root, folded_root = root AS verified
+        FROM placed JOIN tops USING (grp) JOIN ends ON ends.grp = placed.grp AND ends.pos = placed.pos LEFT JOIN paths ON paths.grp = placed.grp AND paths.pos = placed.pos, (SELECT node AS root FROM crown WHERE total = 1)""",
     "op8_decontam": r"""
         WITH words AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
