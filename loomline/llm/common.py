@@ -11,6 +11,7 @@ import uuid
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 import numpy as np
@@ -59,13 +60,13 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-#: Folders of the jobs that are open, the innermost last.
-_JOBS: list[str] = []
+#: Folders of the jobs that are open here, the innermost last. Each thread has its own: queries side by side share no folder.
+_JOBS: ContextVar[tuple[str, ...]] = ContextVar("loomline_jobs", default=())
 
 
 def _folder(spark: SparkSession, outer: bool = False) -> str:
     """Where intermediate tables go: the open job's folder (outer: that of the job around it), else the application's."""
-    jobs = _JOBS[:-1] if outer else _JOBS
+    jobs = _JOBS.get()[:-1] if outer else _JOBS.get()
     return jobs[-1] if jobs else f"{shared_dir(spark)}/loomline-{spark.sparkContext.applicationId}"
 
 
@@ -78,11 +79,13 @@ def delete(spark: SparkSession, path: str) -> None:
 @contextmanager
 def job(spark: SparkSession) -> Iterator[None]:
     """Intermediate tables written inside are deleted at the end; what shall last is written with outer."""
-    _JOBS.append(f"{_folder(spark)}/job-{uuid.uuid4().hex}")
+    folder = f"{_folder(spark)}/job-{uuid.uuid4().hex}"
+    before = _JOBS.set((*_JOBS.get(), folder))
     try:
         yield
     finally:
-        delete(spark, _JOBS.pop())
+        _JOBS.reset(before)
+        delete(spark, folder)
 
 
 def clean(spark: SparkSession) -> None:
