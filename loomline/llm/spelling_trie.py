@@ -33,7 +33,7 @@ LETTERS = LOWER + "".join(chr(c) for c in range(0xC0, 0x100))
 #: Groups of letters, by code point, and the levels of the trie where its tables are parted.
 GROUPS, CUTS = 12, (4, 8, 12)
 #: Words of a subtree that is searched as a whole, and searches that one task makes in it.
-UNIT_WORDS, UNIT_PROBES = 2000, 20_000
+UNIT_WORDS, UNIT_PROBES = 10_000, 50_000
 #: Words that a node of the trie keeps as a list.
 LEAF_WORDS = 8
 
