@@ -1,9 +1,12 @@
+import random
+from concurrent.futures import ThreadPoolExecutor
 from types import SimpleNamespace
 
 import pyarrow as pa
 import pytest
+from helpers import docs_frame, random_text
 
-from loomline.llm import common
+from loomline.llm import common, decontam, flow_shards, line_align, simhash
 
 
 def test_remembered_values_outlive_a_turn_only_if_asked_for_again():
@@ -59,3 +62,21 @@ def test_tables_of_a_job_go_at_its_end_but_for_those_written_outside(spark):
         assert kept.count() == 3
     assert last.count() == 3
     assert "/job-" not in last.inputFiles()[0]
+
+
+def test_queries_side_by_side_keep_their_own_tables(spark):
+    rng = random.Random(1)
+    words = [f"w{k}" for k in range(60)]
+    texts = [random_text(rng, words, 40) for _ in range(20)]
+    docs = docs_frame(spark, [(k, texts[k % 20] + "\n" + texts[(k * 7) % 20]) for k in range(50)])
+    tests = spark.createDataFrame([(1, texts[3]), (2, texts[5])], "item_id long, text string")
+    runs = [
+        lambda: simhash.near_duplicates(docs).select("doc_id", "component_id"),
+        lambda: line_align.deduplicate(docs, by_block=True).select("doc_id", "text"),
+        lambda: flow_shards.reshard(docs).files.select("doc_id", "shard", "slot"),
+        lambda: decontam.report(docs, tests).select("doc_id", "n_hit"),
+    ]
+    shown = lambda run: sorted(map(str, run().collect()))
+    alone = [shown(run) for run in runs]
+    with ThreadPoolExecutor(4) as pool:
+        assert list(pool.map(shown, runs)) == alone
