@@ -12,12 +12,38 @@ MESSAGE = "timestamp LONG, gateway STRING, metrics ARRAY<STRUCT<name: STRING, ti
 COLUMNS = {"ProdProcessedCount": "net_production_incr", "ProdDefectiveCount": "scrap_incr", "StateCurrent": "state", "UnitModeCurrent": "mode", "CurMachSpeed": "speed"}
 
 
+def read_messages(messages: DataFrame, column: str = "value") -> DataFrame:
+    """(raw, m, why) of JSON messages: why is null where m can be used, else what is wrong with the whole message.
+
+    `null`: no message; `malformed`: not JSON of the expected types; `no metrics`: without any.
+    """
+    raw = F.col(column).cast("string")
+    parsed = messages.select(raw.alias("raw"), F.from_json(raw, f"{MESSAGE}, broken STRING", {"columnNameOfCorruptRecord": "broken"}).alias("m"))
+    why = F.when(F.col("raw").isNull(), "null").when(F.col("m").isNull() | F.col("m.broken").isNotNull(), "malformed").when(F.coalesce(F.size("m.metrics"), F.lit(0)) <= 0, "no metrics")
+    return parsed.withColumn("why", why)
+
+
+def _each(read: DataFrame) -> DataFrame:
+    """The metrics of usable messages, with what is wrong with one: `no name` or `no time`."""
+    at = F.timestamp_millis(F.coalesce(F.col("x.timestamp"), F.col("m.timestamp")))
+    rows = read.where("why is null").select("m", F.explode("m.metrics").alias("x"))
+    return rows.select("m.gateway", "x", at.alias("ts_metric"), F.when(F.col("x.name").isNull(), "no name").when(at.isNull(), "no time").alias("why"))
+
+
+def metrics_of(read: DataFrame) -> DataFrame:
+    """One row per metric that can be used; one without a timestamp takes its message's."""
+    return _each(read).where("why is null").select("gateway", F.col("x.name").alias("name"), "ts_metric", F.col("x.value").alias("value"), F.col("x.counter").alias("counter"), F.col("x.curspeed").alias("curspeed"))
+
+
+def dead_letters(read: DataFrame) -> DataFrame:
+    """(why, gateway, raw) of each message, and of each metric in a usable one, that metrics_of leaves out."""
+    whole = read.where("why is not null").select("why", "m.gateway", "raw")
+    return whole.union(_each(read).where("why is not null").select("why", "gateway", F.to_json("x")))
+
+
 def explode_metrics(messages: DataFrame, column: str = "value") -> DataFrame:
-    """One row per metric of JSON messages; a metric without a timestamp takes its message's."""
-    parsed = messages.select(F.from_json(F.col(column).cast("string"), MESSAGE).alias("m"))
-    rows = parsed.select("m.timestamp", "m.gateway", F.explode("m.metrics").alias("x"))
-    at = F.timestamp_millis(F.coalesce(F.col("x.timestamp"), F.col("timestamp")))
-    return rows.select("gateway", F.col("x.name").alias("name"), at.alias("ts_metric"), F.col("x.value").alias("value"), F.col("x.counter").alias("counter"), F.col("x.curspeed").alias("curspeed"))
+    """One row per usable metric of JSON messages; what is left out is told by dead_letters(read_messages(messages))."""
+    return metrics_of(read_messages(messages, column))
 
 
 def parse_topic(metrics: DataFrame) -> DataFrame:

@@ -138,6 +138,16 @@ def by_names(df: DataFrame, enterprises: DataFrame, names: str) -> DataFrame:
     return df.join(wanted, "id_enterprise", "left_semi")
 
 
+def scope_ids(df: DataFrame, **ids: list[int] | None) -> DataFrame:
+    """Rows whose enterprise, site, area and equipment are in the lists given by level; None means every row, an empty list none."""
+    for level, wanted in ids.items():
+        if level not in ("enterprise", "site", "area", "equipment"):
+            raise ValueError(f"no such level: {level}")
+        if wanted is not None:
+            df = df.where(F.col(f"id_{level}").isin(wanted))
+    return df
+
+
 def cascade(t, enterprises: list[int]) -> DataFrame:
     """Sites, areas and equipment under the enterprises, by level and name."""
     sites = t.sites.where(F.col("id_enterprise").isin(enterprises))

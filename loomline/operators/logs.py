@@ -43,10 +43,6 @@ def search(logs: DataFrame, p: Params, service: str, pattern: str) -> DataFrame:
     return logs.where(within("ts", p) & label(service) & F.col("line").rlike(pattern))
 
 
-def retained(logs: DataFrame, as_of: str, hours: int = 72) -> DataFrame:
-    return logs.where(F.col("ts") > ntz(as_of) - F.expr(f"INTERVAL {hours} HOURS"))
-
-
 def from_containers(lines: DataFrame, project: str) -> DataFrame:
     """Container lines (project, name, service, stream, ts, line) of one project, labels renamed and JSON level and msg read."""
     kept = lines.where(F.col("project") == project)

@@ -108,11 +108,29 @@ def touched_by(late: DataFrame, runtimes: DataFrame) -> DataFrame:
     return values_in_runtimes(late.select("id_equipment", "ts_value"), runtimes).select("id_production_order_runtime").distinct()
 
 
-def recalc(stored: DataFrame, values: DataFrame, runtimes: DataFrame, dirty: DataFrame) -> DataFrame:
-    """stored totals with those of the dirty runtimes computed anew; ticks of other equipment aren't read into the join."""
-    again = runtimes.join(dirty, "id_production_order_runtime", "left_semi")
-    ticks = values.join(again.select("id_equipment").distinct(), "id_equipment", "left_semi")
-    return stored.join(dirty, "id_production_order_runtime", "left_anti").unionByName(totals(ticks, again))
+def store_totals(totals_: DataFrame, runtimes: DataFrame, path: str) -> None:
+    """Writes totals of runtimes as a table by the day they start."""
+    days = runtimes.select("id_production_order_runtime", F.to_date("ts_start").alias("day"))
+    totals_.join(days, "id_production_order_runtime").hint("rebalance", "day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+
+
+def recalc_stored(path: str, values: DataFrame, runtimes: DataFrame, late: DataFrame) -> None:
+    """Brings stored totals up to date with values for the runtimes that late ticks (id_equipment, ts_value) fall into.
+
+    Only the days on which such a runtime starts are read and overwritten; ticks outside the span of these runtimes are
+    left out by the scan. The same call again changes nothing.
+    """
+    spark = values.sparkSession
+    dirty = runtimes.join(touched_by(late, runtimes), "id_production_order_runtime", "left_semi")
+    spans = dirty.groupBy(F.to_date("ts_start").alias("day")).agg(F.min("ts_start").alias("first"), F.max(F.coalesce("ts_end", ntz("9999-12-31 00:00:00"))).alias("last")).collect()  # a row a day
+    if not spans:
+        return
+    days, first, last = [r["day"] for r in spans], min(r["first"] for r in spans), max(r["last"] for r in spans)
+    ids = dirty.select("id_production_order_runtime")
+    stays = spark.read.parquet(path).where(F.col("day").isin(days)).join(ids, "id_production_order_runtime", "left_anti")
+    ticks = values.where((F.col("ts_value") >= ntz(str(first))) & (F.col("ts_value") < ntz(str(last)))).join(dirty.select("id_equipment").distinct(), "id_equipment", "left_semi")
+    fresh = totals(ticks, dirty).join(dirty.select("id_production_order_runtime", F.to_date("ts_start").alias("day")), "id_production_order_runtime")
+    stays.unionByName(fresh).hint("rebalance", "day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
 
 
 def overlaps(runtimes: DataFrame) -> DataFrame:

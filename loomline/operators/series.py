@@ -134,15 +134,61 @@ def shown(rolled: DataFrame) -> DataFrame:
 
 def consistency(values: DataFrame) -> DataFrame:
     """How many daily buckets differ between the cascade and a roll-up straight from rows: none if all is well."""
-    keep = [KEY, "time", *(c for c in SUMS if c != "speed_sum")]
+    keep = [KEY, "time", *SUMS]
     cascade, direct = rollup(values, "1d").select(keep), rollup_rows(values, "1 day").select(keep)
-    differ = cascade.exceptAll(direct).union(direct.exceptAll(cascade))
-    return differ.agg(F.count("*").alias("differing"))
+    # one pass: a row that both sides have as often adds up to nothing
+    both = cascade.withColumn("side", F.lit(1)).unionByName(direct.withColumn("side", F.lit(-1)))
+    return both.groupBy(keep).agg(F.sum("side").alias("more")).agg(F.coalesce(F.sum(F.abs("more")), F.lit(0)).alias("differing"))
 
 
-def refresh(target_path: str, values: DataFrame, touched: DataFrame, step: str = "1 day") -> None:
-    """Recomputes the days of a daily roll-up, stored by day, that the touched rows fall in, and overwrites those only."""
-    days = touched.select(F.to_date("ts_value").alias("day")).distinct()
-    rows = values.withColumn("day", F.to_date("ts_value")).join(days, "day", "left_semi")
-    fresh = shown(rollup_rows(rows, step)).withColumn("day", F.to_date("time"))
-    fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(target_path)
+def reporting(values: DataFrame, step: str = "5 minutes") -> DataFrame:
+    """(time, sketch): a HyperLogLog sketch of the equipment that reports in each bucket; a row of some KB, whatever the number of equipment."""
+    return values.groupBy(bucket("ts_value", step).alias("time")).agg(F.hll_sketch_agg(KEY).alias("sketch"))
+
+
+def reporting_up(finer: DataFrame, step: str) -> DataFrame:
+    """The sketches of coarser buckets, merged from finer ones: ticks aren't read again."""
+    return finer.groupBy(bucket("time", step).alias("time")).agg(F.hll_union_agg("sketch").alias("sketch"))
+
+
+def reported(sketches: DataFrame) -> DataFrame:
+    return sketches.select("time", F.hll_sketch_estimate("sketch").alias("equipment"))
+
+
+#: Stored levels of a roll-up, each from the one before.
+LEVELS = (("1m", "1 minute"), ("1h", "1 hour"), ("1d", "1 day"))
+
+
+def store_values(values: DataFrame, path: str) -> None:
+    """Adds ticks to a table by day of ts_value, which refresh reads by days."""
+    values.withColumn("day", F.to_date("ts_value")).hint("rebalance", "day").write.mode("append").partitionBy("day").parquet(path)
+
+
+def refresh(target: str, source: DataFrame, touched: DataFrame) -> None:
+    """Brings the stored levels target/1m, /1h and /1d up to date with source for the buckets that touched rows fall in.
+
+    source: all ticks with a column day, best a table stored by it; touched: the new ones among them (id_equipment, ts_value).
+    Dirty minutes are computed from rows, dirty hours from stored minutes, dirty days from stored hours. Only the
+    days touched are read, as their partitions are named in the plan (a calendar's worth at most), and only their partitions are
+    overwritten, each with the buckets that stay. A level whose writing dies is repaired by the same call again.
+    """
+    spark = source.sparkSession
+    dirty = touched.select(KEY, F.to_date("ts_value").alias("day"), "ts_value")
+    days = [r["day"] for r in dirty.select("day").distinct().where("day is not null").collect()]
+    if not days:
+        return
+    finer, ts = source.where(F.col("day").isin(days)), "ts_value"
+    for name, step in LEVELS:
+        keys = dirty.select(KEY, "day", bucket("ts_value", step).alias("time")).distinct()
+        rows = finer.withColumn("bucket_", bucket(ts, step)).join(keys.withColumnRenamed("time", "bucket_"), [KEY, "day", "bucket_"], "left_semi").drop("bucket_")
+        fresh = (rollup_rows(rows, step) if name == "1m" else rollup_up(rows, step)).withColumn("day", F.to_date("time"))
+        path = f"{target}/{name}"
+        if _stored(spark, path):
+            fresh = spark.read.parquet(path).where(F.col("day").isin(days)).join(keys, [KEY, "day", "time"], "left_anti").unionByName(fresh)
+        fresh.hint("rebalance", "day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+        finer, ts = spark.read.parquet(path).where(F.col("day").isin(days)), "time"
+
+
+def _stored(spark, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)

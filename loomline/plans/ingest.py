@@ -63,12 +63,12 @@ add(
 )
 
 
-def messages(t):
+def messages(t, *more: str):
     """A message per metric, which it holds twice: without a timestamp, and a second later with one."""
     ms = F.unix_millis(F.col("ts_metric").cast("timestamp"))
     metric = lambda name, at: F.struct(name.alias("name"), at.cast("long").alias("timestamp"), F.col("value").alias("value"))
     pair = F.array(metric(F.col("name"), F.lit(None)), metric(F.concat("name", F.lit("/late")), ms + 1000))
-    return t.raw_metrics.select(F.to_json(F.struct(ms.alias("timestamp"), F.lit("edge").alias("gateway"), pair.alias("metrics"))).alias("value"))
+    return t.raw_metrics.select(F.to_json(F.struct(ms.alias("timestamp"), F.lit("edge").alias("gateway"), pair.alias("metrics"))).alias("value"), *more)
 
 
 add(
@@ -76,3 +76,30 @@ add(
     lambda t: ingest.explode_metrics(messages(t)).select("gateway", "name", F.col("ts_metric").cast("timestamp_ntz").alias("ts_metric"), "value"),
     "SELECT 'edge' AS gateway, name, ts_metric, value FROM raw_metrics UNION ALL SELECT 'edge', name || '/late', ts_metric + INTERVAL 1 SECOND, value FROM raw_metrics",
 )
+
+
+def damaged(t):
+    """Messages as above, in the order of seq % 12: cut off, missing, without metrics, metrics without names or times, a time that is no number; the rest whole."""
+    value, kind = F.col("value"), F.col("seq") % 12
+    cut = F.when(kind == 0, F.substring(value, F.lit(1), F.length(value) - 5)).when(kind == 1, F.lit(None)).when(kind == 2, F.regexp_replace(value, r'"metrics":.*', '"metrics":[]}'))
+    named = cut.when(kind == 3, F.replace(value, F.lit('"name":'), F.lit('"title":'))).when(kind == 4, F.replace(value, F.lit('"timestamp":'), F.lit('"clock":')))
+    timed = named.when(kind == 5, F.regexp_replace(value, r'^\{"timestamp":[0-9]+', '{"timestamp":"soon"'))
+    return messages(t, "seq").select(timed.otherwise(value).alias("value"))
+
+
+def counted_letters(good, dead):
+    """How many metrics were used, and how many letters are dead for each reason."""
+    used = good.agg(F.count("*").alias("n")).select(F.lit("used").alias("why"), "n")
+    return used.union(dead.groupBy("why").agg(F.count("*").alias("n")))
+
+
+LETTERS = """SELECT why, CAST(sum(k) AS BIGINT) AS n FROM (SELECT CASE seq % 12 WHEN 0 THEN 'malformed' WHEN 1 THEN 'null' WHEN 2 THEN 'no metrics' WHEN 3 THEN 'no name' WHEN 4 THEN 'no time' WHEN 5 THEN 'malformed' ELSE 'used' END AS why,
+    CASE WHEN seq % 12 IN (0, 1, 2, 5) THEN 1 ELSE 2 END AS k FROM raw_metrics) GROUP BY 1"""
+
+
+def letters(t):
+    read = ingest.read_messages(damaged(t))
+    return counted_letters(ingest.metrics_of(read), ingest.dead_letters(read))
+
+
+add("ingest_dead_letters", letters, LETTERS)

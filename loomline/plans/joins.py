@@ -94,6 +94,11 @@ add(
     UNION ALL SELECT 'area', CAST(id_area AS BIGINT), nm_area FROM areas WHERE id_site IN (SELECT id_site FROM sites WHERE id_enterprise IN (1, 2))
     UNION ALL SELECT 'equipment', CAST(id_equipment AS BIGINT), nm_equipment FROM equipments WHERE id_area IN (SELECT id_area FROM areas WHERE id_site IN (SELECT id_site FROM sites WHERE id_enterprise IN (1, 2)))""",
 )
+add(
+    "scope_ids",
+    lambda t: joins.scope_ids(t.equipments, enterprise=[0, 1, 3], site=list(range(0, 20)), area=list(range(0, 40, 3)), equipment=None).select("id_equipment", "nm_equipment"),
+    "SELECT id_equipment, nm_equipment FROM equipments WHERE id_enterprise IN (0, 1, 3) AND id_site < 20 AND id_area % 3 = 0 AND id_area < 40",
+)
 add(
     "scope_by_name",
     lambda t: joins.by_names(t.user_logs, t.enterprises, NAMES).groupBy("id_enterprise").agg(F.count("*").alias("n")),

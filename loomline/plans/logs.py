@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from loomline.operators import logs
 from loomline.plans.params import DEFAULT as P
 from loomline.plans.registry import add
+from loomline.sources import sinks
 
 RANGE = f"ts BETWEEN TIMESTAMP '{P.t0}' AND TIMESTAMP '{P.t1}'"
 HOUR = "time_bucket(INTERVAL 1 HOUR, ts) AS time"
@@ -54,7 +57,17 @@ add(
     f"SELECT * FROM service_logs WHERE {RANGE} AND (contains(line, 'pubsub_pub') OR contains(line, 'pubsub_rcv') OR contains(line, 'pubsub_payload'))",
 )
 add("log_service_values", lambda t: t.service_logs.select("service").distinct(), "SELECT DISTINCT service FROM service_logs")
-add("log_retention", lambda t: logs.retained(t.service_logs, AS_OF), f"SELECT * FROM service_logs WHERE ts > TIMESTAMP '{AS_OF}' - INTERVAL 72 HOUR")
+
+
+def retained(t):
+    """Lines stored by hour, the old hours dropped from disk."""
+    path = f"{sinks.work_dir(t.spark)}/logs-{uuid.uuid4().hex}"
+    sinks.store_logs(t.service_logs, path)
+    sinks.drop_old_logs(t.spark, path, AS_OF)
+    return sinks.stored_logs(t.spark, path, AS_OF)
+
+
+add("log_retention", retained, f"SELECT * FROM service_logs WHERE ts > TIMESTAMP '{AS_OF}' - INTERVAL 72 HOUR")
 add(
     "src_service_logs",
     lambda t: logs.from_containers(t.service_logs.select(F.when(F.col("service") == "simulator", "other").otherwise("factory").alias("project"), F.concat(F.lit("/"), "service", F.lit("-1")).alias("name"), "service", F.lit("stdout").alias("stream"), "ts", "line"), "factory"),

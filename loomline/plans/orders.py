@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from loomline.operators import orders
 from loomline.plans.params import DEFAULT as P
 from loomline.plans.registry import PLACES, WHERE_IT_STANDS, add
+from loomline.sources.sinks import work_dir
 
 INSIDE = "ev.id_equipment = rt.id_equipment AND ev.ts_value >= rt.ts_start AND (rt.ts_end IS NULL OR ev.ts_value < rt.ts_end)"
 TOTALS = f"SELECT rt.id_production_order_runtime, sum(ev.net_production_incr) AS net_production, sum(ev.scrap_incr) AS scrap, count(*) AS ticks FROM production_orders_runtime rt JOIN equipment_values ev ON {INSIDE} GROUP BY rt.id_production_order_runtime"
@@ -76,11 +79,12 @@ add("po_runtime_totals", lambda t: orders.totals(t.equipment_values, t.productio
 
 
 def recalculated(t):
-    """Totals from nine tenths of the ticks, brought up to date for the runtimes that the rest falls into."""
+    """Totals of nine tenths of the ticks, stored by day, brought up to date for the runtimes that the rest falls into."""
+    path = f"{work_dir(t.spark)}/totals-{uuid.uuid4().hex}"
     late = F.pmod(F.xxhash64("ts_value", "id_equipment"), F.lit(10)) == 0
-    stored = orders.totals(t.equipment_values.where(~late), t.production_orders_runtime)
-    dirty = orders.touched_by(t.equipment_values.where(late), t.production_orders_runtime)
-    return orders.recalc(stored, t.equipment_values, t.production_orders_runtime, dirty)
+    orders.store_totals(orders.totals(t.equipment_values.where(~late), t.production_orders_runtime), t.production_orders_runtime, path)
+    orders.recalc_stored(path, t.equipment_values, t.production_orders_runtime, t.equipment_values.where(late))
+    return t.spark.read.parquet(path).drop("day")
 
 
 add("po_recalc", recalculated, TOTALS)

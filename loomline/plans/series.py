@@ -82,17 +82,37 @@ def rolled(unit: str) -> str:
 
 for level, unit in (("1m", "minute"), ("1h", "hour"), ("1d", "day")):
     add(f"rollup_{level}", lambda t, n=level: series.shown(series.rollup(t.equipment_values, n)), rolled(unit))
-add("rollup_consistency", lambda t: series.consistency(t.equipment_values), "SELECT CAST(0 AS BIGINT) AS differing")
+CASCADED = """WITH minutes AS (SELECT id_equipment, date_trunc('minute', ts_value) AS time, sum(net_production_incr) AS net, sum(scrap_incr) AS scrap, round(sum(speed), 2) AS speed_sum, count(speed) AS speed_n,
+        count(*) FILTER (WHERE state = 6) AS running, count(state) AS stated, count(*) AS rows FROM equipment_values GROUP BY 1, 2),
+    hours AS (SELECT id_equipment, date_trunc('hour', time) AS time, sum(net) AS net, sum(scrap) AS scrap, round(sum(speed_sum), 2) AS speed_sum, sum(speed_n) AS speed_n, sum(running) AS running, sum(stated) AS stated, sum(rows) AS rows FROM minutes GROUP BY 1, 2),
+    days AS (SELECT id_equipment, date_trunc('day', time) AS time, sum(net) AS net, sum(scrap) AS scrap, round(sum(speed_sum), 2) AS speed_sum, sum(speed_n) AS speed_n, sum(running) AS running, sum(stated) AS stated, sum(rows) AS rows FROM hours GROUP BY 1, 2),
+    direct AS (SELECT id_equipment, date_trunc('day', ts_value) AS time, sum(net_production_incr) AS net, sum(scrap_incr) AS scrap, round(sum(speed), 2) AS speed_sum, count(speed) AS speed_n,
+        count(*) FILTER (WHERE state = 6) AS running, count(state) AS stated, count(*) AS rows FROM equipment_values GROUP BY 1, 2)
+    SELECT CAST((SELECT count(*) FROM (SELECT * FROM days EXCEPT ALL SELECT * FROM direct)) + (SELECT count(*) FROM (SELECT * FROM direct EXCEPT ALL SELECT * FROM days)) AS BIGINT) AS differing"""
+add("rollup_consistency", lambda t: series.consistency(t.equipment_values), CASCADED)
+
+
+def incremental(t, level: str):
+    """Stored levels of nine tenths of the ticks, refreshed for the buckets that the rest falls in."""
+    top = f"{work_dir(t.spark)}/rollup-{uuid.uuid4().hex}"
+    late = F.pmod(F.xxhash64("ts_value", "id_equipment"), F.lit(10)) == 0
+    for rows in (t.equipment_values.where(~late), t.equipment_values.where(late)):
+        series.store_values(rows, f"{top}/values")
+        series.refresh(f"{top}/levels", t.spark.read.parquet(f"{top}/values"), rows)
+    return series.shown(t.spark.read.parquet(f"{top}/levels/{level}"))
 
 
-def incremental(t):
-    """A daily roll-up of the first half of the rows, refreshed for the days that the rest touches."""
-    path = f"{work_dir(t.spark)}/rollup-{uuid.uuid4().hex}"
-    late = F.pmod(F.xxhash64("ts_value", "id_equipment"), F.lit(10)) == 0
-    early = t.equipment_values.where(~late)
-    series.refresh(path, early, early)
-    series.refresh(path, t.equipment_values, t.equipment_values.where(late))
-    return t.spark.read.parquet(path).drop("day")
+add("rollup_incremental", lambda t: incremental(t, "1d"), rolled("day"))
+add("rollup_incremental_1h", lambda t: incremental(t, "1h"), rolled("hour"))
+add("rollup_incremental_1m", lambda t: incremental(t, "1m"), rolled("minute"))
+
+
+def sketched(t):
+    """Equipment that reports per day, exactly and from merged five-minute sketches: whether these lie within 5 percent."""
+    day = F.date_trunc("day", "ts_value")
+    exact = t.equipment_values.groupBy(day.alias("time")).agg(F.count_distinct("id_equipment").alias("equipment"))
+    about = series.reported(series.reporting_up(series.reporting_up(series.reporting(t.equipment_values), "1 hour"), "1 day")).withColumnRenamed("equipment", "about")
+    return exact.join(about, "time").select("time", "equipment", (F.abs(F.col("about") - F.col("equipment")) <= 0.05 * F.col("equipment")).alias("close"))
 
 
-add("rollup_incremental", incremental, rolled("day"))
+add("agg_distinct_sketched", sketched, "SELECT date_trunc('day', ts_value) AS time, count(DISTINCT id_equipment) AS equipment, true AS close FROM equipment_values GROUP BY 1")

@@ -8,17 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.operators import ingest, orders
-from loomline.plans.ingest import ROUTED, WIDE, messages
+from loomline.plans.ingest import LETTERS, ROUTED, WIDE, counted_letters, damaged, messages
 from loomline.plans.registry import add_stream
 from loomline.sources import sinks
 from loomline.sources.tables import Tables
 from loomline.streaming import flows
 
 
-#: A watermark that the streams are taken to have reached when late ticks come.
-REACHED = "2024-01-10 00:00:00"
-
-
 def passed(ts: str) -> str:
     """SQL for the last watermark of a stream that has read all rows: whole milliseconds, less the delay."""
     return f"date_trunc('millisecond', max({ts})) - INTERVAL {flows.DELAY.upper().removesuffix('S')}"
@@ -68,10 +64,35 @@ def published(spark: SparkSession, path: str) -> DataFrame:
     return sinks.drained(flows.publish_receive(events("click"), events("view")))
 
 
+def stateful(spark: SparkSession, stream: DataFrame) -> DataFrame:
+    with sinks.rocksdb(spark):
+        return sinks.drained(stream)
+
+
+#: Ticks of these minutes reach the bus only after all others.
+HELD_BACK = "minute(ts_value) % 10 = 7"
+
+
 def to_recalc(spark: SparkSession, path: str) -> DataFrame:
-    runtimes = Tables(spark, path).production_orders_runtime
-    late = sinks.drained(flows.late(values(spark, path), REACHED))
-    return orders.touched_by(late.withColumn("ts_value", F.col("ts_value").cast("timestamp_ntz")), runtimes)
+    """Runtimes touched by late ticks: those of some minutes come in a second run of the stream, whose watermark the first has moved."""
+    t, top = Tables(spark, path), base(spark)
+    ticks = t.equipment_values.select("id_equipment", F.col("ts_value").cast("timestamp").alias("ts_value"))
+    with sinks.rocksdb(spark):
+        for part in (f"NOT ({HELD_BACK})", HELD_BACK):
+            ticks.where(part).write.mode("append").parquet(f"{top}/in")
+            stream = flows.late(spark.readStream.schema(ticks.schema).parquet(f"{top}/in"))
+            sinks.append_stream(stream, f"{top}/late", f"{top}/checkpoint").awaitTermination()
+    found = sinks.zoneless(spark.read.schema("id_equipment long, ts_value timestamp").parquet(f"{top}/late"))
+    return orders.touched_by(found, t.production_orders_runtime)
+
+
+def letters(spark: SparkSession, path: str) -> DataFrame:
+    """What the bus stream could not use, of messages some of which are damaged."""
+    top = base(spark)
+    read = ingest.read_messages(damaged(live(spark, path)))
+    sinks.letters_stream(read, f"{top}/good", f"{top}/dead", f"{top}/checkpoint").awaitTermination()
+    good, dead = spark.read.parquet(f"{top}/good"), spark.read.parquet(f"{top}/dead")
+    return counted_letters(good, dead)
 
 
 def deduplicated(spark: SparkSession, path: str) -> DataFrame:
@@ -108,7 +129,7 @@ add_stream(
 add_stream("st_dedup", deduplicated, "SELECT event_id, ts, event_type FROM events")
 add_stream(
     "st_state_events",
-    lambda s, p: sinks.drained(flows.state_events(values(s, p))),
+    lambda s, p: stateful(s, flows.state_events(values(s, p))),
     f"""WITH ticks AS (SELECT id_equipment, ts_value, max(state) AS state FROM equipment_values WHERE state IS NOT NULL GROUP BY 1, 2),
     changes AS (SELECT *, lag(state) OVER (PARTITION BY id_equipment ORDER BY ts_value) AS before FROM ticks WHERE ts_value <= (SELECT {passed("ts_value")} FROM ticks)),
     runs AS (SELECT id_equipment, state AS status, ts_value AS ts_event, lead(ts_value) OVER (PARTITION BY id_equipment ORDER BY ts_value) AS ts_end FROM changes WHERE before IS DISTINCT FROM state)
@@ -116,7 +137,7 @@ add_stream(
 )
 add_stream(
     "st_idle_timeout",
-    lambda s, p: sinks.drained(flows.idle(values(s, p), 86_400)),
+    lambda s, p: stateful(s, flows.idle(values(s, p), 86_400)),
     f"SELECT id_equipment, max(ts_value) AS last_seen FROM equipment_values GROUP BY 1 HAVING date_trunc('millisecond', max(ts_value)) + INTERVAL 86400 SECOND < {PASSED}",
 )
 add_stream(
@@ -149,5 +170,6 @@ add_stream(
     "st_late_to_recalc",
     to_recalc,
     f"""SELECT DISTINCT r.id_production_order_runtime FROM production_orders_runtime r JOIN equipment_values v ON v.id_equipment = r.id_equipment
-    AND v.ts_value >= r.ts_start AND (r.ts_end IS NULL OR v.ts_value < r.ts_end) WHERE v.ts_value < TIMESTAMP '{REACHED}'""",
+    AND v.ts_value >= r.ts_start AND (r.ts_end IS NULL OR v.ts_value < r.ts_end) WHERE {HELD_BACK} AND v.ts_value < (SELECT {passed("ts_value")} FROM equipment_values WHERE NOT ({HELD_BACK}))""",
 )
+add_stream("src_dead_letters", letters, LETTERS)

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from loomline.operators import ingest
 
@@ -37,59 +37,128 @@ def dedup(rows: DataFrame, keys: list[str], ts: str, delay: str = "1 day") -> Da
     return rows.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)
 
 
+#: Milliseconds of event time whose waiting ticks are one entry of the state.
+BUCKET_MS = 600_000
+
+
 def state_events(values: DataFrame, delay: str = DELAY) -> DataFrame:
-    """An event whenever an equipment's state changes, across batches, in order of event time.
+    """An event whenever an equipment's state changes, across batches, in order of event time. For sinks.rocksdb.
 
-    Ticks wait as state until the watermark has passed them, so those that come late, within the
-    delay, fall into their place; the run in progress is kept as state too. The newest ticks and the
-    open run are not written. Ticks of one instant count once, with the greatest state.
+    Ticks wait in a map by buckets of event time until the watermark has passed them, so those that come late, within
+    the delay, fall into their place; a trigger reads and writes only the buckets that its ticks fall in, and those
+    that have passed. The run in progress is a value of its own. The newest ticks and the open run are not
+    written. Ticks of one instant count once, with the greatest state.
     """
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        state, start, at, what = held.get if held.exists else (None, None, [], [])
-        waiting = dict(zip(at, what, strict=True))
-        for frame in frames:
-            for us, new in zip(frame["us"].tolist(), frame["state"].tolist(), strict=True):
-                waiting[us] = max(waiting.get(us, new), new)
-        passed = held.getCurrentWatermarkMs() * 1000
-        done = []
-        for us in sorted(x for x in waiting if x <= passed):
-            new = int(waiting.pop(us))
-            if state is None:
-                state, start = new, us
-            elif new != state:
-                done.append((key[0], state, start, us))
-                state, start = new, us
-        left = sorted(waiting)
-        held.update((state, start, left, [int(waiting[us]) for us in left]))
-        if left:
-            held.setTimeoutTimestamp(max(left[0] // 1000, held.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(done, columns=["id_equipment", "status", "start", "end"]).astype({"id_equipment": "int64", "status": "int32", "start": "int64", "end": "int64"})
-
-    ticks = values.where("state IS NOT NULL").select("id_equipment", "ts_value", F.unix_micros("ts_value").alias("us"), "state").withWatermark("ts_value", delay)
-    runs = ticks.groupBy("id_equipment").applyInPandasWithState(step, "id_equipment long, status int, start long, end long", "state int, start long, at array<long>, what array<int>", "append", GroupStateTimeout.EventTimeTimeout)
+    class Runs(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.waiting = handle.getMapState("waiting", "bucket long", "ticks array<struct<us:long,state:int>>")
+            self.run = handle.getValueState("run", "state int, start long")
+
+        def put(self, bucket: int, ticks: dict, passed_ms: int) -> None:
+            self.waiting.updateValue((bucket,), (sorted(ticks.items()),))
+            # a timer is due once the watermark is above it: the earliest tick is passed then
+            self.handle.registerTimer(max(min(ticks) // 1000 - 1, passed_ms))
+
+        def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+            fresh: dict[int, dict[int, int]] = {}
+            for row in rows:
+                ticks = fresh.setdefault(row.us // 1000 // BUCKET_MS, {})
+                ticks[row.us] = max(ticks.get(row.us, row.state), row.state)
+            for bucket, ticks in fresh.items():
+                if self.waiting.containsKey((bucket,)):
+                    for us, state in self.waiting.getValue((bucket,))[0]:
+                        ticks[us] = max(ticks.get(us, state), state)
+                self.put(bucket, ticks, timerValues.getCurrentWatermarkInMs())
+            return iter(())
+
+        def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
+            now = timerValues.getCurrentWatermarkInMs()
+            passed, left = [], {}
+            for (bucket,), (ticks,) in list(self.waiting.iterator()):
+                if bucket * BUCKET_MS > now:
+                    continue
+                passed += [(us, state) for us, state in ticks if us <= now * 1000]
+                left[bucket] = {us: state for us, state in ticks if us > now * 1000}
+            for bucket, ticks in left.items():
+                if ticks:
+                    self.put(bucket, ticks, now)
+                else:
+                    self.waiting.removeKey((bucket,))
+            if not passed:
+                return
+            state, start = self.run.get() if self.run.exists() else (None, None)
+            for us, new in sorted(passed):
+                if state is not None and new != state:
+                    yield Row(id_equipment=key[0], status=state, start=start, end=us)
+                if new != state:
+                    state, start = new, us
+            self.run.update((state, start))
+
+        def close(self) -> None:
+            pass
+
+    ticks = values.where("state IS NOT NULL").withWatermark("ts_value", delay).select("id_equipment", "ts_value", F.unix_micros("ts_value").alias("us"), "state")
+    runs = ticks.groupBy("id_equipment").transformWithState(Runs(), "id_equipment long, status int, start long, end long", "Append", "EventTime")
     ends = F.timestamp_micros("start").alias("ts_event"), F.timestamp_micros("end").alias("ts_end")
     return runs.select("id_equipment", "status", *ends, F.floor((F.col("end") - F.col("start")) / 1_000_000).cast("int").alias("duration"))
 
 
 def idle(values: DataFrame, seconds: int, delay: str = DELAY) -> DataFrame:
-    """A row when an equipment has been silent for so many seconds of event time."""
+    """A row when an equipment has been silent for so many seconds of event time. For sinks.rocksdb."""
+
+    class Silence(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.last = handle.getValueState("last", "us long")
+
+        def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+            newest = max(row.us for row in rows)
+            if self.last.exists():
+                before = self.last.get()[0]
+                if before >= newest:
+                    return iter(())
+                self.handle.deleteTimer(before // 1000 + 1000 * seconds)
+            self.last.update((newest,))
+            self.handle.registerTimer(newest // 1000 + 1000 * seconds)
+            return iter(())
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        last = held.get[0] if held.exists else None
-        if held.hasTimedOut:
-            held.remove()
-            yield pd.DataFrame({"id_equipment": [key[0]], "last_seen": [pd.Timestamp(last)]})
-            return
-        newest = max(f["ts_value"].max() for f in frames)
-        newest = newest if last is None else max(newest, pd.Timestamp(last))
-        held.update((newest.to_pydatetime(),))
-        due = int(newest.timestamp() * 1000) + 1000 * seconds
-        held.setTimeoutTimestamp(max(due, held.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"id_equipment": pd.Series(dtype="int64"), "last_seen": pd.Series(dtype="datetime64[ns]")})
+        def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
+            yield Row(id_equipment=key[0], us=self.last.get()[0])
+            self.last.clear()
 
-    ticks = values.select("id_equipment", "ts_value").withWatermark("ts_value", delay)
-    return ticks.groupBy("id_equipment").applyInPandasWithState(step, "id_equipment long, last_seen timestamp", "last timestamp", "append", GroupStateTimeout.EventTimeTimeout)
+        def close(self) -> None:
+            pass
+
+    ticks = values.withWatermark("ts_value", delay).select("id_equipment", "ts_value", F.unix_micros("ts_value").alias("us"))
+    silent = ticks.groupBy("id_equipment").transformWithState(Silence(), "id_equipment long, us long", "Append", "EventTime")
+    return silent.select("id_equipment", F.timestamp_micros("us").alias("last_seen"))
+
+
+def late(values: DataFrame, delay: str = DELAY) -> DataFrame:
+    """(id_equipment, ts_value) of each tick that comes behind the watermark its stream has reached, for orders.touched_by. For sinks.rocksdb.
+
+    Spark drops late rows in front of an operator that sees the event-time column; this one is given its
+    microseconds alone, and tells the late from the others itself. It keeps no state.
+    """
+
+    class Behind(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            pass
+
+        def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+            reached = 1000 * timerValues.getCurrentWatermarkInMs()
+            for row in rows:
+                if row.us < reached:
+                    yield Row(id_equipment=key[0], us=row.us)
+
+        def close(self) -> None:
+            pass
+
+    ticks = values.withWatermark("ts_value", delay).select("id_equipment", F.unix_micros("ts_value").alias("us"))
+    behind = ticks.groupBy("id_equipment").transformWithState(Behind(), "id_equipment long, us long", "Append", "EventTime")
+    return behind.select("id_equipment", F.timestamp_micros("us").alias("ts_value"))
 
 
 def sessions(values: DataFrame, gap: str, delay: str = DELAY) -> DataFrame:
@@ -98,7 +167,9 @@ def sessions(values: DataFrame, gap: str, delay: str = DELAY) -> DataFrame:
 
 
 def sliding_rows(values: DataFrame, length: str = "5 minutes", slide: str = "1 minute", delay: str = DELAY) -> DataFrame:
-    rows = values.withWatermark("ts_value", delay).groupBy(F.window("ts_value", length, slide).alias("w")).agg(F.count("*").alias("rows"))
+    """Rows in each sliding window, from panes of one slide each: a tick is counted once, and a pane goes into the windows over it."""
+    panes = values.withWatermark("ts_value", delay).groupBy(F.window("ts_value", slide).alias("w")).agg(F.count("*").alias("rows"))
+    rows = panes.select(F.window_time("w").alias("t"), "rows").groupBy(F.window("t", length, slide).alias("w")).agg(F.sum("rows").alias("rows"))
     return rows.select(F.col("w.end").alias("time"), "rows")
 
 
@@ -108,8 +179,3 @@ def publish_receive(sent: DataFrame, received: DataFrame, bound: str = "2 hours"
     b = received.select(F.col("key").alias("rkey"), F.col("ts").alias("received_at")).withWatermark("received_at", delay).alias("b")
     on = F.expr(f"key = rkey AND received_at >= sent_at AND received_at <= sent_at + INTERVAL {bound}")
     return a.join(b, on, "left_outer").select("key", "sent_at", "received_at")
-
-
-def late(values: DataFrame, behind: str) -> DataFrame:
-    """Raw ticks behind a watermark that the caller has reached, for orders.touched_by; they bypass the windows that would drop them."""
-    return values.where(F.col("ts_value") < F.lit(behind).cast("timestamp"))

@@ -64,7 +64,8 @@ def test_state_events_put_late_ticks_in_their_place(spark, tmp_path):
         (path.rename(tmp_path / "all" / f"{k}.parquet"))
         os.utime(tmp_path / "all" / f"{k}.parquet", (1_700_000_000 + 60 * k,) * 2)
     stream = spark.readStream.schema("id_equipment long, ts_value timestamp, state int").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/all")
-    got = rows(sinks.drained(flows.state_events(stream)), "id_equipment", "status", "ts_event", "ts_end", "duration")
+    with sinks.rocksdb(spark):
+        got = rows(sinks.drained(flows.state_events(stream)), "id_equipment", "status", "ts_event", "ts_end", "duration")
     ticks = spark.createDataFrame([(1, minute(m), s) for f in files[:4] for m, s in f], "id_equipment long, ts_value timestamp_ntz, state int")
     want = rows(events.from_states(ticks).where("ts_end <= '2024-01-01 01:20:00'"), "id_equipment", "status", "ts_event", "ts_end", "duration")
     assert got == want and len(got) >= 5
