@@ -48,8 +48,9 @@ def near_rows():
 def test_every_pair_at_four_fifths_is_linked(spark, monkeypatch):
     rows = near_rows()
     want = plain_first(rows)
-    for pairs_a_member in (4, 0):  # without and with rounds of links through one set per shingle
+    for pairs_a_member, block in ((4, 512), (0, 512), (4, 2)):  # without and with rounds of links through one set per shingle; hot shingles as many blocks
         monkeypatch.setattr(near_copies, "PAIRS_A_MEMBER", pairs_a_member)
+        monkeypatch.setattr(near_copies, "BLOCK_MEMBERS", block)
         found = {r.did: r.first_did for r in near_copies.groups(with_clashes(docs_frame(spark, rows))).collect()}
         assert {d: found.get(d, d) for d, _ in rows} == want
     assert 30 < sum(want[d] != d for d in want) < len(rows) - 30
