@@ -34,7 +34,9 @@ ROW_BYTES, POSITION_BITS = 256, 8
 #: Trees side by side hold about so many leaves.
 ROW_LEAVES = 1 << 17
 #: Encoded pieces a worker remembers, in each of two generations.
-REMEMBERED = 150_000
+REMEMBERED = 60_000
+#: Code points of texts that are split into pieces at once, about.
+SPLIT_AT_ONCE = 1 << 19
 
 
 class Vocabulary:
@@ -260,6 +262,16 @@ class Encoder:
         self.vocab, self.split, self.known = vocab, split, Remembered(REMEMBERED)
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
+        done, some, size = [], [], 0
+        for text in texts:
+            some.append(text)
+            size += len(text or "")
+            if size >= SPLIT_AT_ONCE:
+                done += self._encoded(some)
+                some, size = [], 0
+        return done + self._encoded(some)
+
+    def _encoded(self, texts: list[str | None]) -> list[bytes]:
         pieces = [self.split(text) if text else [] for text in texts]
         new = list(self.known.missing(chain.from_iterable(pieces)))
         self.known.young.update(zip(new, encode_pieces(self.vocab, [p.encode() for p in new]), strict=True))

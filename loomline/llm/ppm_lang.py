@@ -31,7 +31,7 @@ UNIT = 1024
 #: Bits a byte takes without any model.
 MAX_BITS = 8.0
 #: Bytes coded at once; longer texts are coded in pieces that know the bytes before them.
-STEP = 1 << 20
+STEP = 1 << 18
 #: Contexts whose code lengths are computed at once.
 ROWS_AT_ONCE = 2048
 PAD = b"\n" * ORDER
