@@ -12,15 +12,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomline.functions.columns import count_where, minutes_open, newest, not_forced, ntz, percent, seconds_between, uncategorised, within
-from loomline.operators.series import beside, state_timeline
+from loomline.operators.series import state_changes
 from loomline.plans.params import Params
 
 
 def from_states(values: DataFrame) -> DataFrame:
     """State runs as events: a run ends when the next begins, the last one is open."""
-    runs = state_timeline(values).select("id_equipment", F.col("state").alias("status"), F.col("ts_start").alias("ts_event"))
-    ended = beside(runs, "ts_end", "ts_event", "ts_event", ahead=True)
-    return ended.withColumn("duration", seconds_between(F.col("ts_event"), F.col("ts_end")).cast("int"))
+    runs = state_changes(values).select("id_equipment", F.col("state").alias("status"), F.col("ts_start").alias("ts_event"), "ts_end")
+    return runs.withColumn("duration", seconds_between(F.col("ts_event"), F.col("ts_end")).cast("int"))
 
 
 def kind(running: bool = True) -> Column:

@@ -60,37 +60,54 @@ def metric_exclusive(values: DataFrame) -> DataFrame:
 def beside(df: DataFrame, name: str, value: str, ts: str, *more: str, ahead: bool = False) -> DataFrame:
     """df with column name: value in the equipment's row before (ahead: after) in order of ts and more.
 
-    Rows are sorted per equipment and day; from day to day goes one row per equipment and day.
+    Rows are sorted per equipment and day; the first and last of each day alone are then sorted over all days of an equipment.
     """
-    step, edge = (F.lead, F.min_by) if ahead else (F.lag, F.max_by)
+    step = F.lead if ahead else F.lag
     by_day = df.withColumn("day_", F.coalesce(F.to_date(ts), F.lit("0001-01-01").cast("date")))
-    days = by_day.groupBy(KEY, "day_").agg(edge(value, F.struct(ts, *more)).alias("edge_"))
-    days = days.select(KEY, "day_", step("edge_").over(Window.partitionBy(KEY).orderBy("day_")).alias("border_"))
     w = Window.partitionBy(KEY, "day_").orderBy(ts, *more)
-    at_border = step(F.lit(True)).over(w).isNull()
-    return by_day.join(days, [KEY, "day_"]).withColumn(name, F.when(at_border, F.col("border_")).otherwise(step(value).over(w))).drop("day_", "border_")
+    edges = {"first_": F.lag(F.lit(True)).over(w).isNull(), "last_": F.lead(F.lit(True)).over(w).isNull()}
+    placed = by_day.withColumns({name: step(value).over(w), **edges}).withColumn("inside_", F.when(~(F.col("first_") | F.col("last_")), F.col("day_")))
+    over = step(value).over(Window.partitionBy(KEY, "inside_").orderBy(ts, *more))
+    return placed.withColumn(name, F.when(F.col("last_" if ahead else "first_"), over).otherwise(F.col(name))).drop("day_", "inside_", "first_", "last_")
 
 
-def state_timeline(values: DataFrame) -> DataFrame:
-    """Runs of equal states per equipment, each from its first to its last tick.
+def _day_runs(values: DataFrame) -> DataFrame:
+    """Runs of equal states per equipment and day, with opens: 0 where a run goes on from the day before, and ends: when the next run starts.
 
-    Ticks of one instant count once, with the greatest state. Runs are found per equipment and day;
-    the first and last of a day are then joined over midnights, by one row per equipment and day.
+    Ticks of one instant count once, with the greatest state. Ticks are shuffled once, by equipment and day. What lies
+    between a day's first and last run is whole; those two alone are sorted over all days of an equipment.
     """
-    ticks = values.where("state IS NOT NULL").groupBy(KEY, "ts_value").agg(F.max("state").alias("state")).withColumn("day", F.to_date("ts_value"))
+    ticks = values.where("state IS NOT NULL").select(KEY, "ts_value", "state", F.to_date("ts_value").alias("day")).repartition(KEY, "day")
+    ticks = ticks.groupBy(KEY, "day", "ts_value").agg(F.max("state").alias("state"))
     w = Window.partitionBy(KEY, "day").orderBy("ts_value")
     changed = (F.col("state") != F.coalesce(F.lag("state").over(w), F.lit(-1))).cast("int")
     islands = ticks.withColumn("changed", changed).withColumn("island", F.sum("changed").over(w))
     runs = islands.groupBy(KEY, "day", "island", "state").agg(F.min("ts_value").alias("ts_start"), F.max("ts_value").alias("ts_last"), F.count("*").alias("ticks"))
-    days = runs.groupBy(KEY, "day").agg(F.max("island").alias("n"), F.min_by("state", "island").alias("first_state"), F.max_by("state", "island").alias("last_state"))
-    by_day = Window.partitionBy(KEY).orderBy("day")
-    opens, again = F.when(F.col("first_state") == F.lag("last_state").over(by_day), 0).otherwise(1), (F.col("n") > 1).cast("int")
-    chains = days.withColumn("opens", opens).withColumn("again", again).withColumn("last_chain", F.sum(F.col("opens") + F.col("again")).over(by_day))
-    placed = runs.join(chains.select(KEY, "day", "n", "again", "last_chain"), [KEY, "day"])
-    inside = (F.col("island") > 1) & (F.col("island") < F.col("n"))
-    chain = F.when(inside, None).when(F.col("island") == 1, F.col("last_chain") - F.col("again")).otherwise(F.col("last_chain"))
-    whole = placed.groupBy(KEY, "state", chain.alias("chain"), F.when(inside, F.col("day")).alias("day"), F.when(inside, F.col("island")).alias("island"))
-    return whole.agg(F.min("ts_start").alias("ts_start"), F.max("ts_last").alias("ts_last"), F.sum("ticks").alias("ticks")).select(KEY, "state", "ts_start", "ts_last", "ticks")
+    back = Window.partitionBy(KEY, "day").orderBy(F.col("island").desc())
+    runs = runs.withColumn("next", F.lag("ts_start").over(back))
+    inside = (F.col("island") > 1) & F.col("next").isNotNull()
+    runs = runs.withColumn("inside", F.when(inside, F.col("day")))
+    later = Window.partitionBy(KEY, "inside").orderBy(F.col("ts_start").desc())
+    runs = runs.withColumn("opens", F.when((F.col("island") == 1) & (F.col("state") == F.lead("state").over(later)), 0).otherwise(1))
+    # the first start of a new state that a row's day has, seen from the days before
+    first = F.when(F.col("opens") == 1, F.col("ts_start")).otherwise(F.col("next"))
+    after = F.last(first, ignorenulls=True).over(later.rowsBetween(Window.unboundedPreceding, -1))
+    return runs.withColumn("ends", F.coalesce("next", after))
+
+
+def state_timeline(values: DataFrame) -> DataFrame:
+    """Runs of equal states per equipment, each from its first to its last tick, over midnights."""
+    runs = _day_runs(values)
+    later = Window.partitionBy(KEY, "inside").orderBy(F.col("ts_start").desc())
+    # a run that opens closes its chain, read from the last one back
+    chained = runs.withColumn("chain", F.sum("opens").over(later) - F.col("opens"))
+    whole = chained.groupBy(KEY, "inside", "chain", "state").agg(F.min("ts_start").alias("ts_start"), F.max("ts_last").alias("ts_last"), F.sum("ticks").alias("ticks"))
+    return whole.select(KEY, "state", "ts_start", "ts_last", "ticks")
+
+
+def state_changes(values: DataFrame) -> DataFrame:
+    """(id_equipment, state, ts_start, ts_end) of the same runs, each until the next one starts; the last one has no end."""
+    return _day_runs(values).where("opens = 1").select(KEY, "state", "ts_start", F.col("ends").alias("ts_end"))
 
 
 # roll-ups carry sums, counts and the last state, never ratios
