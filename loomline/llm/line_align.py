@@ -1,12 +1,13 @@
 """Line deduplication by pairwise alignment.
 
-Lines are hashed, and a line, or by choice a least block (a shortest run of lines with MIN_WORDS
-words), that occurs in two documents at least links each later document to the first that holds it: pairs grow with the lines in
-common, not with the square of a group. Each pair is aligned by patience diff (lines unique on both
-sides, in their longest common order, then outwards and in between), what that leaves is looked up in
-all of the earlier document, and the common blocks are deleted from the later document: with links by
-block, none of MIN_WORDS words that an earlier document holds is left. Blocks of fewer words stay. As a deleted line
-always has an earlier document that holds it, its first copy is never lost.
+Lines are hashed. A least block (a shortest run of lines with MIN_WORDS words) that occurs in two documents at least
+links each later document to the first that holds it: pairs grow with the lines in common, not with the square of a
+group. Rare blocks, of RARE documents at most, link first; what their alignments delete needs no other link, and only
+documents that hold more of what others hold are linked through common blocks after that. Each pair is aligned by
+patience diff (lines unique on both sides, in their longest common order, then outwards and in between). What stands
+elsewhere in the earlier document, moved or repeated, is aligned with that place in turn. The aligned common blocks
+are deleted from the later document, so that no block of MIN_WORDS words that an earlier document holds is left. Blocks of fewer words stay.
+As a deleted line always has an earlier document that holds it, its first copy is never lost.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from loomline.llm.common import NO_ID, if_small, job, lean, prepare, written
 
 #: Words of the shortest common block that is deleted.
 MIN_WORDS = 5
+#: Documents that hold a rare block, at most. It orders the links and loses none.
+RARE = 16
 TRIM = " \t\r\x0b\x0c"
 #: Of the hash of a run of lines.
 PRIME, BASE = (1 << 61) - 1, 0x1B873593CC9E2D5
@@ -100,30 +103,42 @@ def _least_blocks(hashes: list[int], words: list[int], min_words: int) -> list[t
 
 
 def common_blocks(earlier: list[int], later: list[int], words: list[int], min_words: int = MIN_WORDS) -> list[int]:
-    """Positions of later in common blocks of at least min_words words; words counts each of its lines' words.
+    """Positions of later in aligned common blocks of at least min_words words; words counts each of its lines' words.
 
-    Blocks are those of the patience diff, and of what it leaves unmatched every run of lines that
-    earlier holds anywhere: repeated lines, blocks in another order, ranges without a line of their own.
+    After the patience diff of both, runs of lines that it leaves and that earlier holds elsewhere (repeated lines,
+    blocks in another order, ranges without a line of their own) are aligned each with the range where earlier has them.
     """
     found: set[int] = set()
-    block: list[int] = []
-    last = None
-    for i, j in [*patience(earlier, later), (None, None)]:
-        if last is None or (i, j) != (last[0] + 1, last[1] + 1):
-            if sum(words[k] for k in block) >= min_words:
-                found.update(block)
-            block = []
-        if i is not None:
-            block.append(j)
-            last = (i, j)
+
+    def align(a0: int, a1: int, b0: int, b1: int) -> None:
+        block: list[int] = []
+        last = None
+        for i, j in [*patience(earlier[a0:a1], later[b0:b1]), (None, None)]:
+            if last is None or (i, j) != (last[0] + 1, last[1] + 1):
+                if sum(words[k] for k in block) >= min_words:
+                    found.update(block)
+                block = []
+            if i is not None:
+                block.append(b0 + j)
+                last = (i, j)
+
+    align(0, len(earlier), 0, len(later))
     known = set(earlier)
     if all(k in found or h not in known for k, h in enumerate(later)):
         return sorted(found)
     words_of = dict(zip(later, words, strict=True))
-    held = {key for _, _, key in _least_blocks(earlier, [words_of.get(h, min_words) for h in earlier], min_words)}
-    for s, e, key in _least_blocks(later, words, min_words):
-        if key in held:
-            found.update(range(s, e))
+    at: dict[int, int] = {}
+    for s, _, key in sorted(_least_blocks(earlier, [words_of.get(h, min_words) for h in earlier], min_words)):
+        at.setdefault(key, s)
+    ranges: list[list[int]] = []  # start and end in later, and how far ahead earlier has the same lines
+    for s, e, key in sorted(_least_blocks(later, words, min_words)):
+        if key in at and not found.issuperset(range(s, e)):
+            if ranges and s <= ranges[-1][1] and ranges[-1][2] == at[key] - s:
+                ranges[-1][1] = max(e, ranges[-1][1])
+            else:
+                ranges.append([s, e, at[key] - s])
+    for s, e, ahead in ranges:
+        align(s + ahead, e + ahead, s, e)
     return sorted(found)
 
 
@@ -146,43 +161,56 @@ def line_hashes(docs: DataFrame) -> DataFrame:
     return _keyed(docs).mapInArrow(lean(run), "did long, th long, hashes array<long>, words array<int>")
 
 
-def deletions(docs: DataFrame, min_words: int = MIN_WORDS, by_block: bool = False) -> DataFrame:
+def deletions(docs: DataFrame, min_words: int = MIN_WORDS, rare: int = RARE) -> DataFrame:
     """(did, th, gone): line positions to delete from each later document that has any.
 
-    A document is aligned with the first document of each of its lines; by_block with the first of
-    each of its least blocks, so that blocks of short lines are found whoever holds the lines first.
+    A document is aligned with the first document of each of its rare blocks, then with that of each common block
+    that is not deleted as a whole by then. The result is the same for every value of rare.
     """
     with job(docs.sparkSession):
-        return written(_deletions(docs, min_words, by_block), "line-gone", outer=True)
+        return written(_deletions(docs, min_words, rare), "line-gone", outer=True)
 
 
-def _deletions(docs: DataFrame, min_words: int, by_block: bool) -> DataFrame:
+def _deletions(docs: DataFrame, min_words: int, rare: int) -> DataFrame:
     lines = written(line_hashes(docs).dropDuplicates(["did", "th"]), "line-hashes")
 
     def blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [{key for _, _, key in _least_blocks(h, w, min_words)} for h, w in zip(batch.column("hashes").to_pylist(), batch.column("words").to_pylist(), strict=True)]
+            found = []
+            for hashes, words, gone in zip(*(batch.column(c).to_pylist() for c in ("hashes", "words", "gone")), strict=True):
+                done = set(gone or ())
+                found.append({key for s, e, key in _least_blocks(hashes, words, min_words) if not done.issuperset(range(s, e))})
             sizes = [len(x) for x in found]
             ids = [pa.array(np.repeat(batch.column(c).to_numpy(), sizes)) for c in ("did", "th")]
             yield pa.RecordBatch.from_arrays([*ids, pa.array([key for x in found for key in x], type=pa.int64())], names=["did", "th", "h"])
 
-    if by_block:
-        held = written(lines.select("did", "th", "hashes", "words").mapInArrow(lean(blocks), "did long, th long, h long"), "line-held")
-    else:
-        held = lines.select("did", "th", F.explode(F.array_distinct("hashes")).alias("h")).where("h <> 0")
-    # written, so that the joins read plain shuffles, whose hot lines and documents Spark can split
-    first = written(held.groupBy("h").agg(F.min(F.struct("did", "th")).alias("first"), F.count("*").alias("n")).where("n > 1"), "line-first")
-    pairs = held.join(first, "h").where("struct(did, th) <> first").select("did", "th", F.col("first.did").alias("adid"), F.col("first.th").alias("ath")).distinct()
-    early = lines.select(F.col("did").alias("adid"), F.col("th").alias("ath"), F.col("hashes").alias("early"))
-    both = pairs.join(lines, ["did", "th"]).join(early, ["adid", "ath"]).select("did", "th", "early", "hashes", "words")
-
     def align(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             gone = [common_blocks(a, b, w, min_words) for a, b, w in zip(*(batch.column(c).to_pylist() for c in ("early", "hashes", "words")), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("did"), batch.column("th"), pa.array(gone, type=pa.list_(pa.int32()))], names=["did", "th", "gone"])
 
-    found = both.mapInArrow(lean(align), "did long, th long, gone array<int>").where("size(gone) > 0")
-    return found.groupBy("did", "th").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("gone")))).alias("gone"))
+    def held_by(of: DataFrame) -> DataFrame:
+        return of.select("did", "th", "hashes", "words", "gone").mapInArrow(lean(blocks), "did long, th long, h long")
+
+    early = lines.select(F.col("did").alias("adid"), F.col("th").alias("ath"), F.col("hashes").alias("early"))
+
+    def aligned(held: DataFrame, first: DataFrame) -> DataFrame:
+        pairs = held.join(first, "h").where("struct(did, th) <> first").select("did", "th", F.col("first.did").alias("adid"), F.col("first.th").alias("ath")).distinct()
+        both = pairs.join(lines, ["did", "th"]).join(early, ["adid", "ath"]).select("did", "th", "early", "hashes", "words")
+        return both.mapInArrow(lean(align), "did long, th long, gone array<int>").where("size(gone) > 0")
+
+    def merged(found: DataFrame) -> DataFrame:
+        return found.groupBy("did", "th").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("gone")))).alias("gone"))
+
+    none = lines.withColumn("gone", F.lit(None).cast("array<int>"))
+    # written, so that the joins read plain shuffles, whose hot lines and documents Spark can split
+    held = written(held_by(none), "line-held")
+    first = written(held.groupBy("h").agg(F.min(F.struct("did", "th")).alias("first"), F.count("*").alias("n")).where("n > 1"), "line-first")
+    by_rare = written(merged(aligned(held, first.where(F.col("n") <= rare))), "line-rare")
+    common = first.where(F.col("n") > rare)
+    # what rare links have left of the documents they touched; all others as they are
+    rest = held.join(by_rare, ["did", "th"], "left_anti").unionByName(held_by(by_rare.join(lines, ["did", "th"])))
+    return merged(by_rare.unionByName(aligned(rest, common)))
 
 
 def _placed(docs: DataFrame, found: DataFrame) -> DataFrame:
@@ -201,7 +229,7 @@ def _left() -> Column:
     return F.array_join(F.transform(stay, lambda k: F.get(F.col("__lines"), k)), "\n")
 
 
-def deduplicate(docs: DataFrame, min_words: int = MIN_WORDS, by_block: bool = False) -> DataFrame:
+def deduplicate(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, text, n_lines, n_removed) per row of docs, aligned common blocks deleted from later documents.
 
     Later means a greater doc_id; a null doc_id is before all others, rows with equal doc_id are
@@ -210,7 +238,7 @@ def deduplicate(docs: DataFrame, min_words: int = MIN_WORDS, by_block: bool = Fa
     inside a block. A null or empty text has one empty line and stays empty. Other columns of docs
     are ignored; an empty table gives an empty result.
     """
-    found = if_small(deletions(docs, min_words, by_block), "line-deletions")
+    found = if_small(deletions(docs, min_words), "line-deletions")
     joined = _placed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), found)
     return joined.select(
         "doc_id",
@@ -220,12 +248,12 @@ def deduplicate(docs: DataFrame, min_words: int = MIN_WORDS, by_block: bool = Fa
     )
 
 
-def apply_to_rows(docs: DataFrame, min_words: int = MIN_WORDS, by_block: bool = False) -> DataFrame:
+def apply_to_rows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs, all columns, with shortened texts (and n_chars, where there is one); rows of which nothing is left go.
 
     Rows that lose no line are returned as they are, null and empty texts among them.
     """
-    found = if_small(deletions(docs, min_words, by_block), "line-deletions")
+    found = if_small(deletions(docs, min_words), "line-deletions")
     cut = _placed(docs, found).withColumn("__cut", F.when(F.col("__gone").isNotNull(), _left()))
     left = cut.where(F.col("__gone").isNull() | F.col("__cut").rlike(r"[^\s]"))
     shorter = {"text": F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.col("__cut"))}

@@ -72,7 +72,7 @@ def test_queries_side_by_side_keep_their_own_tables(spark):
     tests = spark.createDataFrame([(1, texts[3]), (2, texts[5])], "item_id long, text string")
     runs = [
         lambda: simhash.near_duplicates(docs).select("doc_id", "component_id"),
-        lambda: line_align.deduplicate(docs, by_block=True).select("doc_id", "text"),
+        lambda: line_align.deduplicate(docs).select("doc_id", "text"),
         lambda: flow_shards.reshard(docs).files.select("doc_id", "shard", "slot"),
         lambda: decontam.report(docs, tests).select("doc_id", "n_hit"),
     ]

@@ -18,16 +18,13 @@ def test_patience_matches_are_common_and_ascending():
 
 
 def plain(rows):
-    """Every later document aligned with the first document of each line that it shares."""
+    """Every later document aligned with every earlier one."""
     docs = sorted({(d if d is not None else -(2**63), t or "") for d, t in rows})
-    first, gone = {}, defaultdict(set)
+    gone = defaultdict(set)
     hashes = {d: [line_align._line_hash(x) for x in d[1].split("\n")] for d in docs}
-    for d in docs:
-        for h in hashes[d]:
-            first.setdefault(h, d)
-    for d in docs:
+    for k, d in enumerate(docs):
         words = [len(x.split()) for x in d[1].split("\n")]
-        for a in {first[h] for h in hashes[d] if h} - {d}:
+        for a in docs[:k]:
             gone[d] |= set(line_align.common_blocks(hashes[a], hashes[d], words))
     return {d: "\n".join(x for k, x in enumerate(d[1].split("\n")) if k not in gone[d]) for d in docs}
 
@@ -87,6 +84,32 @@ def test_no_block_of_an_earlier_document_is_left(spark):
     rows += [(10, "hot line with five words\n" * 3 + "x"), (11, "mine\nhot line with five words\nyours\nhot line with five words")]
     rows += [(100 + k, "\n".join(rng.choice(lines) for _ in range(rng.randrange(1, 9)))) for k in range(80)]
     want = blocks_of_earlier(rows)
-    found = {r.doc_id: r.text for r in line_align.deduplicate(docs_frame(spark, rows), by_block=True).collect()}
+    found = {r.doc_id: r.text for r in line_align.deduplicate(docs_frame(spark, rows)).collect()}
     assert found == {d: want[d, t] for d, t in rows}
     assert found[2] == "mine" and found[7] == "seven\nends" and found[11] == "mine\nyours"
+
+
+def test_all_that_is_deleted_is_aligned(monkeypatch):
+    rng = random.Random(8)
+    for _ in range(300):
+        words = {h: rng.choice([1, 2, 3, 5, 9]) for h in range(1, 9)} | {0: 0}
+        a, b = ([rng.randrange(9) for _ in range(rng.randrange(14))] for _ in range(2))
+        runs = {tuple(a[s:e]) for s in range(len(a)) for e in range(s + 1, len(a) + 1)}
+        spans = [range(s, e) for s in range(len(b)) for e in range(s + 1, len(b) + 1) if tuple(b[s:e]) in runs and sum(words[h] for h in b[s:e]) >= 5]
+        assert line_align.common_blocks(a, b, [words[h] for h in b]) == sorted(set().union(*spans))
+    moved = ([1, 2, 3, 4], [3, 4, 1, 2], [5, 5, 5, 5])
+    assert line_align.common_blocks(*moved) == [0, 1, 2, 3]
+    monkeypatch.setattr(line_align, "patience", lambda a, b: [])
+    assert line_align.common_blocks(*moved) == [] == line_align.common_blocks([1, 2], [1, 2], [9, 9])
+
+
+def test_rare_and_common_links_find_the_same(spark):
+    """Passages in 2 documents, in some and in all, so that each bound parts them in another way."""
+    rng = random.Random(9)
+    passages = [f"passage {k} has some six words" for k in range(12)]
+    rows = [(k, "\n".join([passages[0], *rng.sample(passages, k % 4), f"own {k}", *([passages[k % 12] + " more"] * (k < 24))])) for k in range(70)]
+    want = blocks_of_earlier(rows)
+    for rare in (1, 2, 10, 1000):
+        gone = {(r.did, r.th): set(r.gone) for r in line_align.deletions(docs_frame(spark, rows), rare=rare).collect()}
+        kept = {d: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone.get((d, th), ())) for d, t, th in docs_frame(spark, rows).selectExpr("doc_id", "text", "xxhash64(text) th").collect()}
+        assert kept == {d: want[d, t] for d, t in rows}
