@@ -18,11 +18,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomline.llm.common import NO_ID, if_small, job, shared_dir, written
+from loomline.llm.common import NO_ID, _folder, if_small, job, written
 
 OLD_SHARDS, SHARDS, BLOCKS, ROW_BYTES = 32, 40, 256, 16
 #: Bytes of documents that one task writes, about.
 PART_BYTES = 256 << 20
+#: A group of equal texts is kept on one shard up to this part of a shard's share of all bytes.
+GROUP_PART = 0.25
 
 
 def min_cost_flow(supply: list[int], capacity: list[int]) -> dict[tuple[int, int], int]:
@@ -111,8 +113,8 @@ def place_blocks(sizes: dict[tuple[int, int], int], shards: int, flow: dict[tupl
 
 
 def hashed_layout(shards: int) -> Column:
-    """An old layout for documents that have none yet: by a hash of id and text."""
-    return F.pmod(F.xxhash64(F.lit("old"), "did", "text"), F.lit(shards)).cast("int")
+    """An old layout for documents that have none yet: by a hash of the text, and of the id where a group is spread."""
+    return F.pmod(F.xxhash64(F.lit("old"), "same", "spread"), F.lit(shards)).cast("int")
 
 
 class Resharded(NamedTuple):
@@ -129,7 +131,8 @@ def reshard(docs: DataFrame, shards: int = SHARDS, old_shard: Column | None = No
 
     Rows: doc_id, text (null: empty), size (UTF-8 bytes plus ROW_BYTES), shard, slot (gapless from 0 in each shard).
     old_shard is an expression over did (doc_id, NO_ID for null) and text that gives the present
-    shard from 0 on, 0 where it is null; hashed_layout(OLD_SHARDS) if none. Shards that neither gain nor lose a block
+    shard from 0 on, 0 where it is null; hashed_layout(OLD_SHARDS) if none. Equal texts of one old shard come
+    to one shard; a group of more than GROUP_PART of a shard is spread by its ids, as the shards' sizes come first. Shards that neither gain nor lose a block
     are skipped unless unchanged is true or the layout is new. Rows with equal or null doc_id are
     placed each on their own; other columns are ignored; an empty table gives empty files.
 
@@ -138,11 +141,16 @@ def reshard(docs: DataFrame, shards: int = SHARDS, old_shard: Column | None = No
     """
     spark = docs.sparkSession
     fresh = old_shard is None
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    old = hashed_layout(OLD_SHARDS) if fresh else F.coalesce(old_shard, F.lit(0))
-    rows = rows.select("did", "text", (F.octet_length("text") + ROW_BYTES).cast("long").alias("size"), old.cast("int").alias("old"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "did", "text"), F.lit(blocks)).cast("int"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = rows.select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("did"), "text", (F.octet_length("text") + ROW_BYTES).cast("long").alias("size"), F.xxhash64("text").alias("same"))
     with job(spark):
+        groups = written(rows.groupBy("same").agg(F.sum("size").alias("size")), "shard-groups")
+        total = groups.agg(F.sum("size").alias("n")).first()["n"] or 0
+        # fewer than shards / GROUP_PART by their size
+        large = [r["same"] for r in groups.where(F.col("size") > GROUP_PART * total / shards).collect()]
+        rows = rows.withColumn("spread", F.when(F.col("same").isin(large), F.col("did")).otherwise(0) if large else F.lit(0).cast("long"))
+        old = hashed_layout(OLD_SHARDS) if fresh else F.coalesce(old_shard, F.lit(0))
+        rows = rows.withColumns({"old": old.cast("int"), "block": F.pmod(F.xxhash64(F.lit("block"), "same", "spread"), F.lit(blocks)).cast("int")})
         found = written(rows.groupBy("old", "block").agg(F.sum("size").alias("size"), F.count("*").alias("n")), "shard-blocks")
         sizes = {(r["old"], r["block"]): r["size"] for r in found.collect()}  # old shards times blocks
         flow = flow_of(sizes, shards)
@@ -168,10 +176,10 @@ def reshard(docs: DataFrame, shards: int = SHARDS, old_shard: Column | None = No
         starts = found.join(F.broadcast(plan), ["old", "block"])  # plan: old shards times blocks rows
         starts = starts.select("old", "block", "piece", "shard", (F.col("first") + F.floor(sum_before("size") / part_bytes)).cast("int").alias("task"), sum_before("n").alias("start"))
         dealt = rows.join(if_small(starts, "shard-starts"), ["old", "block", "piece"])
-        order = Window.partitionBy("task", "old", "block", "piece").orderBy("did", "text")
+        order = Window.partitionBy("task", "old", "block", "piece").orderBy("doc_id", "text")
         slotted = dealt.repartitionById(max(1, tasks), "task").withColumn("slot", F.col("start") + F.row_number().over(order) - 1)
-        path = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
-        slotted.select(F.when(F.col("did") != NO_ID, F.col("did")).alias("doc_id"), "text", "size", "slot", "shard").write.mode("overwrite").option("compression", "zstd").partitionBy("shard").parquet(path)
+        path = f"{_folder(spark, outer=True)}/shards-{uuid.uuid4().hex}"
+        slotted.select("doc_id", "text", "size", "slot", "shard").write.mode("overwrite").option("compression", "zstd").partitionBy("shard").parquet(path)
     back = spark.read.schema("doc_id long, text string, size long, slot long, shard int").parquet(path)
     moved = sum(n for k, n in sizes.items() if placed[k] != k[0])
     return Resharded(back, path, moved, sum(n for (i, j), n in flow.items() if i != j))

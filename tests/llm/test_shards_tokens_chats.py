@@ -181,3 +181,16 @@ def test_packs_share_prefixes_and_attend_to_ancestors_only(spark):
             assert {x for s, e in spans for x in range(s, e)} == above and n.position == len(above)
     assert chat_tree.packs(frame.limit(0), RANKS, public_tokenizers.PATTERN).collect() == []
     assert zlib.crc32(b"") == 0
+
+
+def test_equal_texts_share_a_shard_unless_they_outgrow_it(spark):
+    rows = [(k, f"text {k % 300} " * 9) for k in range(900)] + [(1000 + k, "copied " * 9) for k in range(600)] + [(None, "text 7 " * 9), (-(2**63), "text 7 " * 9)]
+    back = flow_shards.reshard(docs_frame(spark, rows), shards=10).files.collect()
+    assert sorted((r.doc_id, r.text) for r in back if r.doc_id is not None) == sorted(r for r in rows if r[0] is not None)
+    assert [r.text for r in back if r.doc_id is None] == ["text 7 " * 9]
+    at, held = {}, {}
+    for r in back:
+        at.setdefault(r.text, set()).add(r.shard)
+        held[r.shard] = held.get(r.shard, 0) + r.size
+    assert {len(v) for t, v in at.items() if not t.startswith("copied")} == {1} and len(at["copied " * 9]) > 1
+    assert len(held) == 10 and max(held.values()) < 1.1 * min(held.values())
