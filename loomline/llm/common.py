@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 #: Texts are long, so Arrow batches hold few rows.
 BATCH_ROWS = "1000"
-#: Stands for a null id where ids are joined or ordered: below every id in use.
+#: Stands for a null id where ids are joined or ordered; row_key tells it from a row of that very id.
 NO_ID = -(2**63)
 
 
@@ -182,6 +182,23 @@ class Remembered:
         return new
 
 
+def row_key(doc_id: str = "doc_id", text: str = "text") -> tuple[Column, Column]:
+    """What rows are joined and ordered by: did, the id with NO_ID for null, and th, a hash of the text (null: empty).
+
+    Under NO_ID th is negative for null ids, and not for rows of that very id: (did, th) tells them
+    apart and has null ids first. no_id() reads it back.
+    """
+    given, hashed = F.col(doc_id).cast("long"), F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
+    low = hashed.bitwiseAND(F.lit(2**63 - 1))
+    th = F.when(given.isNull(), low.bitwiseOR(F.lit(NO_ID))).when(given == NO_ID, low).otherwise(hashed)
+    return F.coalesce(given, F.lit(NO_ID)).alias("did"), th.alias("th")
+
+
+def no_id() -> Column:
+    """Whether the id of a (did, th) of row_key is null."""
+    return (F.col("did") == NO_ID) & (F.col("th") < 0)
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """Rows no classifier may learn from: crc32 of the id as text leaves 2 on division by 4."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import NO_ID, if_small, job, written
+from loomline.llm.common import if_small, job, no_id, row_key, written
 
 WINDOW_WORDS = 10
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -63,8 +63,7 @@ def test_windows(benchmark: DataFrame, window_words: int = WINDOW_WORDS) -> tupl
 
 def _keyed(docs: DataFrame) -> DataFrame:
     """(did, th, text): rows with equal did and th have equal texts and share their verdict."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"), F.xxhash64(text).alias("th"), text.alias("text"))
+    return docs.select(*row_key(), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
 def _scanned(docs: DataFrame, tests: DataFrame, sizes: list[int], outer: bool = False) -> DataFrame:
@@ -94,7 +93,7 @@ def _verified(docs: DataFrame, scanned: DataFrame) -> DataFrame:
 def hits(docs: DataFrame, benchmark: DataFrame, window_words: int = WINDOW_WORDS) -> DataFrame:
     """(did, th, positions) of each document in which a test window occurs.
 
-    positions are the hit words, counted from 0 and in order. did is doc_id, NO_ID for null; th a hash of the text.
+    positions are the hit words, counted from 0 and in order. (did, th) is the row's key, as row_key makes it.
     """
     with job(docs.sparkSession):
         tests, _, sizes = test_windows(benchmark, window_words)
@@ -127,7 +126,7 @@ def report(docs: DataFrame, benchmark: DataFrame, window_words: int = WINDOW_WOR
         found = written(found, "decontam-found", outer=True)
     rows = scanned.where("start = 0").select("did", "th", F.col("n").cast("long").alias("n_words"))
     return rows.join(found, ["did", "th"], "left").select(
-        F.when(F.col("did") != NO_ID, F.col("did")).alias("doc_id"),
+        F.when(~no_id(), F.col("did")).alias("doc_id"),
         "n_words",
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
@@ -139,8 +138,7 @@ def report(docs: DataFrame, benchmark: DataFrame, window_words: int = WINDOW_WOR
 def clean_documents(docs: DataFrame, benchmark: DataFrame, window_words: int = WINDOW_WORDS) -> DataFrame:
     """The rows of docs, all columns, in which no test window occurs."""
     found = if_small(hits(docs, benchmark, window_words).select(F.struct("did", "th").alias("hit")), "decontam-dirty")
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    key = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"), F.xxhash64(text).alias("th"))
+    key = F.struct(*row_key())
     return docs.join(found, key == found.hit, "left_anti")
 
 
@@ -150,4 +148,4 @@ def without_spans(docs: DataFrame, benchmark: DataFrame, window_words: int = WIN
     gaps = F.split("text", WORDS)
     kept = F.transform(_words(F.col("text")), lambda w, i: F.when(F.array_contains("positions", i), F.lit("")).otherwise(w))
     rebuilt = F.array_join(F.zip_with(gaps, kept, lambda g, w: F.concat(g, F.coalesce(w, F.lit("")))), "")
-    return found.select(F.when(F.col("did") != NO_ID, F.col("did")).alias("doc_id"), F.when(F.col("positions").isNull(), F.col("text")).otherwise(rebuilt).alias("text"))
+    return found.select(F.when(~no_id(), F.col("did")).alias("doc_id"), F.when(F.col("positions").isNull(), F.col("text")).otherwise(rebuilt).alias("text"))

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import NO_ID, if_small, job, lean, prepare, written
+from loomline.llm.common import if_small, job, lean, prepare, row_key, written
 
 #: Words of the shortest common block that is deleted.
 MIN_WORDS = 5
@@ -144,8 +144,7 @@ def common_blocks(earlier: list[int], later: list[int], words: list[int], min_wo
 
 def _keyed(docs: DataFrame) -> DataFrame:
     prepare(docs.sparkSession)
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"), F.xxhash64(text).alias("th"), text.alias("text"))
+    return docs.select(*row_key(), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
 def line_hashes(docs: DataFrame) -> DataFrame:
@@ -217,7 +216,7 @@ def _placed(docs: DataFrame, found: DataFrame) -> DataFrame:
     """docs with the lines of each text, joined with its deletions where it has any; no Python touches the texts."""
     found = found.select(F.struct("did", "th").alias("__key"), F.col("gone").alias("__gone"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    key = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"), F.xxhash64(text).alias("th"))
+    key = F.struct(*row_key())
     # split before the join, so that no expression above it splits the text anew for every line
     lined = docs.withColumns({"__own": key, "__lines": F.split(text, "\n")})
     return lined.join(found, F.col("__own") == F.col("__key"), "left")

@@ -35,6 +35,7 @@ def tables():
     items = [(k, random_text(rng, words, rng.choice([1, 2, 3, 10, 12, 25]))) for k in range(12)] + [(20, None), (21, ""), (22, "?!"), (None, "alpha beta"), (3, "été delta x1"), (30, items_text := "Alpha, BETA; gämma\ndelta x1 x1 x1 beta beta Alpha Été")]
     rows = [(100 + k, random_text(rng, words, 40)) for k in range(40)]
     rows += [(200, "pre " + items_text.replace("Alpha", "aLPHA") + " post"), (200, "same id, other text"), (201, items_text), (201, items_text), (202, items_text.replace("Été", "été"))]
+    rows += [(-(2**63), text := "in between " + items_text), (None, text), (-(2**63), "clean"), (None, "clean")]
     return rows + awkward_rows(), items
 
 

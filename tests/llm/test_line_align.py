@@ -113,3 +113,10 @@ def test_rare_and_common_links_find_the_same(spark):
         gone = {(r.did, r.th): set(r.gone) for r in line_align.deletions(docs_frame(spark, rows), rare=rare).collect()}
         kept = {d: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone.get((d, th), ())) for d, t, th in docs_frame(spark, rows).selectExpr("doc_id", "text", "xxhash64(text) th").collect()}
         assert kept == {d: want[d, t] for d, t in rows}
+
+
+def test_the_least_id_of_all_is_no_null(spark):
+    one, two = "a line of more than five words", "and another line of as many words"
+    rows = [(-(2**63), f"{two}\n{one}\nfirst"), (None, f"{one}\nnull"), (-(2**63), f"{two}\n{one}\nfirst"), (5, f"{two}\nfive")]
+    kept = [(r.doc_id, r.text) for r in line_align.deduplicate(docs_frame(spark, rows)).collect()]
+    assert sorted(kept, key=str) == sorted([(-(2**63), f"{two}\nfirst")] * 2 + [(None, f"{one}\nnull"), (5, "five")], key=str)

@@ -74,3 +74,7 @@ def test_null_and_repeated_ids_are_judged_by_their_own_texts(spark):
     again = [(None, a), (None, a), (5, c), (5, c + " more")]
     kept = [(r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, docs_frame(spark, again), "").collect()]
     assert len(kept) == 2 and (None, a) in kept
+    least = -(2**63)  # an id as any other, and the first of all
+    for rows, want in (([(None, a), (least, a), (7, a)], [(least, a)]), ([(None, a), (least, b), (None, b), (least, c)], [(None, a), (least, b), (least, c)])):
+        kept = [(r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, docs_frame(spark, rows), "").collect()]
+        assert sorted(kept, key=str) == sorted(want, key=str)
