@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.llm import bpe_codec, decontam, line_align, near_copies, ppm_lang
-from loomline.llm.common import NO_ID, held_out, if_small, job, load, written
+from loomline.llm.common import held_out, if_small, job, load, row_key, written
 
 #: A language below this share of the total probability is no better than a guess among the languages.
 MIN_LANGUAGE_SCORE = 0.3
@@ -15,9 +15,8 @@ RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with two more columns: their id with NO_ID for null, and a hash of their text."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.withColumns({"__did": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "__th": F.xxhash64(text)})
+    """docs with two more columns, the key that near_copies.groups names its rows by."""
+    return docs.withColumns(dict(zip(("__did", "__th"), row_key(), strict=True)))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
