@@ -36,6 +36,22 @@ def test_no_scrap_leaves_quality_null_and_zero_rate_is_left_out(spark):
     assert found[2].quality == 90.0 and found[2].performance is None and found[2].oee_panel is None
 
 
+def on_a_tie(spark, seed):
+    """Forty ticks of each of two equipments in an order by seed; the speeds are 57.55 % of the rated 3600 (40 times 90)."""
+    cents = random.Random(1).choices(range(1, 9000), k=39)
+    cents = [c * 200_000 // sum(cents) for c in cents]
+    speeds = [c / 100 for c in [*cents, 207_180 - sum(cents)]]
+    random.Random(seed).shuffle(speeds)
+    v = values(spark, *((at(1, 0, 0, k), e, 1.0, 0.0, 6, s) for e in (1, 2) for k, s in enumerate(speeds)))
+    places = {"id_enterprise": F.lit(0), "id_area": F.lit(0)}
+    return v.withColumns(places).coalesce(1), equipment(spark, (1, 90.0), (2, 90.0))
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_a_kpi_on_a_tie_is_the_same_in_every_order_of_rows(spark, seed):
+    assert {r.performance for r in kpi.by(*on_a_tie(spark, seed), "id_equipment").collect()} == {57.6}
+
+
 def test_panel_and_product_differ_where_stopped_rows_carry_no_production(spark):
     v = values(spark, (at(1), 1, 9.0, 1.0, 6, 10.0), (at(2), 1, None, None, 10, None))
     r = kpi.by(v, equipment(spark, (1, 10.0)), "id_equipment").first()
