@@ -52,6 +52,11 @@ def test_a_kpi_on_a_tie_is_the_same_in_every_order_of_rows(spark, seed):
     assert {r.performance for r in kpi.by(*on_a_tie(spark, seed), "id_equipment").collect()} == {57.6}
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_every_level_of_the_hierarchy_is_the_same_in_every_order_of_rows(spark, seed):
+    assert {(r.level, r.performance) for r in kpi.by_hierarchy(*on_a_tie(spark, seed)).collect()} == {(k, 57.6) for k in range(5)}
+
+
 def test_panel_and_product_differ_where_stopped_rows_carry_no_production(spark):
     v = values(spark, (at(1), 1, 9.0, 1.0, 6, 10.0), (at(2), 1, None, None, 10, None))
     r = kpi.by(v, equipment(spark, (1, 10.0)), "id_equipment").first()
