@@ -37,70 +37,37 @@ def dedup(rows: DataFrame, keys: list[str], ts: str, delay: str = "1 day") -> Da
     return rows.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)
 
 
-#: Milliseconds of event time whose waiting ticks are one entry of the state.
-BUCKET_MS = 600_000
-
-
 def state_events(values: DataFrame, delay: str = DELAY) -> DataFrame:
     """An event whenever an equipment's state changes, across batches, in order of event time. For sinks.rocksdb.
 
-    Ticks wait in a map by buckets of event time until the watermark has passed them, so those that come late, within
-    the delay, fall into their place; a trigger reads and writes only the buckets that its ticks fall in, and those
-    that have passed. The run in progress is a value of its own. The newest ticks and the open run are not
+    Ticks wait, a row each, in the state of an aggregation until the watermark has passed them, so those that come late,
+    within the delay, fall into their place. What a trigger lets out is later than all that went before: only the run in
+    progress is kept for it, read and written once per equipment. The newest ticks and the open run are not
     written. Ticks of one instant count once, with the greatest state.
     """
 
     class Runs(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
-            self.handle = handle
-            self.waiting = handle.getMapState("waiting", "bucket long", "ticks array<struct<us:long,state:int>>")
             self.run = handle.getValueState("run", "state int, start long")
 
-        def put(self, bucket: int, ticks: dict, passed_ms: int) -> None:
-            self.waiting.updateValue((bucket,), (sorted(ticks.items()),))
-            # a timer is due once the watermark is above it: the earliest tick is passed then
-            self.handle.registerTimer(max(min(ticks) // 1000 - 1, passed_ms))
-
         def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
-            fresh: dict[int, dict[int, int]] = {}
-            for row in rows:
-                ticks = fresh.setdefault(row.us // 1000 // BUCKET_MS, {})
-                ticks[row.us] = max(ticks.get(row.us, row.state), row.state)
-            for bucket, ticks in fresh.items():
-                if self.waiting.containsKey((bucket,)):
-                    for us, state in self.waiting.getValue((bucket,))[0]:
-                        ticks[us] = max(ticks.get(us, state), state)
-                self.put(bucket, ticks, timerValues.getCurrentWatermarkInMs())
-            return iter(())
-
-        def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
-            now = timerValues.getCurrentWatermarkInMs()
-            passed, left = [], {}
-            for (bucket,), (ticks,) in list(self.waiting.iterator()):
-                if bucket * BUCKET_MS > now:
-                    continue
-                passed += [(us, state) for us, state in ticks if us <= now * 1000]
-                left[bucket] = {us: state for us, state in ticks if us > now * 1000}
-            for bucket, ticks in left.items():
-                if ticks:
-                    self.put(bucket, ticks, now)
-                else:
-                    self.waiting.removeKey((bucket,))
-            if not passed:
-                return
-            state, start = self.run.get() if self.run.exists() else (None, None)
-            for us, new in sorted(passed):
-                if state is not None and new != state:
-                    yield Row(id_equipment=key[0], status=state, start=start, end=us)
+            before = self.run.get()
+            state, start = before if before is not None else (None, None)
+            found = start
+            for us, new in sorted((row.us, row.state) for row in rows):
                 if new != state:
+                    if state is not None:
+                        yield Row(id_equipment=key[0], status=state, start=start, end=us)
                     state, start = new, us
-            self.run.update((state, start))
+            if start != found:
+                self.run.update((state, start))
 
         def close(self) -> None:
             pass
 
-    ticks = values.where("state IS NOT NULL").withWatermark("ts_value", delay).select("id_equipment", "ts_value", F.unix_micros("ts_value").alias("us"), "state")
-    runs = ticks.groupBy("id_equipment").transformWithState(Runs(), "id_equipment long, status int, start long, end long", "Append", "EventTime")
+    ticks = values.where("state IS NOT NULL").withWatermark("ts_value", delay).groupBy("id_equipment", "ts_value").agg(F.max("state").alias("state"))
+    passed = ticks.select("id_equipment", F.unix_micros("ts_value").alias("us"), "state")
+    runs = passed.groupBy("id_equipment").transformWithState(Runs(), "id_equipment long, status int, start long, end long", "Append", "None")
     ends = F.timestamp_micros("start").alias("ts_event"), F.timestamp_micros("end").alias("ts_end")
     return runs.select("id_equipment", "status", *ends, F.floor((F.col("end") - F.col("start")) / 1_000_000).cast("int").alias("duration"))
 

@@ -71,6 +71,19 @@ def test_state_events_put_late_ticks_in_their_place(spark, tmp_path):
     assert got == want and len(got) >= 5
 
 
+def test_state_events_keep_one_run_per_equipment_and_no_timer(spark, tmp_path):
+    first = datetime(2024, 1, 1)
+    ticks = [(e, first + timedelta(minutes=30 * k), 6 + k % 2) for e in (1, 2) for k in range(40)]
+    spark.createDataFrame(ticks, "id_equipment long, ts_value timestamp, state int").coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("id_equipment long, ts_value timestamp, state int").parquet(f"{tmp_path}/in")
+    with sinks.rocksdb(spark):
+        query = sinks.append_stream(flows.state_events(stream), f"{tmp_path}/out", f"{tmp_path}/checkpoint")
+        query.awaitTermination()
+    kept = [o for p in query.recentProgress for o in p.stateOperators if o.operatorName.startswith("transformWithState")]
+    assert max(o.numRowsTotal for o in kept) == 2 and all(o.customMetrics["numRegisteredTimers"] == 0 for o in kept)
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 2 * 38
+
+
 def test_sliding_counts(spark, batch):
     want = batch.equipment_values.groupBy(F.window("ts_value", "5 minutes", "1 minute")["end"].alias("time")).agg(F.count("*").alias("rows"))
     got = rows(run(spark, "st_sliding_rows_5min"), "time", "rows")
