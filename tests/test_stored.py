@@ -117,6 +117,13 @@ def test_a_refresh_prunes_the_source(spark, tmp_path, monkeypatch):
     assert [p.name for p in (tmp_path / "levels" / "1d").glob("day=*")] == ["day=2024-01-04"]
 
 
+def test_consistency_deals_all_levels_out_by_equipment_and_day(spark):
+    found = series.consistency(ticks(spark, *((e, at(d, h, 1), 0.1 * h) for e in (1, 2) for d in (1, 2) for h in range(24))))
+    plan = planned(found)
+    assert plan.count("REPARTITION_BY_NUM") == 2 and f", {series.PARTS}), REPARTITION_BY_NUM" in plan and plan.count("Exchange") == 3
+    assert found.first().differing == 0
+
+
 def test_a_recalculation_overwrites_the_touched_days_alone(spark, tmp_path):
     path = str(tmp_path / "totals")
     runtimes = spark.createDataFrame([(10 * e + d, 1, e, at(d, 6), at(d + 1, 6) if d < 4 else None) for e in (1, 2) for d in range(1, 5)], "id_production_order_runtime long, id_production_order long, id_equipment long, ts_start timestamp_ntz, ts_end timestamp_ntz")
