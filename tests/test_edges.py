@@ -227,3 +227,15 @@ def test_bus_messages_of_a_file_are_read_as_those_of_a_broker(spark, tmp_path):
     stream = spark.readStream.text(str(tmp_path / "in")).select(F.col("value").cast("binary").alias("value"))
     found = sorted(tuple(r) for r in sinks.drained(ingest.explode_metrics(stream)).collect())
     assert found == [("edge", "a/Status/StateCurrent", at(1), 6.0, None, None), ("edge", "b", at(1, 0, 0, 1, 500_000), 1.5, 7, None)]
+
+
+def test_verdicts_parse_each_message_once_and_tell_what_the_two_parts_hold(spark):
+    texts = ['{"timestamp": 1, "metrics": [{"name": "a", "value": 1.5}, null, {"value": 2.0}]}', '{"metrics": [{"name": "b"}, {"name": "c", "timestamp": 5}]}', '{"metrics": []}', "{", None]
+    read = ingest.read_messages(spark.createDataFrame([(x,) for x in texts], "value string"))
+    found = ingest.verdicts(read)
+    assert sorted(str(r.why) for r in found.collect()) == sorted(["None", "None", "no name", "no name", "no time", "no metrics", "malformed", "null"])
+    assert {(r.name, r.value) for r in ingest.metrics_of(read).collect()} == {("a", 1.5), ("c", None)}
+    dead = {(r.why, r.raw) for r in ingest.dead_letters(read).collect()}
+    assert dead == {("no name", None), ("no name", '{"value":2.0}'), ("no time", '{"name":"b"}'), ("no metrics", '{"metrics": []}'), ("malformed", "{"), ("null", None)}
+    for df in (found, ingest.metrics_of(read), ingest.dead_letters(read)):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
