@@ -7,6 +7,7 @@ blocks that each code up to BLOCK ids in interleaved lanes. A block starts from
 
 from __future__ import annotations
 
+import codecs
 import re
 import zlib
 from array import array
@@ -28,11 +29,11 @@ SCALE_BITS, LOW_BITS, WORD_BITS = 20, 31, 32
 LANES, BLOCK, SEGMENT = 2048, 1 << 18, 1 << 21
 END_ID = 2
 DAMAGED = "a block of token ids does not match its checksum"
-#: Words, and pieces, that a worker remembers in each of two generations.
-REMEMBERED = 150_000
+#: Words and pieces that a worker remembers in each of two generations.
+REMEMBERED = 200_000
 #: The library's byte level: bytes that are no visible character, soft hyphen included, are named by the code points from 256 on.
 UNSEEN = [b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xFF and b != 0xAD)]
-BYTE_NAMES = {b: 256 + k for k, b in enumerate(UNSEEN)}
+BYTE_NAMES = "".join(chr(256 + UNSEEN.index(b) if b in UNSEEN else b) for b in range(256))
 #: Pieces of a text as the tokenizer's own pre-tokenizer cuts them, white space dropped (fixed by its file).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Texts of these characters only are normalised by lower-casing alone, and their pieces are independent.
@@ -101,8 +102,9 @@ class Encoder:
     """Packed ids of whole texts by the library; words and pieces that recur are encoded once and remembered.
 
     A word, between white space, is cut into pieces, and a piece goes to the library's model on its
-    own, its bytes named as the library's byte level does. Texts that hold an added token, in any
-    case, go to the library whole.
+    own, its bytes named as the library's byte level does. A piece as a word is cut into itself, so
+    both are remembered as one, and a word of letters alone is its piece. Texts that hold an added
+    token, in any case, go to the library whole.
     """
 
     def __init__(self, file: str, special_as_text: bool = True):
@@ -110,25 +112,27 @@ class Encoder:
         if special_as_text:
             self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         self.tokenize, self.split = self.library.model.tokenize, splitter(PIECES)
-        self.words, self.pieces = Remembered(REMEMBERED), Remembered(REMEMBERED)
+        self.words = Remembered(REMEMBERED)
         added = [re.escape(t.content) for t in self.library.get_added_tokens_decoder().values() if t.content]
         self.added = re.compile("|".join(added) or r"(?!)", re.IGNORECASE)
 
     def __call__(self, batch: list[str | None]) -> list[bytes]:
         simple = [bool(t) and SIMPLE.fullmatch(t) is not None and self.added.search(t) is None for t in batch]
         words = [t.lower().split() if s else [] for t, s in zip(batch, simple, strict=True)]
-        cut = {w: self.cut(w) for w in self.words.missing(chain.from_iterable(words))}
-        for piece in self.pieces.missing(chain.from_iterable(cut.values())):
-            named = piece if piece.isascii() else piece.encode().decode("latin-1").translate(BYTE_NAMES)
-            self.pieces.young[piece] = array("I", [t.id for t in self.tokenize(named)]).tobytes()
-        of_piece, of_word = self.pieces.young.__getitem__, self.words.young.__getitem__
-        self.words.young.update((w, b"".join(map(of_piece, p)) if len(p) != 1 else of_piece(p[0])) for w, p in cut.items())
+        new = self.words.missing(chain.from_iterable(words))
+        cut = {w: self.cut(w) for w in new if not w.isalpha()}
+        known, tokenize = self.words.young, self.tokenize
+        pieces = new.difference(cut)
+        pieces.update(p for p in chain.from_iterable(cut.values()) if p not in known)
+        for piece in pieces:
+            named = piece if piece.isascii() else codecs.charmap_decode(piece.encode(), "strict", BYTE_NAMES)[0]
+            known[piece] = array("I", [t.id for t in tokenize(named)]).tobytes()
+        of_word = known.__getitem__
+        known.update({w: b"".join(map(of_word, p)) for w, p in cut.items()})
         return [b"".join(map(of_word, w)) if s or not t else self.whole(t) for t, s, w in zip(batch, simple, words, strict=True)]
 
     def cut(self, word: str) -> list[str] | tuple[str, ...]:
-        """The pieces of a word: itself if it is letters alone, letters and one mark after them, or what the pattern finds."""
-        if word.isalpha():
-            return (word,)
+        """The pieces of a word that isn't letters alone: letters and one mark after them, or what the pattern finds."""
         body, mark = word[:-1], word[-1]
         return (body, mark) if body.isalpha() and not mark.isalnum() else self.split(word)
 

@@ -13,7 +13,7 @@ from helpers import awkward_rows, docs_frame, random_text, with_clashes
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from loomline.llm import chat_tree, flow_shards, queries, rans_tokens
+from loomline.llm import chat_tree, common, flow_shards, queries, rans_tokens
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -194,3 +194,12 @@ def test_equal_texts_share_a_shard_unless_they_outgrow_it(spark):
         held[r.shard] = held.get(r.shard, 0) + r.size
     assert {len(v) for t, v in at.items() if not t.startswith("copied")} == {1} and len(at["copied " * 9]) > 1
     assert len(held) == 10 and max(held.values()) < 1.1 * min(held.values())
+
+
+def test_a_word_of_letters_and_its_piece_are_remembered_once():
+    with open(TOKENIZER, encoding="utf-8") as file:
+        encoder = rans_tokens.Encoder(file.read())
+    batch = ["alpha beta", "alpha, été beta's 'alpha", "x1y (beta)", None, ""]
+    assert encoder(batch[:1]) == [encoder.whole(batch[0])]
+    assert sum(len(r.young) + len(r.old) for r in vars(encoder).values() if isinstance(r, common.Remembered)) == 2
+    assert encoder(batch) == [encoder.whole(t or "") for t in batch]
